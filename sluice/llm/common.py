@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +34,12 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def slices(batch: pa.RecordBatch, column: int, characters: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of a batch that hold about so many bytes of text each, one row at least."""
-    n, start = batch.num_rows, 0
-    if not n:
-        return
-    data = batch.column(column)
-    lengths = pa.compute.fill_null(pa.compute.binary_length(data), 0).to_numpy(zero_copy_only=False).cumsum()
-    while start < n:
+def slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
+    """Zero-copy slices of an array of texts that hold about so many bytes each, one text at least."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < len(texts):
         before = lengths[start - 1] if start else 0
-        end = max(start + 1, int(lengths.searchsorted(before + characters, side="right")))
-        yield batch.slice(start, end - start)
+        end = max(start + 1, int(lengths.searchsorted(before + size, side="right")))
+        yield texts.slice(start, end - start)
         start = end

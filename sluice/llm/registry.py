@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import simhash
+from sluice.llm import langid, simhash
 
-MODULES = (simhash,)
+MODULES = (langid, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
