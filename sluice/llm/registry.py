@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import langid, simhash
+from sluice.llm import langid, secrets, simhash
 
-MODULES = (langid, simhash)
+MODULES = (secrets, simhash, langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
