@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import langid, secrets, simhash
+from sluice.llm import langid, secrets, simhash, toxicity
 
-MODULES = (secrets, simhash, langid)
+MODULES = (secrets, simhash, toxicity, langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
