@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import langid, secrets, simhash, toxicity
+from sluice.llm import decontaminate, langid, secrets, simhash, toxicity
 
-MODULES = (secrets, simhash, toxicity, langid)
+MODULES = (secrets, simhash, toxicity, langid, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
