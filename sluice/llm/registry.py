@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, imatch, langid, secrets, simhash, toxicity
+from sluice.llm import decontaminate, imatch, langid, secrets, simhash, toxicity, warc
 
-MODULES = (secrets, simhash, toxicity, langid, imatch, decontaminate)
+MODULES = (secrets, simhash, toxicity, langid, warc, imatch, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
