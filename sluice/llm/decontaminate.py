@@ -118,7 +118,7 @@ def rare_seeds(docs: DataFrame, items: DataFrame, rare: float = 1e-9) -> DataFra
     and in any case the rarer half of them. need: how many of them a passage must share."""
     grams = settle(_item_words(items), "item_grams")
     words = grams.select("item_id", "place", "seed", F.explode("words").alias("word"))
-    counts = word_counts(docs, _bit_map(words, "word"))
+    counts = settle(word_counts(docs, _bit_map(words, "word")), "word_counts")
     total = counts.filter("word = 0").agg(F.sum("n")).first()[0] or 1
     logs = words.join(counts.filter("word <> 0"), "word", "left").select("item_id", "place", "seed", F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total))).alias("log"))
     rated = logs.groupBy("item_id", "place", "seed").agg(F.sum("log").alias("log"))
