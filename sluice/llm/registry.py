@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, imatch, langid, secrets, simhash, toxicity, urlfilter, warc
+from sluice.llm import decontaminate, imatch, langid, mixing, secrets, simhash, toxicity, urlfilter, warc
 
-MODULES = (secrets, simhash, toxicity, langid, warc, urlfilter, imatch, decontaminate)
+MODULES = (secrets, simhash, mixing, toxicity, langid, warc, urlfilter, imatch, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
