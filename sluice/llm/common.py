@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,3 +44,25 @@ def slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
         end = max(start + 1, int(lengths.searchsorted(before + size, side="right")))
         yield texts.slice(start, end - start)
         start = end
+
+
+#: Trimmed off the ends of words.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¡¿“”‘’„…–—·、。，！？：；（）"
+
+
+def word_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct, codes, starts) of the words of texts: white-space runs in lower case, trimmed of punctuation.
+
+    The words of text k are distinct[c] for c in codes[starts[k]:starts[k + 1]]; a null text has none.
+    """
+    parts = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    offsets = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+    raw = parts.flatten().dictionary_encode()
+    trimmed = pc.utf8_trim(raw.dictionary, PUNCTUATION).dictionary_encode()
+    distinct = trimmed.dictionary.to_numpy(zero_copy_only=False).tolist()
+    codes = trimmed.indices.to_numpy().astype(np.int64)[raw.indices.to_numpy()] if len(raw) else np.zeros(0, np.int64)
+    if "" in distinct:
+        real = codes != distinct.index("")
+        offsets = np.concatenate(([0], np.cumsum(real)))[offsets]
+        codes = codes[real]
+    return distinct, codes, offsets

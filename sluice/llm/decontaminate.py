@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import settle, slices
+from sluice.llm.common import settle, slices, word_codes
 from sluice.session import table
 
 #: Words of a seed.
@@ -26,17 +26,12 @@ SEED_WORDS = 3
 MAP_BITS = 26
 MATCH, MISMATCH, GAP = 2, -1, -1
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-_SPLIT = r"[^\p{L}\p{N}]+"
 
 
 def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words, their hashes, codes, starts) of texts in lower case; empty words lie between texts only."""
-    parts = pc.split_pattern_regex(pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), _SPLIT, " "), " "), " ")
-    flat, starts = parts.flatten(), parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
-    coded = flat.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))
-    return distinct, hashes, coded.indices.to_numpy().astype(np.int64), starts
+    """(distinct words, their hashes, codes, starts) of texts, as word_codes has them."""
+    distinct, codes, starts = word_codes(texts)
+    return distinct, np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct)), codes, starts
 
 
 def _grams(hashes: np.ndarray) -> np.ndarray:
@@ -221,8 +216,8 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = 0.5, rare: f
     start_word, end_word, n_seeds.
 
     score is the alignment's share of the item's best possible score, `least` or more. Of several
-    copies in one document the best counts, then the first. Words are runs of letters and digits
-    in lower case. Items of fewer than three words and null or empty texts match nothing; rows
+    copies in one document the best counts, then the first. Words are white-space runs in lower
+    case, trimmed of punctuation. Items of fewer than three words and null or empty texts match nothing; rows
     without doc_id are left out, repeated documents give one row, other columns are ignored, and
     empty tables give no rows.
     """
