@@ -184,11 +184,16 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> D
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The documents that lead their component: one row of each group stays."""
+    """The documents, with their own columns, that lead their component; rows without doc_id stay.
+
+    Of repeated rows of one doc_id a single one stays.
+    """
     groups = simhash_groups(docs, shingle, radius)
-    heads = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"])
+    others = settle(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    repeated = settle(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    left = docs.join(others, "doc_id", "left_anti")
+    once = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
