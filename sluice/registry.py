@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import monitors
+from sluice.plans import monitors, series
 
-MODULES = (monitors,)
+CASES = [m.CASES for m in (monitors, series)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    return {name: query for cases in CASES for name, query in cases.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+    return {name: sql for cases in CASES for name, sql in cases.oracles.items()}
