@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import monitors, series
+from sluice.plans import monitors, series, structures
 
-CASES = [m.CASES for m in (monitors, series)]
+CASES = [m.CASES for m in (monitors, series, structures)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
