@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import monitors, series, structures
+from sluice.plans import logs, monitors, series, structures, telemetry
 
-CASES = [m.CASES for m in (monitors, series, structures)]
+CASES = [m.CASES for m in (monitors, series, structures, logs, telemetry)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
