@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import logs, monitors, security, series, structures, telemetry
+from sluice.plans import ci, logs, monitors, security, series, structures, telemetry
 
-CASES = [m.CASES for m in (monitors, series, structures, logs, telemetry, security)]
+CASES = [m.CASES for m in (monitors, series, structures, logs, telemetry, security, ci)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
