@@ -57,8 +57,8 @@ def described(docs: DataFrame) -> DataFrame:
 def softened(cells: DataFrame, margin: str, power: float = POWER) -> DataFrame:
     """(margin, target): observed token shares to the power, made to sum to one."""
     shares = cells.groupBy(margin).agg(F.sum("tokens").alias("n"))
-    total = shares.agg(F.sum(F.pow("n", F.lit(power))).alias("t"))
-    return shares.join(F.broadcast(total)).select(margin, (F.pow("n", F.lit(power)) / F.col("t")).alias("target"))
+    total = shares.agg(F.sum(F.pow("n", F.lit(power)))).scalar()
+    return shares.select(margin, (F.pow("n", F.lit(power)) / total).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = 1e-12) -> DataFrame:
