@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 def with_threshold(df: DataFrame, key: str, limits: DataFrame, value: str, default: float) -> DataFrame:
     """Rows with their key's limit, else that of `*`, else the default."""
-    star = limits.filter(F.col(key) == "*").agg(F.max(value).alias("__star"))
+    star = limits.filter(F.col(key) == "*").agg(F.max(value)).scalar()
     own = limits.filter(F.col(key) != "*").select(key, F.col(value).alias("__own"))
-    return df.join(own, key, "left").join(F.broadcast(star)).withColumn("threshold", F.coalesce("__own", "__star", F.lit(default))).drop("__own", "__star")
+    return df.join(own, key, "left").withColumn("__star", star).withColumn("threshold", F.coalesce("__own", "__star", F.lit(default))).drop("__own", "__star")
 
 
 def throttled(df: DataFrame, keys: list[str], sec: str, minutes: int) -> DataFrame:

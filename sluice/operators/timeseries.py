@@ -30,8 +30,8 @@ def cells(df: DataFrame, sec: str, width: int, columns: dict[str, tuple[str, str
 
 def retain(series: DataFrame, rows: int, width: int) -> DataFrame:
     """The newest `rows` buckets; older ones are dropped as too late."""
-    newest = series.agg(F.max("bucket").alias("newest"))
-    return series.join(F.broadcast(newest)).filter(F.col("bucket") > F.col("newest") - rows * width).drop("newest")
+    newest = series.agg(F.max("bucket")).scalar()
+    return series.withColumn("__newest", newest).filter(F.col("bucket") > F.col("__newest") - rows * width).drop("__newest")
 
 
 def spine(series: DataFrame, width: int, keys: list[str] | None = None) -> DataFrame:

@@ -51,8 +51,8 @@ def gauge_max_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     made = rows.groupBy("event_type", (F.col("user_id") % 10).alias("pid"), floor_to("sec", 60).alias("bucket"))
     gauges = made.agg(F.max("value").alias("heap"), F.max(F.get_json_object("props", "$.k").cast("long")).alias("rss"), F.max("sec").alias("seen"))
-    last = rows.agg(F.max("sec").alias("last"))
-    alive = gauges.groupBy("event_type", "pid").agg(F.max("seen").alias("seen")).join(F.broadcast(last)).filter("seen > last - 6000").select("event_type", "pid")
+    last = rows.agg(F.max("sec")).scalar()
+    alive = gauges.groupBy("event_type", "pid").agg(F.max("seen").alias("seen")).withColumn("last", last).filter("seen > last - 6000").select("event_type", "pid")
     return gauges.join(alive, ["event_type", "pid"]).select("event_type", "pid", "bucket", "heap", "rss")
 
 

@@ -131,8 +131,7 @@ def usage_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     day = F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86_400_000_000).cast("long")
     daily = orders.groupBy(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("status"), day.alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("hours"))
-    last = daily.agg(F.max("day").alias("last"))
-    dated = daily.join(F.broadcast(last))
+    dated = daily.withColumn("last", daily.agg(F.max("day")).scalar())
     past = dated.filter("day between last - 60 and last - 1").groupBy(F.col("kind").alias("k"), F.col("status").alias("s")).agg(F.avg(F.col("hours").cast("double")).alias("mean"), F.stddev_pop(F.col("hours").cast("double")).alias("sd"))
     found = dated.filter("day > last - 30").join(past, F.col("kind").eqNullSafe(F.col("k")) & F.col("status").eqNullSafe(F.col("s"))).filter("hours > mean + sd")
     return found.select("kind", "status", "day", F.col("hours").cast("double").alias("hours"), rounded(F.col("mean"), "mean", 4), rounded(F.col("sd"), "sd", 4))

@@ -35,8 +35,8 @@ def ts_spine_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ts_range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each type's daily counts of the week before the newest day, as one array."""
     daily = events(spark, sf_dir).groupBy("event_type", floor_to("sec", 86400).alias("bucket")).agg(F.count("*").alias("n"))
-    newest = daily.agg(F.max("bucket").alias("newest"))
-    week = daily.join(F.broadcast(newest)).filter("bucket between newest - 604800 and newest - 86400")
+    newest = daily.agg(F.max("bucket")).scalar()
+    week = daily.withColumn("newest", newest).filter("bucket between newest - 604800 and newest - 86400")
     return week.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("p")).select("event_type", F.col("p.n").alias("counts"))
 
 
@@ -145,4 +145,4 @@ def sax_mindist(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = events(spark, sf_dir).groupBy("event_type", F.floor(F.col("sec") / 86400).alias("day")).agg(F.count("*").cast("double").alias("n"))
     whole = daily.groupBy("day").agg(F.sum("n").alias("n")).withColumn("event_type", F.lit("all"))
     own, base = sax.words(daily, "event_type", "day", "n", 8), sax.words(whole, "event_type", "day", "n", 8)
-    return own.join(F.broadcast(base.select(F.col("word").alias("other"), F.col("rows").alias("base_rows")))).select("event_type", "word", "other", rounded(sax.mindist(F.col("word"), F.col("other"), F.col("rows")), "distance"))
+    return own.withColumn("other", base.select("word").scalar()).select("event_type", "word", "other", rounded(sax.mindist(F.col("word"), F.col("other"), F.col("rows")), "distance"))

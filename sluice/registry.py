@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import ci, formats, logs, monitors, security, series, structures, telemetry
+from sluice.plans import ci, formats, logs, monitors, security, series, streams, structures, telemetry
 
-CASES = [m.CASES for m in (monitors, series, structures, logs, telemetry, security, ci, formats)]
+CASES = [m.CASES for m in (monitors, series, structures, logs, telemetry, security, ci, formats, streams)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
