@@ -31,6 +31,11 @@ CODES = 64
 #: Characters of one string; a longer word is cut into overlapping pieces.
 WIDTH = 16
 _STEP = 8
+#: A word tells if its likelihood ratio (the signed root) reaches SURE and, were both classes as
+#: large, the share TELLING of the documents that hold it would be toxic.
+SURE, TELLING = 4.5, 0.97
+#: Words that begin with the same so many letters are counted together as well: endings vary.
+HEAD = 4
 _MARKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
 
@@ -179,9 +184,9 @@ class Judge:
 
 
 def _solve(features: np.ndarray, labels: np.ndarray, rounds: int = 40, penalty: float = 1e-4) -> np.ndarray:
-    """A linear squared-hinge machine by Newton steps; both classes weigh the same."""
+    """A linear squared-hinge machine by Newton steps; a text has many negative strings, so these weigh more."""
     x = np.concatenate([features, np.ones((len(features), 1))], axis=1)
-    cost = np.where(labels > 0, 0.5 / max(1, (labels > 0).sum()), 0.5 / max(1, (labels < 0).sum()))
+    cost = np.where(labels > 0, 0.5 / max(1, (labels > 0).sum()), 5.0 / max(1, (labels < 0).sum()))
     w = np.zeros(x.shape[1])
     ridge = penalty * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-8
@@ -196,6 +201,43 @@ def _solve(features: np.ndarray, labels: np.ndarray, rounds: int = 40, penalty:
     return w
 
 
+def _signed_root(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The signed root of the likelihood ratio of toxic against clean document counts: how sure the difference is."""
+    both = counts.sum(axis=0)
+    expected = np.maximum(both * total[1] / total.sum(), 1e-12)
+    cells = ((counts[1], expected), (counts[0], both - expected), (total[1] - counts[1], total[1] - expected), (total[0] - counts[0], total[0] - both + expected))
+    ratio = sum(2 * n * np.log(np.maximum(n, 1e-12) / np.maximum(e, 1e-12)) for n, e in cells)
+    return np.sign(counts[1] - expected) * np.sqrt(np.maximum(ratio, 0.0))
+
+
+def _telling(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Which of the counted things make a document toxic."""
+    shares = counts / total[:, None]
+    return (_signed_root(counts, total) >= SURE) & (shares[1] >= TELLING * shares.sum(axis=0))
+
+
+def _logistic(margin: np.ndarray, target: np.ndarray) -> tuple[float, float]:
+    """(slope, offset) of the logistic curve through margins, by Newton steps that never raise the loss."""
+    centre, scale = float(margin.mean()), float(margin.std()) or 1.0
+    x = np.stack([(margin - centre) / scale, np.ones_like(margin)], axis=1)
+
+    def loss(ab: np.ndarray) -> float:
+        z = x @ ab
+        return float((np.logaddexp(0, z) - target * z).sum() + 1e-3 * ab[0] ** 2)
+
+    ab = np.array([1.0, np.log(target.mean() / (1 - target.mean()))])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([2e-3, 1e-9]), x.T @ (p - target) + np.array([2e-3 * ab[0], 0.0]))
+        size = 1.0
+        while size > 1e-6 and loss(ab - size * step) > loss(ab):
+            size /= 2
+        ab = ab - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(ab[0] / scale), float(ab[1] - ab[0] * centre / scale)
+
+
 def fit(texts: list[str], labels: list[int], landmarks: int = 240, rounds: int = 4, hard: int = 6000, seed: int = 7) -> Model:
     """Train on labelled texts; without texts of both classes every text gets the share of ones."""
     marks = np.array(labels, dtype=np.int64)
@@ -208,34 +250,37 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 240, rounds: int =
     encode = Encoder()
     rows, owner = encode(distinct)
     keys, weights = subsequences(rows)
-    # First guess: subsequences that more of the toxic than of the clean documents hold.
-    seen = np.zeros((2, CODES**3))
     first = np.searchsorted(owner, np.arange(len(distinct)))
     last = np.searchsorted(owner, np.arange(len(distinct)), side="right")
+    # How many documents of each class hold each subsequence, and each word.
+    heads, head_of = np.unique([w[:HEAD] for w in distinct], return_inverse=True)
+    seen, held, headed = np.zeros((2, CODES**3)), np.zeros((2, len(distinct))), np.zeros((2, len(heads)))
     for k, (i, j) in enumerate(zip(starts, ends, strict=True)):
         own = np.unique(codes[i:j])
-        pieces = np.concatenate([np.arange(first[c], last[c]) for c in own])
-        seen[marks[k]][np.unique(keys[pieces])] += 1
+        held[marks[k]][own] += 1
+        headed[marks[k]][np.unique(head_of[own])] += 1
+        seen[marks[k]][np.unique(keys[np.concatenate([np.arange(first[c], last[c]) for c in own])])] += 1
     total = np.array([(marks == 0).sum(), (marks == 1).sum()])
-    odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
-    odds[(seen.sum(axis=0) < 3)] = 0.0
+    odds, telling = _signed_root(seen, total), _telling(held, total) | _telling(headed, total)[head_of]
     odds[0] = 0.0
     scores = (odds[keys] * weights).sum(axis=1)
     clean = np.zeros(len(distinct), bool)
     for k in np.flatnonzero(marks == 0):
         clean[codes[starts[k] : ends[k]]] = True
-    negatives = np.flatnonzero(clean[owner])
+    negatives = np.flatnonzero(clean[owner] & ~telling[owner])
 
     def tops(scores: np.ndarray) -> np.ndarray:
-        """The best piece of each toxic document; pieces that clean documents hold too don't count."""
+        """The pieces that make each toxic document toxic: those of its telling words, else its best one
+        that no clean document holds."""
         best = np.full(len(distinct), -np.inf)
-        np.maximum.at(best, owner, np.where(clean[owner], -np.inf, scores))
+        np.maximum.at(best, owner, np.where(clean[owner] & ~telling[owner], -np.inf, scores))
         found = []
         for k in np.flatnonzero(marks == 1):
-            own = codes[starts[k] : ends[k]]
-            c = own[best[own].argmax()]
-            if np.isfinite(best[c]):
-                found.append(first[c] + scores[first[c] : last[c]].argmax())
+            own = np.unique(codes[starts[k] : ends[k]])
+            chosen = own[telling[own]]
+            if not len(chosen):
+                chosen = own[[best[own].argmax()]]
+            found += [first[c] + scores[first[c] : last[c]].argmax() for c in chosen if np.isfinite(best[c])]
         return np.array(found, np.int64)
 
     model = None
@@ -266,15 +311,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 240, rounds: int =
     np.maximum.at(word, owner, scores)
     margin = np.maximum.reduceat(word[codes], starts)
     y = np.where(marks == 1, (total[1] + 1) / (total[1] + 2), 1 / (total[0] + 2))
-    ab = np.array([1.0, 0.0])
-    x = np.stack([margin, np.ones_like(margin)], axis=1)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - y))
-        ab = ab - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    model.slope, model.offset = float(ab[0]), float(ab[1])
+    model.slope, model.offset = _logistic(margin, y)
     return model
 
 
