@@ -211,7 +211,7 @@ def _aligned(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, item_id long, n_seeds long, score double, start_word long, end_word long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, least: float = 0.5, rare: float = 1e-9) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, least: float = 0.4, rare: float = 1e-9) -> DataFrame:
     """One row for each document and test item that it holds a copy of: doc_id, item_id, score,
     start_word, end_word, n_seeds.
 
@@ -234,7 +234,7 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = 0.5, rare: f
     return kept.select("doc_id", "item_id", F.round("b.score", 6).alias("score"), (-F.col("b.before")).alias("start_word"), "b.end_word", "b.n_seeds")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents, with their own columns, that hold no copy of a test item; rows without doc_id stay."""
     bad = contamination(docs, items, least).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
