@@ -110,7 +110,8 @@ def with_next(docs: DataFrame, order: str, columns: list[str]) -> DataFrame:
     if cuts:
         bounds = sorted(set(keyed.agg(F.percentile_approx("__key", cuts, min(2_000_000, 20 * buckets)).alias("b")).first()["b"]) - {least})
     own = _bucket(F.col("__key"), bounds)
-    before = F.when(F.col("__key").isin(bounds) if len(bounds) <= 10 else F.array_contains(F.lit(bounds or [0]), F.col("__key")), F.struct((own - 1).alias("bucket"), F.lit(1).alias("guest")))
+    opens = F.get(F.lit(bounds or [_FIRST]), own - 1) == F.col("__key")  # the first of its bucket
+    before = F.when((own > 0) & opens, F.struct((own - 1).alias("bucket"), F.lit(1).alias("guest")))
     around = F.when(F.col("__key") == F.lit(least), F.struct(F.lit(len(bounds)).alias("bucket"), F.lit(2).alias("guest")))
     homes = F.filter(F.array(F.struct(own.alias("bucket"), F.lit(0).alias("guest")), before, around), lambda x: x.isNotNull())
     spread = keyed.withColumn("__home", F.explode(homes))
