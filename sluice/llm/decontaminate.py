@@ -236,7 +236,7 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = 0.4, rare: f
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents, with their own columns, that hold no copy of a test item; rows without doc_id stay."""
-    bad = contamination(docs, items, least).select("doc_id").distinct()
+    bad = settle(contamination(docs, items, least).select("doc_id").distinct(), "contaminated")  # its size is then known
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
