@@ -7,6 +7,7 @@ where the line doesn't match. Ordered alternatives are tried first to last.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ _ACCESS = {
     "request_time": (r"\d+\.\d+", "double"), "time_local": (r"[^\]]+", "string"), "request": (r'(?:[^"\\]|\\.)*', "string"), "http_referer": (r'(?:[^"\\]|\\.)*', "string"), "http_user_agent": (r'(?:[^"\\]|\\.)*', "string"),
 }
 Grammar = list[tuple[str | None, str, str]]
+_MARK, _BREAK = "\x02", "\x01"
 
 
 def literal(text: str) -> tuple[None, str, str]:
@@ -62,25 +64,49 @@ def pattern(grammar: Grammar) -> str:
     return "^" + "".join(f"({p})" if name else p for name, _, p in grammar) + "$"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed a single time however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse(line: Column, grammar: Grammar) -> Column:
-    """A struct of the named fields, null where the line doesn't match."""
-    whole = pattern(grammar)
+    """A struct of the named fields, null where the line doesn't match.
+
+    One pass of the pattern writes the fields behind a mark; lines that hold the mark or the
+    separator themselves don't match.
+    """
     named = [(name, kind) for name, kind, _ in grammar if name]
-    fields = [F.regexp_extract(line, f"(?s){whole}", k + 1).try_cast(kind).alias(name) for k, (name, kind) in enumerate(named)]
-    return F.when(line.rlike(f"(?s){whole}"), F.struct(*fields))
+    marked = F.regexp_replace(line, f"(?s){pattern(grammar)}", _MARK + _BREAK.join(f"${k + 1}" for k in range(len(named))))
+
+    def fields(parts: Column) -> Column:
+        texts = [F.get(parts, F.lit(k)) for k in range(len(named))]
+        if texts:
+            texts[0] = F.substring(texts[0], F.lit(2), F.char_length(texts[0]))
+        made = F.struct(*[t.try_cast(kind).alias(name) for t, (name, kind) in zip(texts, named, strict=True)]) if named else F.struct(F.lit(True).alias("matched"))
+        return F.when(F.get(parts, F.lit(0)).startswith(_MARK) & ~line.contains(_MARK) & ~line.contains(_BREAK), made)
+
+    return once(F.split(marked, _BREAK), fields)
 
 
 def first_match(line: Column, grammars: list[tuple[str, Grammar]], names: list[str]) -> Column:
     """A struct (rule, fields as a map of text) of the first grammar that matches, else null."""
     out = F.lit(None).cast("struct<rule:string,fields:map<string,string>>")
     for rule, grammar in reversed(grammars):
-        made = parse(line, grammar)
-        own = [n for n, _, _ in grammar if n]
-        fields = F.create_map(*[x for n in own if n in names for x in (F.lit(n), made[n].cast("string"))])
-        out = F.when(made.isNotNull(), F.struct(F.lit(rule).alias("rule"), fields.alias("fields"))).otherwise(out)
+        own = [n for n, _, _ in grammar if n and n in names]
+
+        def chosen(made: Column, rule: str = rule, own: list[str] = own) -> Column:
+            fields = F.create_map(*[x for n in own for x in (F.lit(n), made[n].cast("string"))]) if own else F.create_map().cast("map<string,string>")
+            return F.when(made.isNotNull(), F.struct(F.lit(rule).alias("rule"), fields.alias("fields")))
+
+        out = F.coalesce(once(parse(line, grammar), _single(chosen)), out)
     return out
 
 
+def _single(use: Callable[..., Column]) -> Callable[[Column], Column]:
+    """A function of one column, as transform tells them by their parameters."""
+    return lambda value: use(value)
+
+
 def logfmt(line: Column) -> Column:
     """key=value pairs, values plain or quoted, as a map; of repeated keys the last counts."""
     keys = F.regexp_extract_all(line, F.lit(r'([^\s=]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'), 1)
@@ -100,6 +126,10 @@ def query_map(url: Column) -> Column:
 
 def user_agent(text: Column) -> Column:
     """A struct (browser, version, os): the first known name that the text contains."""
+    return once(text, _user_agent)
+
+
+def _user_agent(text: Column) -> Column:
     browser = (
         F.when(text.contains("Edg/"), "Edge").when(text.contains("OPR/"), "Opera").when(text.contains("Firefox/"), "Firefox").when(text.contains("Chrome/"), "Chrome").when(text.contains("Safari/"), "Safari").otherwise("Other")
     )
