@@ -76,13 +76,18 @@ def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = WIDTH - d1 - d2
         a, b, c = rows[:, :n], rows[:, d1 : d1 + n], rows[:, d1 + d2 : d1 + d2 + n]
         real = (a > 0) & (b > 0) & (c > 0)
-        keys.append(np.where(real, (a * CODES + b) * CODES + c, 0))
-        weights.append(np.where(real, DECAY ** (d1 + d2 - 2), 0.0))
+        keys.append(np.where(real, (a * CODES + b) * CODES + c, 0).astype(np.int32))
+        weights.append(np.where(real, DECAY ** (d1 + d2 - 2), 0.0).astype(np.float32))
     keys, weights = np.concatenate(keys, axis=1), np.concatenate(weights, axis=1)
     norm = np.sqrt((weights * weights).sum(axis=1, keepdims=True))
     return keys, weights / np.maximum(norm, 1e-9)
 
 
+def _weigh(table: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weighted sum of the table's values of each string, some rows at a time."""
+    return np.concatenate([(table[keys[i : i + 8192]] * weights[i : i + 8192]).sum(axis=1) for i in range(0, len(keys), 8192)] or [np.zeros(0)])
+
+
 def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """The subsequence kernel of each string with each landmark."""
     keys, weights = subsequences(rows)
@@ -263,7 +268,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 240, rounds: int =
     total = np.array([(marks == 0).sum(), (marks == 1).sum()])
     odds, telling = _signed_root(seen, total), _telling(held, total) | _telling(headed, total)[head_of]
     odds[0] = 0.0
-    scores = (odds[keys] * weights).sum(axis=1)
+    scores = _weigh(odds, keys, weights)
     clean = np.zeros(len(distinct), bool)
     for k in np.flatnonzero(marks == 0):
         clean[codes[starts[k] : ends[k]]] = True
@@ -303,7 +308,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 240, rounds: int =
         np.add.at(folded, spots.ravel(), (strengths * (whiten @ w[:-1])[:, None]).ravel())
         folded[0] = 0.0
         model = Model(folded, 1.0, float(w[-1]))
-        scores = (folded[keys] * weights).sum(axis=1)
+        scores = _weigh(folded, keys, weights)
     if model is None:
         return Model(np.zeros(CODES**3), 0.0, 0.0)
     # Probabilities: a logistic curve through the documents' largest margins.
