@@ -50,10 +50,10 @@ def _grams(hashes: np.ndarray) -> np.ndarray:
 def _bit_map(df: DataFrame, column: str) -> np.ndarray:
     """A map with a bit for each hash of the column; at most 2**MAP_BITS numbers are collected."""
     low = df.select(F.col(column).bitwiseAND(F.lit((1 << MAP_BITS) - 1)).alias("x")).distinct()
-    bits = np.zeros(1 << MAP_BITS, np.uint8)
+    packed = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     found = low.toArrow().column(0).to_numpy()
-    bits[found] = 1
-    return np.packbits(bits, bitorder="little")
+    np.bitwise_or.at(packed, found >> 3, np.left_shift(1, found & 7).astype(np.uint8))
+    return packed
 
 
 def _holds(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ UNKNOWN = "und"
 #: Character n-grams that an unseen word falls back to, longest first; 0 stands for whole words.
 LENGTHS = (4, 3, 2, 1)
 #: Words held in a task's cache before it starts anew.
-_CACHE = 400_000
+_CACHE = 200_000
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -109,7 +109,8 @@ def train(docs: DataFrame, per_lang: int = 1500, lexicon: int = 20_000) -> Model
     counts = gram_counts(sample_labelled(docs, per_lang))
     group = W.partitionBy("lang", "kind")
     top = counts.withColumn("total", F.sum("n").over(group)).withColumn("place", F.row_number().over(group.orderBy(F.desc("n"), "gram")))
-    rows = [(r["lang"], r["kind"], r["gram"], r["n"], r["total"]) for r in top.filter(F.col("place") <= lexicon).collect()]
+    kept = top.filter(F.col("place") <= lexicon).select("lang", "kind", "gram", "n", "total").toArrow()
+    rows = list(zip(*(c.to_pylist() for c in kept.columns), strict=True))
     return Model(sorted({r[0] for r in rows}), rows)
 
 
