@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.cases import EVENTS, Cases, events, floor_to, rounded
-from sluice.functions import net
+from sluice.functions import net, programs
 from sluice.operators import alerts
 from sluice.session import table
 
@@ -191,3 +191,24 @@ def auth_any_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An alert text for every login of two kinds."""
     rows = events(spark, sf_dir).filter("event_type in ('signup', 'purchase')")
     return rows.select("event_id", F.format_string("user %d %s at %s", F.col("user_id"), F.col("event_type"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("text"))
+
+
+@CASES.add(f"""
+    SELECT event_id, 'u' || user_id AS user, CASE WHEN sec % 1300 > 600 THEN 'drift' WHEN event_id % 2 = 0 THEN 'owner' ELSE 'global' END AS route FROM {EVENTS} WHERE event_type = 'signup'""")
+def login_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins parsed from their line and routed: too old ones apart, known hosts to their owner, others to all."""
+    line = F.format_string("Accepted publickey for u%d from 10.0.0.%d port 22 ssh2", F.col("user_id"), F.col("user_id") % 250)
+    rows = events(spark, sf_dir).filter("event_type = 'signup'").select("event_id", (F.col("sec") % 1300).alias("age"), (F.col("event_id") % 2 == 0).alias("known"), programs.program_fields(F.lit("sshd"), line).alias("p"))
+    route = F.when(F.col("age") > 600, "drift").when(F.col("known"), "owner").otherwise("global")
+    return rows.filter("p.rule = 'accepted'").select("event_id", F.try_element_at("p.fields", F.lit("user")).alias("user"), route.alias("route"))
+
+
+@CASES.add(f"""
+    WITH a AS (SELECT 'n' || n_nationkey AS subject, 'team' || n_regionkey AS channel FROM nation WHERE n_nationkey % 2 = 0)
+    SELECT e.event_id, coalesce(a.channel, CASE WHEN event_type = 'error' THEN 'errors' ELSE 'everyone' END) AS channel FROM {EVENTS} e LEFT JOIN a ON a.subject = 'n' || (e.user_id % 25) WHERE event_type IN ('error', 'purchase')""")
+def alert_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An alert goes to its subject's channel, else errors to one channel and the rest to another."""
+    channels = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("subject"), F.concat(F.lit("team"), F.col("n_regionkey").cast("string")).alias("own"))
+    rows = events(spark, sf_dir).filter("event_type in ('error', 'purchase')").withColumn("subject", F.concat(F.lit("n"), (F.col("user_id") % 25).cast("string")))
+    fallback = F.when(F.col("event_type") == "error", "errors").otherwise("everyone")
+    return rows.join(channels, "subject", "left").select("event_id", F.coalesce("own", fallback).alias("channel"))

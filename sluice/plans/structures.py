@@ -185,3 +185,44 @@ def matcher_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matcher: two types, a sample of the ids, a field that must be there."""
     rows = events(spark, sf_dir).filter("event_type in ('click', 'view') and event_id % 100 < 3 and value is not null")
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), rounded(F.sum("value"), "total"))
+
+
+@CASES.add("SELECT c_custkey, md5(c_name) AS md5, sha256(c_name) AS sha256, substr(sha1(c_name), 1, 8) AS sha1 FROM customer")
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of names."""
+    return table(spark, sf_dir, "customer").select("c_custkey", F.md5("c_name").alias("md5"), F.sha2("c_name", 256).alias("sha256"), F.substring(F.sha1("c_name"), 1, 8).alias("sha1"))
+
+
+@CASES.add()
+def hash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How evenly a 64-bit hash deals users to sixteen buckets."""
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(16)).cast("int")
+    return events(spark, sf_dir).groupBy(bucket.alias("bucket")).agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("n"))
+
+
+@CASES.add(f"""
+    SELECT event_type, 'message ' || event_type || ' {{' || ' ' || CASE WHEN event_type = 'view' THEN 'optional' ELSE 'required' END || ' int64 k; required double value; }}' AS declaration FROM {EVENTS} GROUP BY 1""")
+def schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type's fields written as a declaration: required if all of its messages have them."""
+    k = F.when((F.col("event_type") != "view") | (F.col("event_id") % 2 == 0), jsonx.find("props", "k"))
+    fields = F.array(F.struct(F.lit("k").alias("name"), F.lit("int64").alias("kind"), k.isNotNull().alias("there")), F.struct(F.lit("value").alias("name"), F.lit("double").alias("kind"), F.col("value").isNotNull().alias("there")))
+    counts = events(spark, sf_dir).select("event_type", F.explode(fields).alias("f")).groupBy("event_type", "f.name", "f.kind").agg(F.bool_and("f.there").alias("all"))
+    line = F.concat(F.when(F.col("all"), "required ").otherwise("optional "), F.col("kind"), F.lit(" "), F.col("name"), F.lit(";"))
+    made = counts.groupBy("event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", line.alias("line")))), lambda x: x["line"]), " ").alias("body"))
+    return made.select("event_type", F.concat(F.lit("message "), F.col("event_type"), F.lit(" { "), F.col("body"), F.lit(" }")).alias("declaration"))
+
+
+@CASES.add("""
+    WITH t AS (SELECT DISTINCT conv_id, role FROM conversations), n AS (SELECT role, count(*) AS n FROM conversations GROUP BY 1)
+    SELECT role, n.n AS turns, count(conv_id) AS conversations FROM n JOIN t USING (role) GROUP BY 1, 2""")
+def role_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and conversations of each role."""
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"))
+
+
+@CASES.add("""
+    SELECT label, count(*) AS n, round(avg(embedding[1]), 6) AS first, round(max(list_sum(list_transform(embedding, lambda x: x * x))), 4) AS norm FROM embeddings GROUP BY 1""")
+def vector_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by label: the first coordinate's mean and the largest squared norm."""
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), rounded(F.avg(F.get("embedding", F.lit(0)).cast("double")), "first"), rounded(F.max(norm), "norm", 4))
