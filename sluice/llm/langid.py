@@ -73,35 +73,48 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies by language: words and n-grams map to a row of scores."""
+    """Log frequencies by language: a table with a row for each word and n-gram; row 0 is all zeros."""
 
     def __init__(self, langs: list[str], rows: list[tuple[str, int, str, int, int]]) -> None:
         """rows: (lang, kind, gram, n, total of that language and kind)."""
         self.langs = langs
         at = {x: k for k, x in enumerate(langs)}
-        index: dict[int, dict[str, int]] = {k: {} for k in (0, *LENGTHS)}
+        self.index: dict[int, dict[str, int]] = {k: {} for k in (0, *LENGTHS)}
+        kinds = [0]
         for _, kind, gram, _, _ in rows:
-            index[kind].setdefault(gram, len(index[kind]))
+            if gram not in self.index[kind]:
+                self.index[kind][gram] = len(kinds)
+                kinds.append(kind)
         totals = {(lang, kind): total for lang, kind, _, _, total in rows}
-        self.index, self.scores = index, {}
-        for kind, grams in index.items():
-            floor = np.array([np.log(0.5 / max(totals.get((x, kind), 1), 1)) for x in langs], np.float32)
-            self.scores[kind] = np.tile(floor, (max(len(grams), 1), 1))
+        floors = {kind: [np.log(0.5 / max(totals.get((x, kind), 1), 1)) for x in langs] for kind in self.index}
+        self.table = np.array([floors[k] for k in kinds], np.float32).reshape(len(kinds), len(langs))
+        self.table[0] = 0.0
         for lang, kind, gram, n, total in rows:
-            self.scores[kind][index[kind][gram], at[lang]] = np.log(n / total)
-
-    def word(self, word: str) -> np.ndarray:
-        """Relative log likelihood of a word in each language; zeros if nothing of it is known."""
-        k = self.index[0].get(word)
-        if k is not None:
-            row = self.scores[0][k]
-            return row - row.max()
-        for n in LENGTHS:
-            known = [self.index[n][g] for g in _grams(word, n) if g in self.index[n]]
-            if known:
-                row = self.scores[n][known].mean(axis=0)
-                return row - row.max()
-        return np.zeros(len(self.langs), np.float32)
+            self.table[self.index[kind][gram], at[lang]] = np.log(n / total)
+
+    def rows_of(self, word: str) -> list[int]:
+        """The table's rows that speak for a word: its own, else those of its longest known n-grams, else row 0."""
+        own = self.index[0].get(word)
+        if own is not None:
+            return [own]
+        if word:
+            marked = f"^{word}$"
+            for n in LENGTHS:
+                index = self.index[n]
+                known = [k for i in range(len(marked) - n + 1) if (k := index.get(marked[i : i + n])) is not None]
+                if known:
+                    return known
+        return [0]
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """Relative log likelihood of each word in each language: the mean of its rows, at most zero."""
+        if not words:
+            return np.zeros((0, len(self.langs)), np.float32)
+        found = [self.rows_of(w) for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((k for own in found for k in own), np.int64, int(counts.sum()))
+        means = np.add.reduceat(self.table[flat], np.cumsum(counts) - counts, axis=0) / counts[:, None]
+        return means - means.max(axis=1, keepdims=True) if len(self.langs) else means
 
 
 def train(docs: DataFrame, per_lang: int = 1500, lexicon: int = 20_000) -> Model:
@@ -126,16 +139,13 @@ class Judge:
     def _places(self, words: list[str]) -> np.ndarray:
         if len(self.cache) + len(words) > _CACHE:
             self.cache.clear()
-        cache, place = self.cache, np.zeros(len(words), np.int64)
-        for k, word in enumerate(words):
-            at = cache.get(word)
-            if at is None:
-                at = cache[word] = len(cache)
-                if at >= len(self.vectors):
-                    self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-                self.vectors[at, : self.width] = self.model.word(word) if word else 0.0
-            place[k] = at
-        return place
+        cache, base = self.cache, len(self.cache)
+        new = [w for w in words if w not in cache]
+        cache.update(zip(new, range(base, base + len(new)), strict=True))
+        while len(self.vectors) < len(cache):
+            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+        self.vectors[base : base + len(new), : self.width] = self.model.vectors(new)
+        return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """The predicted language and its probability for each text."""
@@ -144,7 +154,7 @@ class Judge:
         parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}]+")
         flat, starts = parts.flatten(), parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
         coded = flat.dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         place = self._places(words)
         sums = np.add.reduceat(self.vectors[place[codes]], starts, axis=0, dtype=np.float64)
         letters = np.add.reduceat(np.array([bool(x) for x in words])[codes], starts, dtype=np.int64)
