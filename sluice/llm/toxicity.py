@@ -3,10 +3,12 @@
 Two strings are alike if they share three-character subsequences; a subsequence counts less the
 more characters its span holds, so letters that were left out or put in cost little. The kernel
 of a string with each landmark, whitened, is its feature vector (Nyström). The machine learns
-from labelled documents cut into sentences: each sentence of a clean document is a negative
-example, and in each toxic document the sentence part that scores highest is the positive one, found
-anew in each round. The weights of all landmarks fold into one weight for each subsequence, so
-that scoring a string takes no pass over the landmarks.
+from labelled documents, whose label each of their sentences carries, though most sentences of a
+toxic document are clean: the strings of clean documents are the negative examples, and in each toxic
+document the positive ones are the words that tell (many toxic and hardly any clean documents hold
+them), or else the string that scores highest, found anew in each round. The weights of all
+landmarks fold into one weight for each subsequence, so that scoring a string takes no pass over
+the landmarks. A text scores as its most toxic string does.
 """
 
 from __future__ import annotations
