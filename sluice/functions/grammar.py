@@ -124,18 +124,35 @@ def query_map(url: Column) -> Column:
     return F.transform_values(F.map_from_arrays(F.array_distinct(names), F.array_distinct(names)), lambda k, v: F.try_url_decode(F.regexp_extract(F.element_at(F.filter(pairs, lambda p: F.try_url_decode(F.regexp_extract(p, "^([^=]*)", 1)) == k), 1), "^[^=]*=?(.*)$", 1)))
 
 
+#: Product tokens that don't name a browser of their own, and short forms: fixed values.
+_GENERIC = ("AppleWebKit", "Gecko", "KHTML", "Version", "Mobile", "Chrome", "Safari")
+_SHORT = {"Edg": "Edge", "OPR": "Opera"}
+
+
 def user_agent(text: Column) -> Column:
-    """A struct (browser, version, os): the first known name that the text contains."""
+    """A struct (browser, version, os).
+
+    The browser is the last product token that isn't generic (the first one of several is a
+    compatibility mark), else Chrome or Safari where the text names them, else Other.
+    """
     return once(text, _user_agent)
 
 
 def _user_agent(text: Column) -> Column:
-    browser = (
-        F.when(text.contains("Edg/"), "Edge").when(text.contains("OPR/"), "Opera").when(text.contains("Firefox/"), "Firefox").when(text.contains("Chrome/"), "Chrome").when(text.contains("Safari/"), "Safari").otherwise("Other")
-    )
-    version = F.regexp_extract(text, r"(?:Edg|OPR|Firefox|Chrome|Version)/(\d+)", 1).try_cast("int")
-    system = F.when(text.contains("Windows"), "Windows").when(text.contains("Android"), "Android").when(text.contains("iPhone") | text.contains("iPad"), "iOS").when(text.contains("Mac OS"), "Mac").when(text.contains("Linux"), "Linux").otherwise("Other")
-    return F.struct(browser.alias("browser"), version.alias("version"), system.alias("os"))
+    token = F.lit(r"([A-Za-z]+)/(\d+)")
+    pairs = F.arrays_zip(F.regexp_extract_all(text, token, 1).alias("name"), F.regexp_extract_all(text, token, 2).alias("version"))
+
+    def chosen(pairs: Column) -> Column:
+        own = F.filter(F.when(F.size(pairs) > 1, F.slice(pairs, F.lit(2), F.size(pairs))).otherwise(pairs), lambda p: ~p["name"].isin(*_GENERIC))
+        named = lambda name: F.get(F.filter(pairs, lambda p: p["name"] == name), F.lit(0))
+        found = F.coalesce(F.get(own, F.size(own) - 1), named("Chrome"), F.when(named("Safari").isNotNull(), F.struct(F.lit("Safari").alias("name"), F.coalesce(named("Version")["version"], named("Safari")["version"]).alias("version"))))
+        name = found["name"]
+        for short, long in _SHORT.items():
+            name = F.when(found["name"] == short, long).otherwise(name)
+        system = F.when(text.contains("Windows"), "Windows").when(text.contains("Android"), "Android").when(text.contains("iPhone") | text.contains("iPad"), "iOS").when(text.contains("Mac OS"), "Mac").when(text.contains("Linux"), "Linux").otherwise("Other")
+        return F.struct(F.coalesce(name, F.lit("Other")).alias("browser"), found["version"].try_cast("int").alias("version"), system.alias("os"))
+
+    return once(pairs, chosen)
 
 
 def hive_name(name: str) -> str:

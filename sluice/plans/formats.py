@@ -41,11 +41,11 @@ def printf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CASES.add(f"""
-    SELECT event_id, '10.0.' || (user_id % 256) || '.7' AS remote_addr, 'GET /' || event_type || ' HTTP/1.1' AS request, CAST(200 + event_id % 300 AS INTEGER) AS status, CASE WHEN event_id % 3 > 0 THEN user_id * 10 END AS body_bytes_sent, 'Firefox' AS browser, 99 AS version FROM {EVENTS}""")
+    SELECT event_id, '10.0.' || (user_id % 256) || '.7' AS remote_addr, 'GET /' || event_type || ' HTTP/1.1' AS request, CAST(200 + event_id % 300 AS INTEGER) AS status, CASE WHEN event_id % 3 > 0 THEN user_id * 10 END AS body_bytes_sent, 'Rocket' AS browser, 99 AS version FROM {EVENTS}""")
 def clf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access log lines by their format, with the browser."""
     template = '$remote_addr - $remote_user [$time_local] "$request" $status $body_bytes_sent "$http_referer" "$http_user_agent"'
-    agent = "Mozilla/5.0 (X11; Linux x86_64) Gecko/20100101 Firefox/99.0"
+    agent = "Agent/5.0 (X11; Linux x86_64) Gecko/20100101 Rocket/99.0"
     size = F.when(F.col("event_id") % 3 > 0, (F.col("user_id") * 10).cast("string")).otherwise("-")
     line = F.concat(
         F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".7 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), F.col("event_type"), F.lit(' HTTP/1.1" '),
@@ -82,16 +82,16 @@ def url_query_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CASES.add("""
-    SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Firefox' WHEN 1 THEN 'Edge' WHEN 2 THEN 'Safari' ELSE 'Other' END AS browser, CAST(CASE c_custkey % 4 WHEN 0 THEN 70 + c_nationkey WHEN 1 THEN 80 + c_nationkey WHEN 2 THEN c_nationkey END AS INTEGER) AS version,
+    SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Rocket' WHEN 1 THEN 'Edge' WHEN 2 THEN 'Safari' ELSE 'Other' END AS browser, CAST(CASE c_custkey % 4 WHEN 0 THEN 70 + c_nationkey WHEN 1 THEN 80 + c_nationkey WHEN 2 THEN c_nationkey END AS INTEGER) AS version,
         CASE c_custkey % 4 WHEN 0 THEN 'Windows' WHEN 1 THEN 'Windows' WHEN 2 THEN 'iOS' ELSE 'Other' END AS os FROM customer""")
 def ua_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Browser, version and system of user agents."""
     n = F.col("c_nationkey")
     agents = F.array(
-        F.format_string("Mozilla/5.0 (Windows NT 10.0) Gecko/20100101 Firefox/%d.0", 70 + n), F.format_string("Mozilla/5.0 (Windows NT 10.0) Chrome/99 Safari/537 Edg/%d.1", 80 + n).alias("e"),
-        F.format_string("Mozilla/5.0 (iPhone; CPU iPhone OS 15_0 like Mac OS X) Version/%d.0 Mobile Safari/604.1", n), F.lit("curl"),
+        F.format_string("Agent/5.0 (Windows NT 10.0) Gecko/20100101 Rocket/%d.0", 70 + n), F.format_string("Agent/5.0 (Windows NT 10.0) Chrome/99 Safari/537 Edg/%d.1", 80 + n).alias("e"),
+        F.format_string("Agent/5.0 (iPhone; CPU iPhone OS 15_0 like Mac OS X) Version/%d.0 Mobile Safari/604.1", n), F.lit("curl"),
     )
-    text = F.regexp_replace(F.element_at(agents, (F.col("c_custkey") % 4 + 1).cast("int")), r"Chrome/99 ", "")
+    text = F.element_at(agents, (F.col("c_custkey") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", grammar.user_agent(text).alias("u")).select("c_custkey", "u.*")
 
 

@@ -48,7 +48,7 @@ def histogram_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CASES.add(f"SELECT coalesce(CASE WHEN event_type <> 'view' THEN event_type END, '<none>') AS error, count(*) AS n FROM {EVENTS} GROUP BY 1")
-def landfill_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by error text."""
     return events(spark, sf_dir).groupBy(F.coalesce(F.when(F.col("event_type") != "view", F.col("event_type")), F.lit("<none>")).alias("error")).agg(F.count("*").alias("n"))
 

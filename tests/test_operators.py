@@ -187,3 +187,15 @@ def test_histogram_slots(spark):
     df = spark.createDataFrame([(0.5,), (1.0,), (1e9,)], "v double")
     assert [r[0] for r in df.select(histogram.exponential_slot(F.col("v"), 10)).collect()] == [0, 0, 9]
     assert math.isclose(sum(r["share"] for r in histogram.shares(histogram.counts(df, [], histogram.linear_slot(F.col("v"), 1.0, 3)), []).collect()), 1, abs_tol=1e-5)
+
+
+@pytest.mark.parametrize(
+    ("text", "made"),
+    [
+        ("Agent/5.0 (X11; Linux) Gecko/2010 Rocket/99.0", ("Rocket", 99, "Linux")), ("Agent/5.0 (Windows NT 10.0) AppleWebKit/537 Chrome/99.1 Safari/537", ("Chrome", 99, "Windows")),
+        ("Agent/5.0 (Macintosh; Mac OS X) AppleWebKit/605 Version/15.2 Safari/605", ("Safari", 15, "Mac")), ("Agent/5.0 (Windows NT) Chrome/90 Safari/5 OPR/80.0", ("Opera", 80, "Windows")),
+        ("curl/7.1", ("curl", 7, "Other")), ("", ("Other", None, "Other")), (None, ("Other", None, "Other")),
+    ],
+)
+def test_user_agents(spark, text, made):
+    assert tuple(spark.range(1).select(grammar.user_agent(F.lit(text).cast("string")).alias("u")).first()["u"]) == made
