@@ -47,7 +47,7 @@ def kind_costs_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CASES.add("""
     WITH n AS (SELECT o_custkey AS g, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS cost, list_sort(list(DISTINCT o_orderstatus)) AS states, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
     o AS (SELECT o_custkey AS g, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS cost, list_sort(list(DISTINCT o_orderstatus)) AS states, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
-    SELECT coalesce(n.g, o.g) AS g, CAST(coalesce(o.cost, 0) + coalesce(n.cost, 0) AS DOUBLE) AS cost, list_sort(list_distinct(list_concat(coalesce(o.states, []), coalesce(n.states, [])))) AS states,
+    SELECT coalesce(n.g, o.g) AS g, CAST(coalesce(o.cost, 0) + coalesce(n.cost, 0) AS DOUBLE) AS cost, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.states, []), coalesce(n.states, [])))), ',') AS states,
         least(n.lo, o.lo) AS first, greatest(n.hi, o.hi) AS last FROM n FULL JOIN o ON n.g = o.g""")
 def taskgroup_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New group totals merged into old ones: matched groups add up, new ones are inserted, old ones stay."""
@@ -61,7 +61,7 @@ def taskgroup_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     states = F.sort_array(F.array_distinct(F.flatten(F.array(F.coalesce("o.states", none), F.coalesce("n.states", none)))))
     cost = F.coalesce("o.cost", F.lit(0)) + F.coalesce("n.cost", F.lit(0))
-    return new.join(old, "g", "full").select("g", cost.cast("double").alias("cost"), states.alias("states"), F.least("n.lo", "o.lo").alias("first"), F.greatest("n.hi", "o.hi").alias("last"))
+    return new.join(old, "g", "full").select("g", cost.cast("double").alias("cost"), F.array_join(states, ",").alias("states"), F.least("n.lo", "o.lo").alias("first"), F.greatest("n.hi", "o.hi").alias("last"))
 
 
 @CASES.add(f"""

@@ -31,13 +31,13 @@ def ts_spine_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CASES.add(f"""
     WITH c AS (SELECT event_type, sec // 86400 * 86400 AS bucket, count(*) AS n FROM {EVENTS} GROUP BY 1, 2), l AS (SELECT max(bucket) AS newest FROM c)
-    SELECT event_type, list(n ORDER BY bucket) AS counts FROM c, l WHERE bucket BETWEEN newest - 604800 AND newest - 86400 GROUP BY 1""")
+    SELECT event_type, string_agg(n, ',' ORDER BY bucket) AS counts FROM c, l WHERE bucket BETWEEN newest - 604800 AND newest - 86400 GROUP BY 1""")
 def ts_range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each type's daily counts of the week before the newest day, as one array."""
     daily = events(spark, sf_dir).groupBy("event_type", floor_to("sec", 86400).alias("bucket")).agg(F.count("*").alias("n"))
     newest = daily.agg(F.max("bucket")).scalar()
     week = daily.withColumn("newest", newest).filter("bucket between newest - 604800 and newest - 86400")
-    return week.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("p")).select("event_type", F.col("p.n").alias("counts"))
+    return week.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("p")).select("event_type", F.array_join(F.col("p.n").cast("array<string>"), ",").alias("counts"))
 
 
 @CASES.add(f"""

@@ -115,12 +115,12 @@ def ndtr_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CASES.add(f"""
-    SELECT user_id, map_from_entries(list({{'k': event_type, 'v': total}} ORDER BY event_type)) AS totals
+    SELECT user_id, '{{' || string_agg('"' || event_type || '":' || total, ',' ORDER BY event_type) || '}}' AS totals
     FROM (SELECT user_id, event_type, CAST(sum(json_extract(props, '$.k')::BIGINT) AS BIGINT) AS total FROM {EVENTS} GROUP BY 1, 2) GROUP BY 1""")
 def merge_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One object per user in which equal names are summed."""
     rows = events(spark, sf_dir).select("user_id", F.create_map("event_type", jsonx.find("props", "k").cast("long")).alias("totals"))
-    return jsonx.merge_counts(rows, ["user_id"], "totals")
+    return jsonx.merge_counts(rows, ["user_id"], "totals").withColumn("totals", F.to_json("totals"))
 
 
 @CASES.add(f"SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_type AS head_kind, value AS head_size FROM {EVENTS}")
@@ -173,11 +173,11 @@ def schema_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(totals, "event_type").select("event_type", "name", "present", kind.alias("kind"), (F.col("present") == F.col("total")).alias("required"))
 
 
-@CASES.add("SELECT conv_id, CAST(len(list(role)) AS BIGINT) AS turns, list(role ORDER BY turn) AS roles, max(turn) AS last FROM conversations GROUP BY 1")
+@CASES.add("SELECT conv_id, CAST(len(list(role)) AS BIGINT) AS turns, array_to_string(list(role ORDER BY turn), ',') AS roles, max(turn) AS last FROM conversations GROUP BY 1")
 def ordered_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered arrays of a conversation's roles."""
     made = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    return made.select("conv_id", F.size("t").cast("long").alias("turns"), F.col("t.role").alias("roles"), F.array_max("t.turn").alias("last"))
+    return made.select("conv_id", F.size("t").cast("long").alias("turns"), F.array_join("t.role", ",").alias("roles"), F.array_max("t.turn").alias("last"))
 
 
 @CASES.add("SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE event_type IN ('click', 'view') AND event_id % 100 < 3 AND value IS NOT NULL GROUP BY 1")
