@@ -1,102 +1,209 @@
 """Cross-entropy difference: target and background n-gram models over one vocabulary score each document.
 
-Both models are interpolated bigram models. They share one vocabulary: words and word pairs are
-hashed into tables of fixed size, so that every word of the corpus counts in both and the broadcast
-has a proven bound. The background counts all documents, the target those that are marked.
+Both models are interpolated bigram models with a count of their own for every word and every pair
+of the corpus; the background counts all documents, the target those that are marked. The counts
+are never broadcast. Documents are dealt to blocks. A block counts its own words and pairs first and
+sends them, sorted, to buckets of keys; a bucket adds the blocks up and answers each with the
+totals in the order of its keys, which then needn't travel back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import settle, slices, word_codes
+from sluice.llm.common import slices, word_codes
 from sluice.session import table
 
-#: Slots for words and for word pairs: 4 * 2 * (2**19 + 2**20) bytes are broadcast, 12.6 MB.
-WORD_BITS, PAIR_BITS = 19, 20
+#: Words that smoothing reckons with, 2**19; more if the corpus has more.
+WORD_BITS = 19
 #: Weight of the pair's frequency against the word's.
 PAIR_WEIGHT = 0.6
-_START = np.uint64(0x5851F42D4C957F2D)
-
-
-def _slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word slots, slots of the words before, pair slots, starts) of texts; the first word follows a start mark."""
-    distinct, codes, starts = word_codes(texts)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[codes] if len(codes) else np.zeros(0, np.uint64)
-    before = np.concatenate(([_START], hashes[:-1])) if len(hashes) else hashes
-    first = starts[:-1][starts[:-1] < starts[1:]]
-    before[first] = _START
+#: Bytes of text of a block on average at most; a bucket has a like share of the keys.
+BLOCK_BYTES = 16_000_000
+#: Buckets at least.
+BUCKETS = 1 << 10
+#: Keys are 63 bits of a hash, and the lowest bit tells words (0) from pairs (1).
+_PAIR = np.uint64(1)
+#: The keys of all tokens and of the start mark.
+_TOTAL, _START = np.uint64(0), np.uint64(0x5851F42D4C957F2C)
+_ROWS = "bucket int, block int, keys binary, n_background binary, n_target binary"
+
+
+def _keys(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word keys, pair keys, starts) of texts; the first word of each follows a start mark."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for part in (s for chunk in texts.chunks for s in slices(chunk)):
+        distinct, codes, starts = word_codes(part)
+        if len(codes):
+            hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[codes] & ~_PAIR)
+        counts.append(np.diff(starts))
+    words, starts = np.concatenate(hashes), np.cumsum(np.concatenate(counts))
     with np.errstate(over="ignore"):
-        pairs = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes * np.uint64(0xC2B2AE3D27D4EB4F))
-        pairs ^= pairs >> np.uint64(31)
-    words = np.uint64((1 << WORD_BITS) - 1)
-    return (hashes & words).astype(np.int64), (before & words).astype(np.int64), (pairs & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int64), starts
-
-
-def slot_counts(docs: DataFrame) -> DataFrame:
-    """(slot, n_background, n_target) over all rows (text, is_target); pair slots follow the word slots, then the start mark."""
-    words, size = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << PAIR_BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, size + 1), np.int64)
-        for batch in batches:
-            marks, done = batch.column(1).to_numpy(zero_copy_only=False).astype(bool), 0
-            for texts in slices(batch.column(0)):
-                word, _, pair, starts = _slots(texts)
-                target = np.repeat(marks[done : done + len(texts)], np.diff(starts))
-                done += len(texts)
-                for k, chosen in ((0, slice(None)), (1, target)):
-                    counts[k, :words] += np.bincount(word[chosen], minlength=words)
-                    counts[k, words:size] += np.bincount(pair[chosen], minlength=size - words)
-                full = np.diff(starts) > 0
-                counts[0, size] += full.sum()
-                counts[1, size] += (full & marks[done - len(texts) : done]).sum()
-        slots = np.flatnonzero(counts[0])
-        for at in range(0, len(slots), 100_000):
-            part = slots[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[0][part]), pa.array(counts[1][part])], ["slot", "n_background", "n_target"])
-
-    made = docs.select("text", "is_target").mapInArrow(run, "slot int, n_background long, n_target long")
-    return made.groupBy("slot").agg(F.sum("n_background").alias("n_background"), F.sum("n_target").alias("n_target"))
+        pairs = (_before(words, starts, _START) * np.uint64(0x9E3779B97F4A7C15)) ^ (words * np.uint64(0xC2B2AE3D27D4EB4F))
+    return words, (pairs ^ (pairs >> np.uint64(31))) | _PAIR, starts
+
+
+def _before(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """The value of the word before each word, and `first` where a text starts."""
+    before = np.empty_like(values)
+    before[1:] = values[:-1]
+    before[starts[:-1][starts[:-1] < starts[1:]]] = first
+    return before
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned integers in as many bytes as the largest needs, all lowest bytes first."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8, offset=1).reshape(packed[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : packed[0]] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+def _counted(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct keys in order, the place of each key, sums of each weight)."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    return distinct, place, [np.bincount(place, w, len(distinct)).astype(np.int64) for w in weights]
+
+
+class Corpus:
+    """Documents and the ids of the target's documents, from which both models count."""
+
+    def __init__(self, docs: DataFrame, targets: DataFrame) -> None:
+        self.docs, self.spark = docs, docs.sparkSession
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        self.blocks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+        self.bits = (max(BUCKETS, -(-size // BLOCK_BYTES)) - 1).bit_length()
+        self.ids = targets.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").select(self._block(F.col("doc_id")), "doc_id")
+
+    @cached_property
+    def _names(self) -> list[int]:
+        """A name for each block, so that Spark deals as many blocks to one partition as to another."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if self.blocks > 8192:
+            return []
+        each = -(-self.blocks // n)
+        at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+        found = self.spark.range(0, 32 * n * each, 1, 1).groupBy(at.alias("p")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, each).alias("ids")).collect()
+        return [k for r in found for k in r["ids"]]
+
+    def _block(self, key: Column) -> Column:
+        if not self._names:
+            return F.pmod(F.xxhash64(key), F.lit(self.blocks)).cast("int").alias("block")
+        names = F.array(*[F.lit(k).cast("int") for k in self._names])
+        return F.get(names, F.pmod(F.xxhash64(key), F.lit(len(self._names))).cast("int")).alias("block")
+
+    def dealt(self, docs: DataFrame) -> DataFrame:
+        """(block, doc_id, text); rows of one id share a block."""
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        return rows.select(self._block(F.coalesce("doc_id", F.xxhash64("text"))), "doc_id", "text")
+
+    def counts(self, docs: DataFrame, ids: DataFrame | None) -> DataFrame:
+        """The words and pairs of each block with its own counts, in a row for each bucket; without ids the counts are 0."""
+        bits, learn = self.bits, ids is not None
+
+        def run(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
+            made = []
+            if texts.num_rows:
+                words, pairs, starts = _keys(texts.column("text"))
+                n = np.diff(starts)
+                wanted = np.isin(texts.column("doc_id").to_numpy(), marks.column("doc_id").to_numpy())
+                own = np.concatenate((words, pairs, np.full(len(n), _START), np.full(len(n), _TOTAL)))
+                full, target = (n > 0).astype(np.int64), np.repeat(wanted, n)
+                everywhere = np.concatenate((np.ones(2 * len(words), np.int64), full, n))
+                distinct, _, (background, chosen) = _counted(own, everywhere, np.concatenate((target, target, full * wanted, n * wanted)))
+                edges = np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(distinct)]
+                for bucket in range(1 << bits):
+                    i, j = edges[bucket], edges[bucket + 1]
+                    steps = np.diff(distinct[i:j], prepend=np.uint64(bucket << (64 - bits)))
+                    made.append((bucket, _pack(steps), _pack(background[i:j] * learn), _pack(chosen[i:j] * learn)))
+            columns = list(zip(*made, strict=True)) or [[]] * 4
+            return pa.table([pa.array(columns[0], pa.int32()), pa.array([key[0].as_py()] * len(made), pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "block", "keys", "n_background", "n_target"])
+
+        marks = ids if learn else self.ids.limit(0)
+        return self.dealt(docs).groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, _ROWS)
+
+    def totals(self, rows: DataFrame) -> DataFrame:
+        """(block, bucket, n_background, n_target, vocabulary): the totals of the keys of each of rows, and the bucket's distinct words."""
+        bits = self.bits
+
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            bucket = key[0].as_py()
+            base = np.uint64(bucket << (64 - bits))
+            read = [[_unpack(x) for x in rows.column(c).to_pylist()] for c in ("keys", "n_background", "n_target")]
+            keys = np.concatenate([np.cumsum(x, dtype=np.uint64) + base for x in read[0]])
+            distinct, place, sums = _counted(keys, np.concatenate(read[1]), np.concatenate(read[2]))
+            seen = (sums[0] > 0) & (distinct & _PAIR == 0) & (distinct != _TOTAL) & (distinct != _START)
+            blocks = rows.column("block").to_pylist()
+            edges = np.concatenate(([0], np.cumsum([len(x) for x in read[0]])))
+            made = [(block, *(_pack(s[place[edges[k] : edges[k + 1]]]) for s in sums)) for k, block in enumerate(blocks) if block is not None]
+            columns = list(zip(*made, strict=True)) or [[]] * 3
+            n = len(made)
+            return pa.table(
+                [pa.array(columns[0], pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), pa.array([int(seen.sum())] * n, pa.int64())],
+                ["block", "bucket", "n_background", "n_target", "vocabulary"],
+            )
+
+        return rows.groupBy("bucket").applyInArrow(run, "block int, bucket int, n_background binary, n_target binary, vocabulary long")
+
+    @cached_property
+    def sizes(self) -> dict[str, tuple[int, int]]:
+        """(tokens, documents with a word) of each model."""
+        bits = self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for bucket, keys, *counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "n_background", "n_target")), strict=True):
+                    own = np.cumsum(_unpack(keys), dtype=np.uint64) + np.uint64(bucket << (64 - bits))
+                    sums = [int(_unpack(c)[own == k].sum()) for c in counts for k in (_TOTAL, _START)]
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()) for s in sums], ["a", "b", "c", "d"])
+
+        special = [int(k >> np.uint64(64 - bits)) for k in (_TOTAL, _START)]
+        r = self.counts(self.docs, self.ids).filter(F.col("bucket").isin(special)).mapInArrow(run, "a long, b long, c long, d long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "abcd"]).first()
+        return {"background": (r["a"], r["b"]), "target": (r["c"], r["d"])}
 
 
 class Model:
-    """Frequencies of words and of pairs given the word before."""
+    """Frequencies of words and of pairs given the word before: one side of a corpus."""
+
+    def __init__(self, corpus: Corpus, side: str) -> None:
+        self.corpus, self.side = corpus, side
+
+    @property
+    def total(self) -> int:
+        return self.corpus.sizes[self.side][0]
+
+    @property
+    def start(self) -> int:
+        return self.corpus.sizes[self.side][1]
 
-    def __init__(self, slots: np.ndarray, counts: np.ndarray) -> None:
-        words, size = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << PAIR_BITS)
-        dense = np.zeros(size + 1, np.float32)
-        dense[slots] = counts
-        self.words, self.pairs = dense[:words].copy(), dense[words:size].copy()
-        self.start, self.total = float(dense[size]), float(dense[:words].sum(dtype=np.float64))
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The negative log likelihood of each word after the one before."""
-        context = self.words[before]
-        context[first] = self.start
-        alone = (self.words[word] + 0.5) / (self.total + 0.5 * len(self.words))
-        both = np.minimum(self.pairs[pair] / np.maximum(context, 1.0), 1.0)
-        weight = np.where(context > 0, PAIR_WEIGHT, 0.0)
-        return -np.log(weight * both + (1 - weight) * alone)
+def losses(word: np.ndarray, context: np.ndarray, pair: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+    """The negative log likelihood of each word after the one before, from their counts."""
+    alone = (word + 0.5) / (total + 0.5 * max(vocabulary, 1 << WORD_BITS))
+    weight = np.where(context > 0, PAIR_WEIGHT, 0.0)
+    return -np.log(weight * pair / np.maximum(context, 1) + (1 - weight) * alone)
 
 
 def train(docs: DataFrame, targets: DataFrame) -> tuple[Model, Model]:
     """(target, background) models; targets has the doc_ids of the target's documents.
 
-    The ids are always joined by a shuffle, whatever their number: they grow with the corpus, and a
-    join that changed with their size would change the cost as well. Documents without id are background only. At most 2**19 + 2**20 + 1 rows reach the driver.
+    Documents without id are background only. Counting starts when documents are scored: only then
+    is it known which blocks want which counts, and nothing of the corpus's size reaches the driver.
     """
-    ids = settle(targets.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True)), "targets")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids.hint("shuffle_hash"), "doc_id", "left")
-    counts = slot_counts(rows.select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))).toArrow()
-    slots, background, target = (counts.column(k).to_numpy() for k in range(3))
-    return Model(slots, target), Model(slots, background)
+    corpus = Corpus(docs, targets)
+    return Model(corpus, "target"), Model(corpus, "background")
 
 
 def cross_entropy_difference(docs: DataFrame, target: Model, background: Model) -> DataFrame:
@@ -104,28 +211,39 @@ def cross_entropy_difference(docs: DataFrame, target: Model, background: Model)
 
     Losses are means per token in nats; score is background_loss - target_loss, so that documents
     like the target score higher. A null text, or one without a word, has 0 tokens and zeros
-    throughout. Other columns are ignored; an empty table gives no rows.
+    throughout. Both models come from one call of train. Other columns are ignored; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((target, background))
-
-    @F.arrow_udf("n_tokens long, target_loss double, background_loss double")
-    def judge(texts: pa.Array) -> pa.Array:
-        made = []
-        for part in slices(texts):
-            word, before, pair, starts = _slots(part)
-            n = np.diff(starts)
-            first = starts[:-1][n > 0]
-            sums = []
-            for model in sent.value:
-                total = np.concatenate(([0.0], np.cumsum(model.losses(word, before, pair, first), dtype=np.float64)))
-                sums.append((total[starts[1:]] - total[starts[:-1]]) / np.maximum(n, 1))
-            made.append((n, *sums))
-        columns = [np.concatenate([m[k] for m in made]) if made else np.zeros(0) for k in range(3)]
-        return pa.StructArray.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], ["n_tokens", "target_loss", "background_loss"])
-
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), judge.asNondeterministic()(F.col("text").cast("string")).alias("s"))
-    score = F.col("s.background_loss") - F.col("s.target_loss")
-    return scored.select("doc_id", "s.n_tokens", F.round("s.target_loss", 9).alias("target_loss"), F.round("s.background_loss", 9).alias("background_loss"), F.round(score, 9).alias("score"))
+    corpus = target.corpus
+    if background.corpus is not corpus:
+        raise ValueError("the models count different corpora and share no vocabulary")
+    rows = corpus.counts(corpus.docs, corpus.ids)
+    if not (docs is corpus.docs or docs.sameSemantics(corpus.docs)):
+        rows = rows.withColumn("block", F.lit(None).cast("int")).unionByName(corpus.counts(docs, None))
+    sides = [f"n_{m.side}" for m in (target, background)]
+
+    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        words, pairs, starts = _keys(texts.column("text"))
+        n = np.diff(starts)
+        own, place = np.unique(np.concatenate((words, pairs, [_START, _TOTAL])), return_inverse=True)
+        word, pair, (start, total) = place[: len(words)], place[len(words) : -2], place[-2:]
+        order = np.argsort(answers.column("bucket").to_numpy()).tolist()
+        vocabulary, sums = int(answers.column("vocabulary").to_numpy().sum()), []
+        for side in sides:
+            packed = answers.column(side).to_pylist()
+            counts = np.concatenate([np.zeros(0, np.uint64), *(_unpack(packed[k]) for k in order)]).astype(np.float64)
+            if texts.num_rows and len(counts) != len(own):
+                raise ValueError("the documents changed between counting and scoring")
+            if not texts.num_rows:
+                counts = np.zeros(len(own))
+            context = _before(counts[word], starts, counts[start])
+            loss = np.concatenate(([0.0], np.cumsum(losses(counts[word], context, counts[pair], counts[total], vocabulary))))
+            sums.append((loss[starts[1:]] - loss[starts[:-1]]) / np.maximum(n, 1))
+        return pa.table([texts.column("doc_id").cast(pa.int64()), pa.array(n), *(pa.array(s, pa.float64()) for s in sums)], ["doc_id", "n_tokens", "target_loss", "background_loss"])
+
+    dealt, answers = corpus.dealt(docs), corpus.totals(rows)
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    score = F.col("background_loss") - F.col("target_loss")
+    return scored.select("doc_id", "n_tokens", F.round("target_loss", 9).alias("target_loss"), F.round("background_loss", 9).alias("background_loss"), F.round(score, 9).alias("score"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

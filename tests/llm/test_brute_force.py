@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -339,3 +339,32 @@ def test_pipeline_against_its_stages(spark, sf):
             assert made.columns == names
         now = made
     assert now.columns == [*names, "topic", "weight"]
+
+
+def test_lm_counts_are_exact_beyond_any_table(spark):
+    """With 40,000 words a hashed table of 2**19 and 2**20 slots has collisions; every loss must be the one of exact counts."""
+    texts = [" ".join(f"w{(17 * i + k * k) % 40_000}" for k in range(2_000)) for i in range(0, 40_000, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(docs, *lmscore.train(docs, docs.filter("doc_id % 3 = 0"))).collect()}
+    counts = {}
+    for side, chosen in (("target", texts[::3]), ("background", texts)):
+        words, pairs = Counter(), Counter()
+        for text in chosen:
+            line = ["", *text.split()]
+            words.update(line)
+            pairs.update(zip(line, line[1:], strict=False))
+        counts[side] = words, pairs, words.total() - words[""]
+    for k, text in enumerate(texts):
+        line = ["", *text.split()]
+        for side, (words, pairs, total) in counts.items():
+            each = [0.6 * (pairs[a, b] / words[a] if words[a] else 0) + (0.4 if words[a] else 1) * (words[b] + 0.5) / (total + 0.5 * (1 << lmscore.WORD_BITS)) for a, b in zip(line, line[1:], strict=False)]
+            assert found[k][f"{side}_loss"] == pytest.approx(-np.log(each).mean(), abs=1e-8)
+
+
+def test_lm_models_score_other_documents(spark):
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "a b"), (3, "c d"), (4, "c d c d")], "doc_id long, text string")
+    models = lmscore.train(docs, docs.filter("doc_id < 3"))
+    same = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(docs, *models).collect()}
+    others = spark.createDataFrame([(12, "a b"), (14, "c d c d"), (15, "e")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(others, *models).collect()}
+    assert [found[k]["score"] for k in (12, 14)] == [same[k]["score"] for k in (2, 4)] and found[15]["n_tokens"] == 1
