@@ -1,9 +1,10 @@
 """URL filtering: allow and block rules first, then a tree of path templates judged by labelled purity.
 
 The tree is grown level by level for each host: a segment's digits fold into one mark, and a node
-with many children that hardly repeat gets a wildcard child instead. Sibling templates whose share of
-blocked pages doesn't differ from their parent's are merged. A template's purity is its share of
-blocked among labelled pages, smoothed towards the share of all labelled pages.
+with many children that hardly repeat gets a wildcard child instead. Siblings at any level whose share
+of blocked pages doesn't differ from their parent's are merged, unlabelled ones with them. A node's purity
+is its share of blocked among labelled pages, smoothed towards its parent's purity and so, level by level,
+towards the host's and the share of all labelled pages.
 """
 
 from __future__ import annotations
@@ -60,23 +61,51 @@ def templates(paths: DataFrame, branch: int = 16, repeat: float = 4.0, depth: in
     return rows.drop("__parts")
 
 
-def purity(labelled: DataFrame, weight: float = 4.0, z: float = 1.96) -> DataFrame:
+def purity(labelled: DataFrame, weight: float = 4.0, z: float = 1.96, depth: int = DEPTH) -> DataFrame:
     """(host, template, n, blocked, purity) of each template, from rows (host, template, label).
 
-    label is 1 for block, 0 for allow, null for unlabelled. Siblings within z standard errors of their
-    parent's share take the counts of all such siblings. weight is the smoothing's number of rows.
+    label is 1 for block, 0 for allow, null for unlabelled. Every node of the tree is rated, from the
+    host down: its share is smoothed towards its parent's purity, the host's towards the share of all
+    labelled pages. Siblings within z standard errors of their common share take the counts of all
+    such siblings, and so do unlabelled ones. weight is the smoothing's number of rows. Pages that end
+    at an inner node are smoothed towards that node.
     """
-    counts = settle(labelled.groupBy("host", "template").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("blocked")), "templates")
-    total = counts.agg(F.sum("n").alias("n"), F.sum("blocked").alias("b")).first()
+    own = settle(labelled.groupBy("host", "template").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("blocked"), F.count("*").alias("pages")), "templates")
+    total = own.agg(F.sum("n").alias("n"), F.sum("blocked").alias("b")).first()
     base = (total["b"] or 0) / total["n"] if total["n"] else 0.5
-    parent = counts.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    pooled = parent.filter("n > 0").groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("blocked").alias("pb"))
-    share = F.col("pb") / F.col("pn")
-    error = F.sqrt(share * (1 - share) / F.col("n"))
-    near = parent.join(pooled, ["host", "parent"], "left").withColumn("alike", (F.col("n") > 0) & (F.abs(F.col("blocked") / F.nullif(F.col("n"), F.lit(0)) - share) <= z * error))
-    merged = near.filter("alike").groupBy("host", "parent").agg(F.sum("n").alias("mn"), F.sum("blocked").alias("mb"))
-    n, b = F.when(F.col("alike"), F.col("mn")).otherwise(F.col("n")), F.when(F.col("alike"), F.col("mb")).otherwise(F.col("blocked"))
-    return near.join(merged, ["host", "parent"], "left").select("host", "template", n.alias("n"), b.alias("blocked"), ((b + weight * base) / (n + weight)).alias("purity"))
+    parts = F.split(F.expr("substring(template, 2)"), "/", depth)
+    last = F.when(F.col("template") == "", 0).otherwise(F.size(parts))
+    prefixes = F.transform(F.sequence(F.lit(0), last), lambda k: F.when(k == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))))
+    spread = own.withColumn("prefixes", prefixes).select("*", F.posexplode("prefixes").alias("level", "node"))
+    parent = F.when(F.col("level") > 0, F.get("prefixes", F.col("level") - 1)).alias("parent")
+    nodes = settle(spread.groupBy("host", "level", "node", parent).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("pages").alias("pages")), "nodes")
+
+    def smoothed(blocked: Column, n: Column, towards: Column) -> Column:
+        return (blocked + weight * towards) / (n + weight)
+
+    rated = settle(nodes.filter("level = 0").select("host", "level", "node", "n", "blocked", "pages", smoothed(F.col("blocked"), F.col("n"), F.lit(base)).alias("purity")), "rated")
+    levels = [rated]
+    for level in range(1, depth + 1):
+        here = nodes.filter(F.col("level") == level)
+        pooled = here.filter("n > 0").groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("blocked").alias("pb"))
+        share = F.col("pb") / F.col("pn")
+        error = F.sqrt(share * (1 - share) / F.nullif(F.col("n"), F.lit(0)))
+        near = here.join(pooled, ["host", "parent"], "left").withColumn("alike", (F.col("n") > 0) & (F.abs(F.col("blocked") / F.nullif(F.col("n"), F.lit(0)) - share) <= z * error))
+        merged = near.filter("alike").groupBy("host", "parent").agg(F.sum("n").alias("mn"), F.sum("blocked").alias("mb"))
+        shared = F.col("alike") | (F.col("n") == 0)
+        n, b = (F.when(shared, F.coalesce(m, F.lit(0))).otherwise(F.col(c)) for m, c in (("mn", "n"), ("mb", "blocked")))
+        above = rated.select("host", F.col("node").alias("parent"), F.col("purity").alias("above"))
+        made = near.join(merged, ["host", "parent"], "left").join(above, ["host", "parent"])
+        rated = settle(made.select("host", "level", "node", n.alias("n"), b.alias("blocked"), "pages", smoothed(b, n, F.col("above")).alias("purity")), "rated")
+        levels.append(rated)
+    found = levels[0]
+    for more in levels[1:]:
+        found = found.unionByName(more)
+    node = found.select("host", F.col("node").alias("template"), F.col("n").alias("nn"), F.col("blocked").alias("nb"), F.col("pages").alias("np"), F.col("purity").alias("above"))
+    whole = F.col("pages") == F.col("np")
+    n, b = F.when(whole, F.col("nn")).otherwise(F.col("n")), F.when(whole, F.col("nb")).otherwise(F.col("blocked"))
+    rate = F.when(whole, F.col("above")).otherwise(smoothed(F.col("blocked"), F.col("n"), F.col("above")))
+    return own.join(node, ["host", "template"]).select("host", "template", n.alias("n"), b.alias("blocked"), rate.alias("purity"))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, reject: float = 0.8, label: str | None = None) -> DataFrame:

@@ -368,3 +368,22 @@ def test_lm_models_score_other_documents(spark):
     others = spark.createDataFrame([(12, "a b"), (14, "c d c d"), (15, "e")], "doc_id long, text string")
     found = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(others, *models).collect()}
     assert [found[k]["score"] for k in (12, 14)] == [same[k]["score"] for k in (2, 4)] and found[15]["n_tokens"] == 1
+
+
+def test_labelled_pages_of_a_host_decide_before_all_others(spark):
+    """Most labelled pages of the table are blocked; unlabelled branches must still follow their own host and parent."""
+    urls = [("http://bad.org/x/p", 1)] * 300 + [("http://good.org/a/one", 0)] * 20 + [("http://mix.org/u/x/one", 1)] * 30 + [("http://mix.org/v/x/one", 0)] * 30
+    urls += [(u, None) for u in ("http://good.org/b/two", "http://mix.org/u/y/two", "http://mix.org/v/y/two", "http://new.org/a", "http://mix.org/u")]
+    found = urlfilter.judge_urls(spark.createDataFrame([(k, *u) for k, u in enumerate(urls)], "page_id long, url string, bad int"), rules=(), label="bad").collect()
+    rows = {(r["host"], r["template"]): r for r in found}
+    assert len(found) == len(urls)
+    base = 330 / 380
+    host, mix = 4 * base / 24, (30 + 4 * base) / 64
+    assert rows["new.org", "/a"]["purity"] == pytest.approx(base, abs=1e-6)
+    assert rows["good.org", "/b/two"]["purity"] == pytest.approx(4 * (4 * host / 24) / 4, abs=1e-6)
+    up, down = (30 + 4 * mix) / 34, 4 * mix / 34
+    assert rows["mix.org", "/u"]["purity"] == pytest.approx(up, abs=1e-6)
+    assert rows["mix.org", "/u/y/two"]["purity"] == pytest.approx((30 + 4 * up) / 34, abs=1e-6)
+    assert rows["mix.org", "/v/y/two"]["purity"] == pytest.approx(4 * down / 34, abs=1e-6)
+    verdicts = {k[0] + k[1]: r["verdict"] for k, r in rows.items()}
+    assert [verdicts[k] for k in ("good.org/b/two", "mix.org/u/y/two", "mix.org/v/y/two", "new.org/a")] == ["allow", "block", "allow", "block"]
