@@ -158,7 +158,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sluice/{uuid.uuid4().hex}/warc"
     write_warc(table(spark, sf_dir, "pages"), path)
-    captures = assemble(read_warc(spark, path, payloads=False)).filter("response is not null")
+    captures = assemble(read_warc(spark, path)).filter("response is not null")
     facts = F.decode(F.get("metadata", F.lit(0))["payload"], "UTF-8")
     page = F.regexp_extract(facts, r"page-id: (-?\d+)", 1)
     size = F.regexp_extract(facts, r"payload-bytes: (\d+)", 1).cast("long")

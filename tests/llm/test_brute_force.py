@@ -14,7 +14,7 @@ import xxhash
 from oracle import rows_of, twin_of
 
 import corpus_pipeline
-from sluice.llm import components, decontaminate, imatch, langid, lmscore, mixing, registry, secrets, simhash, toxicity, urlfilter
+from sluice.llm import components, decontaminate, imatch, langid, lmscore, mixing, registry, secrets, simhash, toxicity, urlfilter, warc
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
@@ -387,3 +387,11 @@ def test_labelled_pages_of_a_host_decide_before_all_others(spark):
     assert rows["mix.org", "/v/y/two"]["purity"] == pytest.approx(4 * down / 34, abs=1e-6)
     verdicts = {k[0] + k[1]: r["verdict"] for k, r in rows.items()}
     assert [verdicts[k] for k in ("good.org/b/two", "mix.org/u/y/two", "mix.org/v/y/two", "new.org/a")] == ["allow", "block", "allow", "block"]
+
+
+def test_warc_query_assembles_bodies(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(warc, "assemble", lambda records, whole=warc.assemble: seen.append(records) or whole(records))
+    QUERIES["op7_warc"](spark, sf)
+    bodies = [r["payload"] for r in seen[0].filter("record_type = 'response'").select("payload").collect()]
+    assert bodies and all(b is not None for b in bodies)
