@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from sluice.cases import EVENTS, Cases, events
 from sluice.functions import grammar
 from sluice.operators import blocks
-from sluice.session import table
+from sluice.session import shared_dir, table
 
 CASES = Cases()
 
@@ -133,7 +132,7 @@ def parquet_partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written by dimension and day, read back with partition pruning at hand."""
     from sluice.sources import sinks
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-")
+    base = shared_dir(spark)
     path = f"{base}/sluice/{uuid.uuid4().hex}/events"
     rows = events(spark, sf_dir).select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", "value")
     sinks.write_partitioned(rows, path, ["event_type", "day"])

@@ -199,3 +199,18 @@ def test_histogram_slots(spark):
 )
 def test_user_agents(spark, text, made):
     assert tuple(spark.range(1).select(grammar.user_agent(F.lit(text).cast("string")).alias("u")).first()["u"]) == made
+
+
+def test_only_a_local_session_may_lack_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from sluice.session import shared_dir
+
+    def session(master, named=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named or default), sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
+
+    assert shared_dir(session("local[4]")) == shared_dir(session("local[4]"))
+    assert shared_dir(session("yarn", "s3a://bucket/x")) == "s3a://bucket/x"
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
