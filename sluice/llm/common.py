@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -12,22 +12,41 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from sluice.session import shared_dir
 
+#: Where settled tables are.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sluice-"))
+
+def own_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that holds what this application settles."""
+    return f"{shared_dir(spark)}/sluice/{spark.sparkContext.applicationId}"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: the plan ends there and lost executors cost no rerun."""
-    path = f"{shared_dir(df.sparkSession)}/sluice/{uuid.uuid4().hex}/{label}"
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[made] = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more: the earlier rounds of a loop."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            _delete(df.sparkSession, path.rsplit("/", 1)[0])
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that this application has settled; results that were not yet written are lost with it."""
+    _delete(spark, own_folder(spark))
 
 
 def fold(doc_id: Column) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import settle, shared_dir
+from sluice.llm.common import own_folder, settle
 from sluice.session import table
 
 #: Payloads below this size are never written as revisits.
@@ -156,7 +156,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/sluice/{uuid.uuid4().hex}/warc"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}/warc"
     write_warc(table(spark, sf_dir, "pages"), path)
     captures = assemble(read_warc(spark, path)).filter("response is not null")
     facts = F.decode(F.get("metadata", F.lit(0))["payload"], "UTF-8")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ import xxhash
 from oracle import rows_of, twin_of
 
 import corpus_pipeline
-from sluice.llm import components, decontaminate, imatch, langid, lmscore, mixing, registry, secrets, simhash, toxicity, urlfilter, warc
+from sluice.llm import common, components, decontaminate, imatch, langid, lmscore, mixing, registry, secrets, simhash, toxicity, urlfilter, warc
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
@@ -57,39 +58,108 @@ def test_secret_query(spark, sf, docs):
         assert set(filter(None, joined.split(","))) <= set(row["spans"].split(","))
 
 
+def test_secret_costs_over_the_whole_table(spark):
+    """Every span's cost, and the added spans, against an exhaustive minimum over all segmentations, at the next size."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    words = Counter(w for d in docs for w in _plain_words(d["text"]) if 3 <= len(w) <= 24 and w.isalpha())
+    ranked = sorted(words, key=lambda w: (-words[w], w))
+    assert secrets.dictionary(spark.read.parquet(f"{sf}/documents.parquet"), 500) == ranked[:500]
+    ranks = _ranks(ranked[: secrets.DICTIONARY])
+    found = {r["doc_id"]: r for r in QUERIES["op1_secrets"](spark, sf).collect()}
+    context = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)[_-]?key|credentials?|bearer|auth)["']?[ \t]*[:=][ \t]*["']?([^\s"'<>,;]{8,})""", re.I | re.A)
+    guessed = 0
+    for d in docs:
+        text, row, said = d["text"] or "", found[d["doc_id"]], {}
+        for span, cost in zip(filter(None, row["spans"].split(",")), filter(None, row["log10_guesses"].split(",")), strict=True):
+            said[span] = float(cost)
+        dear = {f"guess:{m.start(1)}:{m.end(1)}": c for m in context.finditer(text) if (c := _least(m[1], ranks)) >= secrets.THRESHOLD}
+        assert {s for s in said if s.startswith("guess")} == set(dear) and row["n_guess"] == len(dear)
+        guessed += len(dear)
+        for span, cost in said.items():
+            kind, a, b = span.split(":")
+            value = text[int(a) : int(b)]
+            value = re.split("[:=]", value, maxsplit=1)[1].strip(" \"'") if kind == "assign" else value
+            assert cost == pytest.approx(_least(value, ranks), abs=0.051)
+    assert guessed > 0
+
+
+def _plain_words(text: str | None) -> list[str]:
+    return [x for w in (text or "").lower().split() if (x := w.strip(common.PUNCTUATION))]
+
+
+def _ranks(corpus: list[str] = ()) -> dict[str, float]:
+    known = list(dict.fromkeys([*secrets.WORDS, *corpus]))
+    return {w: math.log10(k + 2) for k, w in enumerate(known)}
+
+
+def _least(value: str, ranks: dict[str, float]) -> float:
+    """The least cost over all ways to cut a value: each piece is a whole word, date, repeat, walk or brute force."""
+    rows = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+    keys = {c: (y, x) for y, row in enumerate(rows) for x, c in enumerate(row)}
+    join, seen = math.log10(2), {}
+    long = r"((19|20)\d\d[-/._]?(0[1-9]|1[0-2])[-/._]?(0[1-9]|[12]\d|3[01])|(0[1-9]|[12]\d|3[01])[-/._]?(0[1-9]|1[0-2])[-/._]?(19|20)\d\d)"
+
+    def piece(s: str) -> float:
+        if s in seen:
+            return seen[s]
+        low, costs = s.lower(), [float(len(s))]
+        for k, w in enumerate((low, low.translate(str.maketrans("0134578@$", "oleastbas")))):
+            if w in ranks and 3 <= len(w) <= 24:
+                costs.append(ranks[w] + (2 * join if k else (0 if s == low else join)))
+                break
+        if re.fullmatch(long, s):
+            costs.append(math.log10(366 * 120))
+        if re.fullmatch(r"(19|20)\d\d", s):
+            costs.append(math.log10(120))
+        if len(s) >= 4 and all(a in keys and b in keys and a != b and max(abs(keys[a][0] - keys[b][0]), abs(keys[a][1] - keys[b][1])) <= 1 for a, b in zip(low, low[1:], strict=False)):
+            costs.append(math.log10(47 * len(s)) + 0.4 * len(s))
+        for unit in range(1, min(16, len(s) // 2) + 1):
+            if len(s) % unit == 0 and s == s[:unit] * (len(s) // unit):
+                costs.append(whole(s[:unit]) + math.log10(len(s) // unit))
+        seen[s] = min(costs)
+        return seen[s]
+
+    def whole(s: str) -> float:
+        least = [0.0] + [math.inf] * len(s)
+        for j in range(1, len(s) + 1):
+            least[j] = min(least[i] + piece(s[i:j]) + (join if i else 0.0) for i in range(j))
+        return least[-1]
+
+    return whole(value)
+
+
 def test_failing_matches_still_consume_text():
-    assert secrets.secret_spans("password: secret: abcdefghijkl", 99) == []
-    assert [s[:3] for s in secrets.secret_spans("TOKEN='abcdefghijkl' AKIA12345678901234 0123456789abcdef", 99)] == [("assign", 0, 19), ("access", 21, 39), ("hex", 40, 56)]
+    plain = secrets.Guesser()
+    assert secrets.secret_spans("password: secret: abcdefghijkl", plain, 99) == []
+    assert [s[:3] for s in secrets.secret_spans("TOKEN='abcdefghijkl' AKIA12345678901234 0123456789abcdef", plain, 99)] == [("assign", 0, 19), ("access", 21, 39), ("hex", 40, 56)]
 
 
 def test_guess_cost_orders_values():
+    cost = secrets.Guesser().log10_guesses
     cheap, dear = ("password2019", "aaaaaaaaaaaa", "qwertyuiop", "12-05-1999", "letmeinletmein"), ("xK9$pQ2!vLmZ", "b7Qz81mmR0tW")
-    assert max(map(secrets.log10_guesses, cheap)) < 8 < 11 < min(map(secrets.log10_guesses, dear))
-    found = secrets.secret_spans("pwd = xK9$pQ2!vLmZ and passphrase: password2019password", 10.0)
+    assert max(map(cost, cheap)) < 8 < 11 < min(map(cost, dear))
+    found = secrets.secret_spans("pwd = xK9$pQ2!vLmZ and passphrase: password2019password", secrets.Guesser(), 10.0)
     assert [(k, a, b) for k, a, b, _ in found] == [("guess", 6, 18)]
+    # a word of the corpus's own dictionary is no secret
+    assert secrets.secret_spans("auth: authentication", secrets.Guesser(["authentication"]), 10.0) == []
+    assert [s[0] for s in secrets.secret_spans("auth: authentication", secrets.Guesser(), 10.0)] == ["guess"]
 
 
 def test_guess_cost_against_all_segmentations():
-    rng = random.Random(1)
-
-    def brute(value: str) -> float:
-        ends = defaultdict(list)
-        for i, j, c in secrets._matches(value):
-            ends[i].append((j, c))
-
-        def best(i: int, last: str | None) -> float:
-            if i == len(value):
-                return 0.0
-            join = secrets._JOIN if i else 0.0
-            options = [1.0 + (0.0 if last == "brute" else join) + best(i + 1, "brute")]
-            options += [c + join + best(j, "match") for j, c in ends[i]]
-            return min(options)
-
-        return best(0, None)
-
-    for _ in range(30):
-        value = "".join(rng.choice(["a", "1", "pass", "love", "2001", "qwer", "zz", "x"]) for _ in range(5))[:12]
-        assert secrets.log10_guesses(value) == pytest.approx(brute(value))
+    rng, guesser, ranks = random.Random(1), secrets.Guesser(["ostrich"]), _ranks(["ostrich"])
+    values = ["".join(rng.choice(["a", "1", "pass", "l0ve", "Love", "2001", "qwer", "zz", "x", "20011231", "ostrich", "abcdefgh"]) for _ in range(6)) for _ in range(40)]
+    for value in [*values, "aabcdefghabcdefghabcdefgh", "aaaaaaaaaa", "ababababab", "passwordpassword1"]:
+        assert guesser.log10_guesses(value) == pytest.approx(_least(value, ranks))
+    assert guesser.log10_guesses("aabcdefghabcdefghabcdefgh") < 10
+
+
+def test_long_values_cost_what_their_windows_cost():
+    rng, guesser = random.Random(3), secrets.Guesser()
+    value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100_000))
+    parts = [value[k : k + secrets.WINDOW] for k in range(0, len(value), secrets.WINDOW)]
+    assert guesser.log10_guesses(value) == pytest.approx(sum(map(guesser.log10_guesses, parts)) + math.log10(2) * (len(parts) - 1))
+    assert secrets.secret_spans(f"secret={value}", guesser)[-1][:3] == ("guess", 7, 7 + len(value))
 
 
 def _fingerprint(text: str) -> int:
