@@ -85,3 +85,23 @@ def word_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         offsets = np.concatenate(([0], np.cumsum(real)))[offsets]
         codes = codes[real]
     return distinct, codes, offsets
+
+
+def token_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct, codes, starts) as word_codes has them, but the punctuation before and after a word counts as a token of its own."""
+    parts = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    offsets = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+    raw = parts.flatten().dictionary_encode()
+    at: dict[str, int] = {}
+    codes, counts = [], []
+    for word in raw.dictionary.to_pylist():
+        rest = word.lstrip(PUNCTUATION)
+        core = rest.rstrip(PUNCTUATION)
+        own = [x for x in (word[: len(word) - len(rest)], core, rest[len(core) :]) if x]
+        codes += [at.setdefault(x, len(at)) for x in own]
+        counts.append(len(own))
+    each, place = np.array(counts, np.int64), raw.indices.to_numpy() if len(raw) else np.zeros(0, np.int64)
+    n = each[place]
+    first = np.cumsum(n) - n
+    spread = np.repeat((np.cumsum(each) - each)[place] - first, n) + np.arange(int(n.sum()))
+    return list(at), np.array(codes, np.int64)[spread], np.concatenate(([0], np.cumsum(n)))[offsets]

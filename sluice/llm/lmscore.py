@@ -5,20 +5,24 @@ of the corpus; the background counts all documents, the target those that are ma
 are never broadcast. Documents are dealt to blocks. A block counts its own words and pairs first and
 sends them, sorted, to buckets of keys; a bucket adds the blocks up and answers each with the
 totals in the order of its keys, which then needn't travel back.
+
+A document of the corpus can be scored by what all other documents say: its own words and pairs are
+then taken out of both models first, so that neither knows the text that it scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import slices, word_codes
+from sluice.llm.common import slices, token_codes, word_codes
 from sluice.session import table
 
 #: Words that smoothing reckons with, 2**19; more if the corpus has more.
@@ -36,11 +40,11 @@ _TOTAL, _START = np.uint64(0), np.uint64(0x5851F42D4C957F2C)
 _ROWS = "bucket int, block int, keys binary, n_background binary, n_target binary"
 
 
-def _keys(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _keys(texts: pa.ChunkedArray, split: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word keys, pair keys, starts) of texts; the first word of each follows a start mark."""
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     for part in (s for chunk in texts.chunks for s in slices(chunk)):
-        distinct, codes, starts = word_codes(part)
+        distinct, codes, starts = split(part)
         if len(codes):
             hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[codes] & ~_PAIR)
         counts.append(np.diff(starts))
@@ -80,7 +84,8 @@ def _counted(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.nda
 class Corpus:
     """Documents and the ids of the target's documents, from which both models count."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, targets: DataFrame, marks: bool = False) -> None:
+        self.split = token_codes if marks else word_codes
         self.docs, self.spark = docs, docs.sparkSession
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
         self.blocks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
@@ -111,12 +116,12 @@ class Corpus:
 
     def counts(self, docs: DataFrame, ids: DataFrame | None) -> DataFrame:
         """The words and pairs of each block with its own counts, in a row for each bucket; without ids the counts are 0."""
-        bits, learn = self.bits, ids is not None
+        bits, learn, split = self.bits, ids is not None, self.split
 
         def run(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
             made = []
             if texts.num_rows:
-                words, pairs, starts = _keys(texts.column("text"))
+                words, pairs, starts = _keys(texts.column("text"), split)
                 n = np.diff(starts)
                 wanted = np.isin(texts.column("doc_id").to_numpy(), marks.column("doc_id").to_numpy())
                 own = np.concatenate((words, pairs, np.full(len(n), _START), np.full(len(n), _TOTAL)))
@@ -189,28 +194,37 @@ class Model:
         return self.corpus.sizes[self.side][1]
 
 
-def losses(word: np.ndarray, context: np.ndarray, pair: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+def losses(word: np.ndarray, context: np.ndarray, pair: np.ndarray, total: np.ndarray | int, vocabulary: int) -> np.ndarray:
     """The negative log likelihood of each word after the one before, from their counts."""
     alone = (word + 0.5) / (total + 0.5 * max(vocabulary, 1 << WORD_BITS))
     weight = np.where(context > 0, PAIR_WEIGHT, 0.0)
     return -np.log(weight * pair / np.maximum(context, 1) + (1 - weight) * alone)
 
 
-def train(docs: DataFrame, targets: DataFrame) -> tuple[Model, Model]:
+def _within(codes: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """How often each code occurs in its own document; documents have n codes each, all below size."""
+    _, place, times = np.unique(np.repeat(np.arange(len(n)), n) * size + codes, return_inverse=True, return_counts=True)
+    return times[place]
+
+
+def train(docs: DataFrame, targets: DataFrame, marks: bool = False) -> tuple[Model, Model]:
     """(target, background) models; targets has the doc_ids of the target's documents.
 
+    Words are white-space runs trimmed of punctuation; with marks the punctuation that is trimmed counts as words too.
+
     Documents without id are background only. Counting starts when documents are scored: only then
     is it known which blocks want which counts, and nothing of the corpus's size reaches the driver.
     """
-    corpus = Corpus(docs, targets)
+    corpus = Corpus(docs, targets, marks)
     return Model(corpus, "target"), Model(corpus, "background")
 
 
-def cross_entropy_difference(docs: DataFrame, target: Model, background: Model) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: Model, background: Model, leave_out: bool = False) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score for each document, repeated rows included.
 
     Losses are means per token in nats; score is background_loss - target_loss, so that documents
-    like the target score higher. A null text, or one without a word, has 0 tokens and zeros
+    like the target score higher. With leave_out each row of the models' own documents is scored by
+    counts that lack it: all of its words, pairs, its start and its tokens, in the target too if it belongs there. A null text, or one without a word, has 0 tokens and zeros
     throughout. Both models come from one call of train. Other columns are ignored; an empty table gives no rows.
     """
     corpus = target.corpus
@@ -218,14 +232,25 @@ def cross_entropy_difference(docs: DataFrame, target: Model, background: Model)
         raise ValueError("the models count different corpora and share no vocabulary")
     rows = corpus.counts(corpus.docs, corpus.ids)
     if not (docs is corpus.docs or docs.sameSemantics(corpus.docs)):
+        if leave_out:
+            raise ValueError("only the models' own documents can be left out of them")
         rows = rows.withColumn("block", F.lit(None).cast("int")).unionByName(corpus.counts(docs, None))
-    sides = [f"n_{m.side}" for m in (target, background)]
+    split, sides = corpus.split, [f"n_{m.side}" for m in (target, background)]
 
     def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        words, pairs, starts = _keys(texts.column("text"))
+        words, pairs, starts = _keys(texts.column("text"), split)
         n = np.diff(starts)
+        marks = answers.column("doc_id").drop_null().to_numpy()
+        answers = answers.filter(pc.is_valid(answers.column("bucket")))
         own, place = np.unique(np.concatenate((words, pairs, [_START, _TOTAL])), return_inverse=True)
         word, pair, (start, total) = place[: len(words)], place[len(words) : -2], place[-2:]
+        if leave_out:
+            wanted = np.isin(texts.column("doc_id").to_numpy(), marks)
+            owner = np.repeat(np.arange(len(n)), n)
+            own_word, own_pair, own_start = _within(word, n, len(own)), _within(pair, n, len(own)), (n > 0).astype(np.int64)
+            own_context = _before(own_word, starts, 0)
+            firsts = starts[:-1][n > 0]
+            own_context[firsts] = own_start[owner[firsts]]
         order = np.argsort(answers.column("bucket").to_numpy()).tolist()
         vocabulary, sums = int(answers.column("vocabulary").to_numpy().sum()), []
         for side in sides:
@@ -235,12 +260,17 @@ def cross_entropy_difference(docs: DataFrame, target: Model, background: Model)
                 raise ValueError("the documents changed between counting and scoring")
             if not texts.num_rows:
                 counts = np.zeros(len(own))
-            context = _before(counts[word], starts, counts[start])
-            loss = np.concatenate(([0.0], np.cumsum(losses(counts[word], context, counts[pair], counts[total], vocabulary))))
+            seen, context, paired, tokens = counts[word], _before(counts[word], starts, counts[start]), counts[pair], counts[total]
+            if leave_out:
+                less = (wanted if side == "n_target" else np.ones(len(n), bool))[owner]
+                seen, context, paired, tokens = seen - less * own_word, context - less * own_context, paired - less * own_pair, tokens - less * n[owner]
+            loss = np.concatenate(([0.0], np.cumsum(losses(seen, context, paired, tokens, vocabulary))))
             sums.append((loss[starts[1:]] - loss[starts[:-1]]) / np.maximum(n, 1))
         return pa.table([texts.column("doc_id").cast(pa.int64()), pa.array(n), *(pa.array(s, pa.float64()) for s in sums)], ["doc_id", "n_tokens", "target_loss", "background_loss"])
 
-    dealt, answers = corpus.dealt(docs), corpus.totals(rows)
+    dealt, answers = corpus.dealt(docs), corpus.totals(rows).withColumn("doc_id", F.lit(None).cast("long"))
+    if leave_out:
+        answers = answers.unionByName(corpus.ids, allowMissingColumns=True)
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
     score = F.col("background_loss") - F.col("target_loss")
     return scored.select("doc_id", "n_tokens", F.round("target_loss", 9).alias("target_loss"), F.round("background_loss", 9).alias("background_loss"), F.round(score, 9).alias("score"))
@@ -248,7 +278,7 @@ def cross_entropy_difference(docs: DataFrame, target: Model, background: Model)
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return cross_entropy_difference(docs, *train(docs, table(spark, sf_dir, "labels").filter("quality = 1")))
+    return cross_entropy_difference(docs, *train(docs, table(spark, sf_dir, "labels").filter("quality = 1"), marks=True), leave_out=True)
 
 
 QUERIES = {"op2_lm_score": op2_lm_score}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import slices, word_codes
+from sluice.llm.common import release, settle, slices, word_codes
 from sluice.session import table
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -172,8 +172,18 @@ def dictionary(docs: DataFrame, words: int = DICTIONARY) -> list[str]:
                     held = {}
         yield made(held)
 
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
+    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    counts = settle(made.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # Words of about one frequency are counted first, so that tasks sort hardly more words than are wanted.
+    band = F.floor(F.log2("n") * 16)
+    kept, least = 0, 0
+    for r in sorted(counts.groupBy(band.alias("band")).count().collect(), key=lambda r: -r["band"]):
+        kept, least = kept + r["count"], r["band"]
+        if kept >= words:
+            break
+    top = counts.filter(band >= least).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    release(counts)
+    return [r["word"] for r in top]
 
 
 def spans_column(spark: SparkSession, text: Column, words: list[str], threshold: float = THRESHOLD) -> Column:

@@ -465,3 +465,45 @@ def test_warc_query_assembles_bodies(spark, sf, monkeypatch):
     QUERIES["op7_warc"](spark, sf)
     bodies = [r["payload"] for r in seen[0].filter("record_type = 'response'").select("payload").collect()]
     assert bodies and all(b is not None for b in bodies)
+
+
+def _tokens(text: str | None) -> list[str]:
+    """Words and the punctuation around them."""
+    marks = re.escape(common.PUNCTUATION)
+    return [x for w in (text or "").lower().split() for x in re.fullmatch(rf"([{marks}]*)(.*?)([{marks}]*)", w, re.S).groups() if x]
+
+
+def test_lm_query_leaves_each_document_out(spark, sf, docs):
+    """Every score of the query against plain counts over the whole table without the document itself."""
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] == 1}
+    lines = {d["doc_id"]: ["", *_tokens(d["text"])] for d in docs}
+    own = {k: (Counter(x) if len(x) > 1 else Counter(), Counter(zip(x, x[1:], strict=False))) for k, x in lines.items()}
+    counts = {}
+    for side, chosen in (("target", good & set(lines)), ("background", set(lines))):
+        words, pairs = Counter(), Counter()
+        for k in chosen:
+            words.update(own[k][0])
+            pairs.update(own[k][1])
+        counts[side] = words, pairs, words.total() - words[""], chosen
+    size = max(1 << lmscore.WORD_BITS, len(counts["background"][0]) - 1)
+    found = {r["doc_id"]: r for r in QUERIES["op2_lm_score"](spark, sf).collect()}
+    assert set(found) == set(lines)
+    for k, line in lines.items():
+        assert found[k]["n_tokens"] == len(line) - 1
+        for side, (words, pairs, total, chosen) in counts.items():
+            less_words, less_pairs = own[k] if k in chosen else (Counter(), Counter())
+            whole = total - (len(line) - 1) * (k in chosen)
+            each = []
+            for a, b in zip(line, line[1:], strict=False):
+                context, pair, word = words[a] - less_words[a], pairs[a, b] - less_pairs[a, b], words[b] - less_words[b]
+                each.append(0.6 * (pair / context if context else 0) + (0.4 if context else 1) * (word + 0.5) / (whole + 0.5 * size))
+            assert found[k][f"{side}_loss"] == pytest.approx(-np.log(each).mean() if each else 0, abs=1e-8)
+
+
+def test_lm_score_tells_good_documents_apart(spark):
+    """Each document is scored by others only, so every labelled one is held out."""
+    sf = "/root/testdata/sf0.1"
+    rows = {r["doc_id"]: r["score"] for r in QUERIES["op2_lm_score"](spark, sf).collect()}
+    labels = [(rows[r["doc_id"]], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    good, bad = ([s for s, q in labels if q == x] for x in (1, 0))
+    assert np.mean(np.searchsorted(np.sort(bad), good)) >= 0.94 * len(bad)
