@@ -49,6 +49,24 @@ def cleanup(spark: SparkSession) -> None:
     _delete(spark, own_folder(spark))
 
 
+#: A key with more than one in so many of all rows is hot; there are fewer than HOT such keys.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows left-joined with found, which has each key once and in `weight` how many of rows hold it.
+
+    Hot keys come to every task by a broadcast of fewer than HOT rows, so that no task gets all rows of one; the
+    others meet by a shuffle. Both tables are read twice and had better be settled.
+    """
+    values = [c for c in found.columns if c not in keys]
+    hot = F.col(weight) * HOT > F.coalesce(found.agg(F.sum(weight)).scalar(), F.lit(0))
+    few = found.filter(hot).select(*keys, F.struct(*values).alias("__few"))
+    near = rows.join(F.broadcast(few), keys, "left")
+    there = near.filter("__few is not null").select(*rows.columns, "__few.*")
+    return there.unionByName(near.filter("__few is null").drop("__few").join(found.filter(~hot), keys, "left").select(*rows.columns, *values))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 marks the held-out rows. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5

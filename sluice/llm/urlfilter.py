@@ -1,7 +1,8 @@
 """URL filtering: allow and block rules first, then a tree of path templates judged by labelled purity.
 
-The tree is grown level by level for each host: a segment's digits fold into one mark, and a node
-with many children that hardly repeat gets a wildcard child instead. Siblings at any level whose share
+The tree is grown level by level for each host: a segment's numbers are wildcards, and a node
+with many children that hardly repeat gets a wildcard child instead. Pages are first counted by host
+and path without numbers, so that the tree is grown from distinct paths, however many pages a host has. Siblings at any level whose share
 of blocked pages doesn't differ from their parent's are merged, unlabelled ones with them. A node's purity
 is its share of blocked among labelled pages, smoothed towards its parent's purity and so, level by level,
 towards the host's and the share of all labelled pages.
@@ -12,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import settle
+from sluice.llm.common import join_hot, release, settle
 from sluice.session import table
 
 #: (verdict, rule); a rule is a host, with all its subdomains, and the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Levels of the tree; deeper segments fold into one.
-DEPTH = 4
+#: Levels of the tree at most; the last one holds all that is left of a path.
+DEPTH = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,36 +42,41 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return found
 
 
+def folded(path: Column) -> Column:
+    """A path with its numbers as wildcards."""
+    return F.regexp_replace(path, r"[0-9]+", "*")
+
+
 def templates(paths: DataFrame, branch: int = 16, repeat: float = 4.0, depth: int = DEPTH) -> DataFrame:
-    """The rows of paths (host, path, ...) with column template, found in `depth` rounds of counting.
+    """The rows of paths (host, folded, pages, ...; each folded path of a host once) with column template.
 
-    A node becomes a wildcard where it has more than `branch` children with fewer than `repeat`
-    rows each on average. Counts are made before anything is joined, so a host with very many
-    pages costs no task more than its distinct segments.
+    The tree grows level by level, as deep as the paths or `depth`, whose last level holds the rest of a path. A
+    node becomes a wildcard where it has more than `branch` children with fewer than `repeat` pages each on average.
     """
-    folded = F.regexp_replace(F.col("path"), r"[0-9]+", "#")
-    parts = F.split(F.regexp_replace(folded, "^/", ""), "/", depth)
-    rows = paths.withColumn("__parts", parts).withColumn("template", F.lit(""))
-    for level in range(depth):
+    parts = F.split(F.regexp_replace("folded", "^/", ""), "/", depth)
+    rows = settle(paths.withColumn("__parts", parts).withColumn("template", F.lit("")), "paths")
+    for level in range(rows.agg(F.max(F.size("__parts"))).first()[0] or 0):
         segment = F.get("__parts", F.lit(level))
-        children = rows.filter(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.count("*").alias("n"))
-        wide = children.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("n")).filter((F.col("children") > branch) & (F.col("n") < F.col("children") * repeat))
-        marked = rows.join(wide.select("host", "template", F.lit(True).alias("__wide")), ["host", "template"], "left")
+        children = rows.filter(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("pages").alias("n"), F.count("*").alias("rows"))
+        nodes = children.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+        wide = settle(nodes.filter((F.col("children") > branch) & (F.col("n") < F.col("children") * repeat)).select("host", "template", F.lit(True).alias("__wide"), "rows"), "wide")
         step = F.when(segment.isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("__wide"), "*").otherwise(segment)))
-        rows = marked.withColumn("template", F.concat("template", step)).drop("__wide")
+        new = settle(join_hot(rows, wide, ["host", "template"], "rows").withColumn("template", F.concat("template", step)).drop("__wide", "rows"), "paths")
+        release(rows, wide)
+        rows = new
     return rows.drop("__parts")
 
 
 def purity(labelled: DataFrame, weight: float = 4.0, z: float = 1.96, depth: int = DEPTH) -> DataFrame:
-    """(host, template, n, blocked, purity) of each template, from rows (host, template, label).
+    """(host, template, n, blocked, purity) of each template, from rows (host, template, pages, n, blocked).
 
-    label is 1 for block, 0 for allow, null for unlabelled. Every node of the tree is rated, from the
+    pages counts the pages, n the labelled ones and blocked those labelled block. Every node of the tree is rated, from the
     host down: its share is smoothed towards its parent's purity, the host's towards the share of all
     labelled pages. Siblings within z standard errors of their common share take the counts of all
     such siblings, and so do unlabelled ones. weight is the smoothing's number of rows. Pages that end
     at an inner node are smoothed towards that node.
     """
-    own = settle(labelled.groupBy("host", "template").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("blocked"), F.count("*").alias("pages")), "templates")
+    own = settle(labelled.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("pages").alias("pages")), "templates")
     total = own.agg(F.sum("n").alias("n"), F.sum("blocked").alias("b")).first()
     base = (total["b"] or 0) / total["n"] if total["n"] else 0.5
     parts = F.split(F.expr("substring(template, 2)"), "/", depth)
@@ -84,19 +90,21 @@ def purity(labelled: DataFrame, weight: float = 4.0, z: float = 1.96, depth: int
         return (blocked + weight * towards) / (n + weight)
 
     rated = settle(nodes.filter("level = 0").select("host", "level", "node", "n", "blocked", "pages", smoothed(F.col("blocked"), F.col("n"), F.lit(base)).alias("purity")), "rated")
-    levels = [rated]
-    for level in range(1, depth + 1):
+    levels, keys = [rated], ["host", "parent"]
+    for level in range(1, (nodes.agg(F.max("level")).first()[0] or 0) + 1):
         here = nodes.filter(F.col("level") == level)
-        pooled = here.filter("n > 0").groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("blocked").alias("pb"))
-        share = F.col("pb") / F.col("pn")
-        error = F.sqrt(share * (1 - share) / F.nullif(F.col("n"), F.lit(0)))
-        near = here.join(pooled, ["host", "parent"], "left").withColumn("alike", (F.col("n") > 0) & (F.abs(F.col("blocked") / F.nullif(F.col("n"), F.lit(0)) - share) <= z * error))
-        merged = near.filter("alike").groupBy("host", "parent").agg(F.sum("n").alias("mn"), F.sum("blocked").alias("mb"))
-        shared = F.col("alike") | (F.col("n") == 0)
-        n, b = (F.when(shared, F.coalesce(m, F.lit(0))).otherwise(F.col(c)) for m, c in (("mn", "n"), ("mb", "blocked")))
+        pooled = here.groupBy(*keys).agg(F.sum("n").alias("pn"), F.sum("blocked").alias("pb"), F.count("*").alias("children"))
         above = rated.select("host", F.col("node").alias("parent"), F.col("purity").alias("above"))
-        made = near.join(merged, ["host", "parent"], "left").join(above, ["host", "parent"])
+        families = settle(pooled.join(above, keys), "families")
+        share = F.col("pb") / F.nullif(F.col("pn"), F.lit(0))
+        alike = (F.col("n") > 0) & (F.abs(F.col("blocked") / F.nullif(F.col("n"), F.lit(0)) - share) <= z * F.sqrt(share * (1 - share) / F.nullif(F.col("n"), F.lit(0))))
+        near = settle(join_hot(here, families, keys, "children").withColumn("alike", F.coalesce(alike, F.lit(False))).drop("children"), "near")
+        merged = settle(near.groupBy(*keys).agg(F.count("*").alias("children"), *[F.coalesce(F.sum(F.when(F.col("alike"), F.col(c))), F.lit(0)).alias(m) for c, m in (("n", "mn"), ("blocked", "mb"))]), "merged")
+        shared = F.col("alike") | (F.col("n") == 0)
+        n, b = (F.when(shared, F.col(m)).otherwise(F.col(c)) for m, c in (("mn", "n"), ("mb", "blocked")))
+        made = join_hot(near, merged, keys, "children")
         rated = settle(made.select("host", "level", "node", n.alias("n"), b.alias("blocked"), "pages", smoothed(b, n, F.col("above")).alias("purity")), "rated")
+        release(families, near, merged)
         levels.append(rated)
     found = levels[0]
     for more in levels[1:]:
@@ -117,13 +125,17 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, rej
     host. Repeated rows each get a row; other columns are ignored; an empty table gives no rows.
     """
     host, path = host_and_path(F.col("url"))
-    extra = [F.col(label).cast("int").alias("given")] if label else []
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"), *extra).withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
+    given = F.col(label).cast("int") if label else F.lit(None).cast("int")
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), given.alias("given")).withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
     marked = rows.withColumn("label", F.col("given") if label else F.when(F.col("fit.verdict") == "block", 1).when(F.col("fit").isNotNull(), 0))
-    known = settle(templates(marked).select("page_id", "host", "path", "fit", "label", "template"), "urls")
-    rated = known.join(purity(known), ["host", "template"], "left")
+    known = settle(marked.select("page_id", "host", "path", folded(F.col("path")).alias("folded"), "fit", "label"), "urls")
+    paths = known.groupBy("host", "folded").agg(F.count("*").alias("pages"), F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("blocked"))
+    shaped = templates(paths)
+    rates = settle(purity(shaped).select("host", "template", F.round("purity", 6).alias("purity")), "purity")
+    places = shaped.join(rates, ["host", "template"]).select("host", "folded", "template", "purity", "pages")
+    rated = join_hot(known, settle(places, "places"), ["host", "folded"], "pages")
     by_tree = F.when(F.col("purity") >= reject, "block").otherwise("allow")
-    return rated.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_tree).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    return rated.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_tree).alias("verdict"), "template", "purity")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -507,3 +507,80 @@ def test_lm_score_tells_good_documents_apart(spark):
     labels = [(rows[r["doc_id"]], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
     good, bad = ([s for s, q in labels if q == x] for x in (1, 0))
     assert np.mean(np.searchsorted(np.sort(bad), good)) >= 0.94 * len(bad)
+
+
+def _tree(pages: list[tuple[str, str, int | None]]) -> dict[tuple[str, str], tuple[str, float]]:
+    """(template, purity) of each (host, path) by plain loops over one tree per host."""
+    labels = [x for *_, x in pages if x is not None]
+    base = sum(labels) / len(labels) if labels else 0.5
+    found = {}
+    for host in {h for h, *_ in pages}:
+        rows = [(path, re.sub("[0-9]+", "*", path).removeprefix("/").split("/", urlfilter.DEPTH - 1), x) for h, path, x in pages if h == host]
+        names = [""] * len(rows)
+        for level in range(max(len(p) for _, p, _ in rows)):
+            children = defaultdict(Counter)
+            for name, (_, parts, _) in zip(names, rows, strict=True):
+                if level < len(parts):
+                    children[name][parts[level]] += 1
+            wide = {n for n, c in children.items() if len(c) > 16 and c.total() < 4 * len(c)}
+            names = [n + ("" if level >= len(p) else "/*" if n in wide else f"/{p[level]}") for n, (_, p, _) in zip(names, rows, strict=True)]
+        nodes, own = defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0, 0])
+        for name, (_, _, x) in zip(names, rows, strict=True):
+            parts = name[1:].split("/", urlfilter.DEPTH - 1) if name else []
+            for cell in [own[name], *[nodes["".join(f"/{p}" for p in parts[:k])] for k in range(len(parts) + 1)]]:
+                for k, more in enumerate((1, x is not None, x or 0)):
+                    cell[k] += more
+        parents = {n: n.rsplit("/", 1)[0] if n.count("/") < urlfilter.DEPTH else "/".join(n.split("/", urlfilter.DEPTH)[: urlfilter.DEPTH]) for n in nodes if n}
+        rate = {"": (nodes[""][2] + 4 * base) / (nodes[""][1] + 4)}
+        for node in sorted(parents, key=lambda n: min(n.count("/"), urlfilter.DEPTH)):
+            family = [nodes[n] for n, p in parents.items() if p == parents[node]]
+            n, b = sum(f[1] for f in family), sum(f[2] for f in family)
+            alike = [f for f in family if f[1] and abs(f[2] / f[1] - b / n) <= 1.96 * (b / n * (1 - b / n) / f[1]) ** 0.5]
+            mine = nodes[node]
+            k, m = (sum(f[1] for f in alike), sum(f[2] for f in alike)) if not mine[1] or any(f is mine for f in alike) else mine[1:]
+            rate[node] = (m + 4 * rate[parents[node]]) / (k + 4)
+        for name, (path, _, _) in zip(names, rows, strict=True):
+            whole = own[name][0] == nodes[name][0]
+            found[host, path] = name, rate[name] if whole else (own[name][2] + 4 * rate[name]) / (own[name][1] + 4)
+    return found
+
+
+def test_url_verdicts_over_the_whole_table(spark):
+    """Templates, purities and verdicts of every page against plain trees, at the next size; the tree decides on its own pages."""
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op8_url_filter"](spark, sf).collect()
+    kinds = {r: v == "block" for v, r in urlfilter.RULES}
+    tree = _tree([(r["host"], r["path"], None if r["rule"] is None else int(kinds[r["rule"]])) for r in rows])
+    for r in rows:
+        template, purity = tree[r["host"], r["path"]]
+        assert (r["template"], r["purity"]) == (template, pytest.approx(purity, abs=1e-6))
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if purity >= 0.8 else "allow")
+    free = [r for r in rows if r["rule"] is None]
+    assert {r["verdict"] for r in free} == {"allow", "block"} and len({r["purity"] for r in free}) >= 5
+    assert any("*" in r["template"] for r in free)
+
+
+def test_url_trees_of_all_shapes(spark):
+    """Deep, wide, inner and unlabelled paths, and a host that holds most pages."""
+    rng, rows = random.Random(11), []
+    for k in range(1500):
+        host = "big.org" if k % 3 else f"h{k % 30}.net"
+        words = [rng.choice(["a", "b", f"n{rng.choice('abcdefghij')}{rng.choice('abcdefghij')}", str(rng.randrange(99))]) for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 12]))]
+        bad = rng.choice([None, 0, 1]) if "a" not in words[:1] else rng.choice([None, 1, 1, 1, 0])
+        rows.append((k, f"http://{host}" + "".join(f"/{w}" for w in words), bad))
+    found = {r["page_id"]: r for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, bad int"), rules=(), label="bad").collect()}
+    tree = _tree([(found[k]["host"], found[k]["path"], bad) for k, _, bad in rows])
+    for k, r in found.items():
+        template, purity = tree[r["host"], r["path"]]
+        assert (k, r["template"], r["purity"]) == (k, template, pytest.approx(purity, abs=1e-6))
+
+
+def test_hot_keys_join_like_others(spark):
+    rng = random.Random(12)
+    keys = [rng.choice([1, 1, 1, *range(2, 3000)]) for _ in range(4000)]
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k long, at long")
+    counts = Counter(keys)
+    found = spark.createDataFrame([(k, n, -k) for k, n in counts.items() if k % 7], "k long, n long, v long")
+    made = {r["at"]: (r["k"], r["n"], r["v"]) for r in common.join_hot(rows, found, ["k"], "n").collect()}
+    assert made == {n: (k, counts[k] if k % 7 else None, -k if k % 7 else None) for n, k in enumerate(keys)}
