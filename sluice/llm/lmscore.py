@@ -30,7 +30,7 @@ WORD_BITS = 19
 #: Weight of the pair's frequency against the word's.
 PAIR_WEIGHT = 0.6
 #: Bytes of text of a block on average at most; a bucket has a like share of the keys.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: Buckets at least.
 BUCKETS = 1 << 10
 #: Keys are 63 bits of a hash, and the lowest bit tells words (0) from pairs (1).
@@ -125,9 +125,11 @@ class Corpus:
                 n = np.diff(starts)
                 wanted = np.isin(texts.column("doc_id").to_numpy(), marks.column("doc_id").to_numpy())
                 own = np.concatenate((words, pairs, np.full(len(n), _START), np.full(len(n), _TOTAL)))
-                full, target = (n > 0).astype(np.int64), np.repeat(wanted, n)
-                everywhere = np.concatenate((np.ones(2 * len(words), np.int64), full, n))
+                full, target = (n > 0).astype(np.int32), np.repeat(wanted, n)
+                everywhere = np.concatenate((np.ones(2 * len(words), np.int32), full, n.astype(np.int32)))
+                del words, pairs
                 distinct, _, (background, chosen) = _counted(own, everywhere, np.concatenate((target, target, full * wanted, n * wanted)))
+                del own, target, everywhere
                 edges = np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(distinct)]
                 for bucket in range(1 << bits):
                     i, j = edges[bucket], edges[bucket + 1]
@@ -204,7 +206,7 @@ def losses(word: np.ndarray, context: np.ndarray, pair: np.ndarray, total: np.nd
 def _within(codes: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     """How often each code occurs in its own document; documents have n codes each, all below size."""
     _, place, times = np.unique(np.repeat(np.arange(len(n)), n) * size + codes, return_inverse=True, return_counts=True)
-    return times[place]
+    return times.astype(np.int32)[place]
 
 
 def train(docs: DataFrame, targets: DataFrame, marks: bool = False) -> tuple[Model, Model]:
@@ -243,10 +245,12 @@ def cross_entropy_difference(docs: DataFrame, target: Model, background: Model,
         marks = answers.column("doc_id").drop_null().to_numpy()
         answers = answers.filter(pc.is_valid(answers.column("bucket")))
         own, place = np.unique(np.concatenate((words, pairs, [_START, _TOTAL])), return_inverse=True)
+        place = place.astype(np.int32)
         word, pair, (start, total) = place[: len(words)], place[len(words) : -2], place[-2:]
+        del words, pairs
         if leave_out:
             wanted = np.isin(texts.column("doc_id").to_numpy(), marks)
-            owner = np.repeat(np.arange(len(n)), n)
+            owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
             own_word, own_pair, own_start = _within(word, n, len(own)), _within(pair, n, len(own)), (n > 0).astype(np.int64)
             own_context = _before(own_word, starts, 0)
             firsts = starts[:-1][n > 0]
