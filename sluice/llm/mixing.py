@@ -11,15 +11,17 @@ large, meets in one task.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import settle
+from sluice.llm.common import release, settle
 from sluice.session import table
 
 MARGINS = ("source", "lang", "topic")
-#: The most raking rounds.
-ROUNDS = 20
+#: Raking rounds after which weights that still move are reported.
+ROUNDS = 200
 #: The share of the documents' tokens that the sample should hold.
 BUDGET = 0.5
 #: Targets soften the margins: each share is the observed one to this power, made to sum to one.
@@ -46,12 +48,22 @@ def tokens(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.char_length(trimmed) - F.char_length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+def draw(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) from the id, or from the text where there is no id: 52 bits of an MD5."""
+    known = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), text))
+    return F.conv(F.substring(F.md5(known.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def features(docs: DataFrame) -> list[Column]:
+    """doc_id, source, lang, topic, n_tokens and draw; null texts are empty, null margins are `(none)`."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    margins = [F.coalesce(docs[m].cast("string"), F.lit(NONE)).alias(m) for m in ("source", "lang")]
+    return [docs["doc_id"].cast("long").alias("doc_id"), *margins, topic(text).alias("topic"), tokens(text).alias("n_tokens"), draw(docs["doc_id"], text).alias("draw")]
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic and n_tokens; null texts are empty, null margins are `(none)`."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce("lang", F.lit(NONE)).alias("lang"), topic(text).alias("topic"), tokens(text).alias("n_tokens")
-    )
+    """doc_id, source, lang, topic and n_tokens of each document."""
+    return docs.select(*features(docs)[:-1])
 
 
 def softened(cells: DataFrame, margin: str, power: float = POWER) -> DataFrame:
@@ -61,25 +73,32 @@ def softened(cells: DataFrame, margin: str, power: float = POWER) -> DataFrame:
     return shares.select(margin, (F.pow("n", F.lit(power)) / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = 1e-12) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = 1e-12, sweeps: int = 2) -> DataFrame:
     """The cells (margins, tokens) with column weight, raked to the targets' shares of one.
 
-    Each round is settled; raking stops early once a round moves no weight by more than the tolerance.
-    A margin value without a target, or with target zero, gets weight zero.
+    Some sweeps over the margins at a time are settled; raking ends once no margin of a sweep moves a weight by more than the
+    tolerance. Targets that contradict each other never get there: after so many rounds a warning says how far weights still
+    move. A margin value without a target, or with target zero, gets weight zero.
     """
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        new = now.withColumn("last", F.col("weight"))
-        for name, target in targets.items():
-            sums = new.groupBy(name).agg(F.sum("weight").alias("sum")).join(target, name, "left")
-            scale = F.when(F.col("sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("sum")).otherwise(0.0)
-            new = new.join(sums.select(name, scale.alias("scale")), name).withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
-        new = settle(new, "cells")
-        moved = new.agg(F.max(F.abs(F.col("weight") - F.col("last")))).first()[0]
-        now = new.drop("last")
+    now, held, done = cells.withColumn("weight", F.col("tokens").cast("double")), None, 0
+    while True:
+        for _ in range(sweeps):
+            now = now.withColumn("moved", F.lit(0.0))
+            for name, target in targets.items():
+                sums = now.groupBy(name).agg(F.sum("weight").alias("sum")).join(target, name, "left")
+                scale = F.when(F.col("sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("sum")).otherwise(0.0)
+                now = now.join(sums.select(name, scale.alias("scale")), name)
+                now = now.withColumns({"moved": F.greatest("moved", F.abs(F.col("weight") * F.col("scale") - F.col("weight"))), "weight": F.col("weight") * F.col("scale")}).drop("scale")
+        new = settle(now, "cells")
+        moved = new.agg(F.max("moved")).first()[0]
+        if held is not None:
+            release(held)
+        now, held, done = new.drop("moved"), new, done + sweeps
         if moved is None or moved <= tolerance:
-            break
-    return now
+            return now
+        if done >= rounds:
+            warnings.warn(f"after {done} rounds of raking weights still move by {moved:.3g} of all tokens: the margins' targets don't agree", stacklevel=2)
+            return now
 
 
 def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -103,35 +122,37 @@ def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return rates.withColumn("probability", F.least(F.lit(1.0), F.col("rate") * F.lit(scale))).drop("rate")
 
 
-def draw(doc_id: Column) -> Column:
-    """A number in [0, 1) from the id: 52 bits of its MD5."""
-    text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+def chances(cells: DataFrame, targets: dict[str, DataFrame] | None, budget: float, rounds: int) -> DataFrame:
+    """The cells with their probability; without targets the observed margins are softened."""
+    aims = targets or {m: settle(softened(cells, m), "targets") for m in MARGINS}
+    return calibrate(rake(cells, aims, rounds), budget)
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability and kept for each document.
 
     Margins that are null count as `(none)`. Without targets the observed margins are softened.
-    Repeated rows share their draw; blank texts have no tokens and are kept only in a cell that has
-    some; an empty table gives no rows. Other columns are ignored.
+    Repeated ids share their draw, and so do equal texts without id; blank texts have no tokens and are kept only in a cell that has
+    some; an empty table gives no rows. Other columns are ignored. probability is shown with six
+    digits; the draw is held against all of it.
     """
-    rows = settle(described(docs), "described")
+    rows = settle(docs.select(*features(docs)), "described")
     cells = settle(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    aims = targets or {m: settle(softened(cells, m), "targets") for m in MARGINS}
-    chances = calibrate(rake(cells, aims, rounds), budget)
-    found = rows.join(chances.select(*MARGINS, "probability"), list(MARGINS), "left")
-    return found.select("doc_id", *MARGINS, "n_tokens", F.round("probability", 6).alias("probability"), (draw(F.col("doc_id")) < F.round("probability", 6)).alias("kept"))
+    found = rows.join(chances(cells, targets, budget, rounds).select(*MARGINS, "probability"), list(MARGINS), "left")
+    return found.select("doc_id", *MARGINS, "n_tokens", F.round("probability", 6).alias("probability"), (F.col("draw") < F.col("probability")).alias("kept"))
 
 
-def sample(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """The kept documents with their own columns, topic and weight, the inverse of the chance to be kept."""
-    rows = docs.withColumn("topic", topic(F.coalesce(F.col("text"), F.lit("")))).withColumn("__source", F.coalesce("source", F.lit(NONE))).withColumn("__lang", F.coalesce("lang", F.lit(NONE)))
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """The kept documents with their own columns, topic and weight, the inverse of the chance to be kept.
+
+    Where the documents have a column topic or weight of their own it stays, and the new one is mixing_topic or mixing_weight.
+    """
     cells = settle(described(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    chances = calibrate(rake(cells, {m: settle(softened(cells, m), "targets") for m in MARGINS}), budget)
-    keyed = chances.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), "topic", F.round("probability", 6).alias("__chance"))
-    kept = rows.join(keyed, ["__source", "__lang", "topic"]).filter(draw(F.col("doc_id")) < F.col("__chance"))
-    return kept.select(*docs.columns, "topic", F.round(1 / F.col("__chance"), 6).alias("weight"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *features(docs))
+    kept = rows.join(chances(cells, targets, budget, rounds).select(*MARGINS, "probability"), list(MARGINS)).filter(F.col("draw") < F.col("probability"))
+    taken = {c.lower() for c in docs.columns}
+    new = [c.alias(f"mixing_{n}" if n in taken else n) for n, c in (("topic", F.col("topic")), ("weight", 1 / F.col("probability")))]
+    return kept.select("row.*", *new)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +177,7 @@ def _oracle() -> str:
     for m in MARGINS:
         ctes.append(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(n, {POWER}) / sum(pow(n, {POWER})) OVER () AS target FROM (SELECT {m}, sum(tokens) AS n FROM c0 GROUP BY 1))")
     k = 0
-    for _ in range(ROUNDS):
+    for _ in range(20):  # at the sizes that SQL is for, raking has converged by then
         for m in MARGINS:
             ctes.append(
                 f"c{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, CASE WHEN s > 0 THEN weight * target / s ELSE 0 END AS weight "
@@ -167,10 +188,10 @@ def _oracle() -> str:
     # saturated cells come first: the scale is that of the shortest prefix after which no cell passes one
     ctes.append("o AS (SELECT *, sum(tokens) OVER w - tokens AS kept, (SELECT sum(weight) FROM e) - (sum(weight) OVER w - weight) AS open FROM e WINDOW w AS (ORDER BY rate DESC, source, lang, topic ROWS UNBOUNDED PRECEDING))")
     ctes.append("z AS (SELECT coalesce((SELECT (goal - kept) / open FROM o WHERE open > 1e-12 AND rate * (goal - kept) / open < 1 ORDER BY rate DESC, source, lang, topic LIMIT 1), 1e300) AS scale)")
-    ctes.append("p AS (SELECT source, lang, topic, round(least(1.0, rate * scale), 6) AS probability FROM e, z)")
+    ctes.append("p AS (SELECT source, lang, topic, least(1.0, rate * scale) AS chance FROM e, z)")
     return (
-        "WITH " + ",\n".join(ctes) + " SELECT doc_id, source, lang, topic, n_tokens, probability, "
-        "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 < probability AS kept FROM r JOIN p USING (source, lang, topic)"
+        "WITH " + ",\n".join(ctes) + " SELECT doc_id, source, lang, topic, n_tokens, round(chance, 6) AS probability, "
+        "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 < chance AS kept FROM r JOIN p USING (source, lang, topic)"
     )
 
 
