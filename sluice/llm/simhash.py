@@ -2,8 +2,9 @@
 
 A fingerprint's 64 bits are cut into five blocks. Two fingerprints that differ in at most two
 bits agree on three whole blocks at least, so each fingerprint joins one shard for each choice of
-three blocks and no link can be lost. A shard's tree holds fingerprints that share 38 bits or
-more, so its size doesn't follow the corpus; it is built where the shuffle brought the shard,
+three blocks and no link can be lost. A shard with many fingerprints is cut once more: the 25 or 26 bits
+that it leaves open are six finer blocks, of which two within two bits share four, so its members join
+fifteen shards of 1,024 fingerprints at most. A tree is built where the shuffle brought its shard,
 because trees of the whole corpus have no size bound under which they could be broadcast.
 """
 
@@ -15,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import settle
@@ -26,6 +27,8 @@ SEED = 42
 #: Bits of each block, lowest first.
 BLOCKS = (13, 13, 13, 13, 12)
 RADIUS = 2
+#: Fingerprints of a shard beyond which it is cut by finer blocks, and those blocks: six of the bits that the shard leaves open.
+SHARD, FINER = 4096, 6
 #: Nodes of one tree; a larger shard becomes several trees, all of which are searched.
 TREE_NODES = 1 << 16
 _CHUNK = 1 << 16
@@ -124,25 +127,48 @@ def _shard_links(bits: list[int], ids: list[int], radius: int, nodes: int) -> It
         trees[-1].add(item)
 
 
-def links(keyed: DataFrame, radius: int = RADIUS, nodes: int = TREE_NODES) -> DataFrame:
-    """(a, b): links between the ids of distinct fingerprints (bits, id), spanning each shard's components."""
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+
+
+def _shards(bits: Column, places: list[int], cuts: list[int], left_out: int) -> Column:
+    """An array of (choice, shared): the bits at `places`, cut into blocks, in every choice of all blocks but `left_out`."""
+    blocks = [places[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    chosen = combinations(range(len(blocks)), len(blocks) - left_out)
+    masks = [sum(1 << p for b in own for p in blocks[b]) for own in chosen]
+    return F.array(*[F.struct(F.lit(k).cast("int").alias("choice"), bits.bitwiseAND(_signed(m)).alias("shared")) for k, m in enumerate(masks)])
+
+
+def links(keyed: DataFrame, radius: int = RADIUS, nodes: int = TREE_NODES, shard: int | None = None) -> DataFrame:
+    """(a, b): links between the ids of distinct fingerprints (bits, id), spanning each shard's components.
+
+    A shard of more than `shard` fingerprints (SHARD if not given) is cut by finer blocks.
+    """
     if radius > 2:
         raise ValueError("five blocks, three of them equal, find distances of 2 at most")
-    starts = np.cumsum((0, *BLOCKS))
-    shards = []
-    for k, chosen in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - 2)):
-        mask = sum(((1 << BLOCKS[i]) - 1) << int(starts[i]) for i in chosen)
-        masked = F.col("bits").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
-        shards.append(F.struct(F.lit(k).cast("int").alias("choice"), masked.alias("shared")))
-    spread = keyed.select("bits", "id", F.explode(F.array(*shards)).alias("s")).select("s.choice", "s.shared", "bits", "id")
-    dealt = spread.repartition("choice", "shared").sortWithinPartitions("choice", "shared", "bits")
+    cuts = [0, *np.cumsum(BLOCKS).tolist()]
+    spread = settle(keyed.select("bits", "id", F.explode(_shards(F.col("bits"), list(range(64)), cuts, 2)).alias("s")).select("s.choice", "s.shared", "bits", "id"), "shards")
+    hot = settle(spread.groupBy("choice", "shared").count().filter(F.col("count") > (SHARD if shard is None else shard)).select("choice", "shared", F.lit(True).alias("hot")), "hot")
+    whole = [F.lit(-1).cast("int").alias("finer"), F.lit(0).cast("long").alias("part")]
+    if hot.isEmpty():
+        cold = spread.select("choice", "shared", *whole, "bits", "id")
+    else:
+        marked = spread.join(hot, ["choice", "shared"], "left")
+        finer = F.lit(None).cast("array<struct<choice:int,shared:bigint>>")
+        for k, own in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - 2)):
+            open_bits = [p for b in range(len(BLOCKS)) if b not in own for p in range(cuts[b], cuts[b + 1])]
+            at = [len(open_bits) * x // FINER for x in range(FINER + 1)]
+            finer = F.when(F.col("choice") == k, _shards(F.col("bits"), open_bits, at, 2)).otherwise(finer)
+        again = marked.filter("hot").select("choice", "shared", F.explode(finer).alias("f"), "bits", "id").select("choice", "shared", F.col("f.choice").alias("finer"), F.col("f.shared").alias("part"), "bits", "id")
+        cold = marked.filter("hot is null").select("choice", "shared", *whole, "bits", "id").unionByName(again)
+    dealt = cold.repartition("choice", "shared", "finer", "part").sortWithinPartitions("choice", "shared", "finer", "part", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush(table: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
-            choice, shared, bits, ids = table
-            cuts = np.flatnonzero((np.diff(choice) != 0) | (np.diff(shared) != 0)) + 1
+            *keys, bits, ids = table
+            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
             edges = np.concatenate(([0], cuts, [len(bits)])).astype(np.int64)
             if not last:  # the final shard may go on in the next batch
                 keep, edges = edges[-2], edges[:-1]
