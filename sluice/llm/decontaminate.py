@@ -48,12 +48,13 @@ def _grams(hashes: np.ndarray) -> np.ndarray:
 
 
 def _bit_map(df: DataFrame, column: str) -> np.ndarray:
-    """A map with a bit for each hash of the column; at most 2**MAP_BITS numbers are collected."""
-    low = df.select(F.col(column).bitwiseAND(F.lit((1 << MAP_BITS) - 1)).alias("x")).distinct()
-    packed = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    found = low.toArrow().column(0).to_numpy()
-    np.bitwise_or.at(packed, found >> 3, np.left_shift(1, found & 7).astype(np.uint8))
-    return packed
+    """A map with a bit for each hash of the column; tasks set the bits, and 2**MAP_BITS / 64 longs are collected at most."""
+    low = F.col(column).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    words = df.select(F.shiftright(low, 6).alias("word"), low.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    packed = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    packed[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return packed.view(np.uint8)
 
 
 def _holds(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -211,17 +212,18 @@ def _aligned(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, item_id long, n_seeds long, score double, start_word long, end_word long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, least: float = 0.4, rare: float = 1e-9) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, least: float = 0.4, rare: float = 1e-9, corpus: DataFrame | None = None) -> DataFrame:
     """One row for each document and test item that it holds a copy of: doc_id, item_id, score,
     start_word, end_word, n_seeds.
 
     score is the alignment's share of the item's best possible score, `least` or more. Of several
     copies in one document the best counts, then the first. Words are white-space runs in lower
-    case, trimmed of punctuation. Items of fewer than three words and null or empty texts match nothing; rows
-    without doc_id are left out, repeated documents give one row, other columns are ignored, and
+    case, trimmed of punctuation; how rare they are is counted over `corpus`, or else over docs. Items of fewer than three words and null or empty texts match nothing; rows
+    without doc_id and items without item_id are left out, repeated documents give one row, other columns are ignored, and
     empty tables give no rows.
     """
-    seeds = settle(rare_seeds(docs, items, rare), "seeds")
+    items = items.filter("item_id is not null")
+    seeds = settle(rare_seeds(docs if corpus is None else corpus, items, rare), "seeds")
     reach = settle(_item_words(items).select("n"), "lengths").agg(F.max("n")).first()[0] or SEED_WORDS
     spots = settle(passages(docs.filter("doc_id is not null"), _bit_map(seeds, "seed"), int(reach)), "passages")
     hits = spots.select("doc_id", "start", F.explode("seeds").alias("seed")).join(seeds, "seed")
@@ -235,9 +237,20 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = 0.4, rare: f
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents, with their own columns, that hold no copy of a test item; rows without doc_id stay."""
-    bad = settle(contamination(docs, items, least).select("doc_id").distinct(), "contaminated")  # its size is then known
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, with their own columns, that hold no copy of a test item; rows without doc_id are judged by their text.
+
+    Items without item_id count as well: each stands for its own text.
+    """
+    tests = items.select(F.coalesce(F.col("item_id").cast("long"), F.xxhash64("text")).alias("item_id"), "text")
+    names, text = docs.columns, F.col("text").cast("string")
+    bad = settle(contamination(docs, tests, least).select("doc_id").distinct(), "contaminated")  # its size is then known
+    known = docs.filter("doc_id is not null").join(bad, docs["doc_id"].cast("long") == bad["doc_id"], "left_anti").select(*names)
+    nameless = docs.filter("doc_id is null")
+    if nameless.isEmpty():
+        return known
+    stand_in = nameless.select(F.xxhash64(text).alias("doc_id"), text.alias("text")).distinct()
+    found = settle(contamination(stand_in, tests, least, corpus=docs).select(F.col("doc_id").alias("__text")).distinct(), "contaminated")
+    return known.unionByName(nameless.join(found, F.xxhash64(text) == F.col("__text"), "left_anti").select(*names))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

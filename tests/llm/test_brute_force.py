@@ -202,8 +202,8 @@ def test_links_lose_nothing(spark):
     signed = [(m - (1 << 64) if m >> 63 else m, k) for k, m in enumerate(marks)]
     df = spark.createDataFrame(signed, "bits long, id long")
     roots = _roots(list(range(len(marks))), lambda a, b: (marks[a] ^ marks[b]).bit_count() <= 2)
-    for nodes in (1 << 16, 3):  # whole trees, then shards cut into many
-        made = {r["node"]: r["component"] for r in components.components(simhash.links(df, nodes=nodes)).collect()}
+    for nodes, shard in ((1 << 16, None), (3, None), (1 << 16, 2)):  # whole trees, shards of many trees, shards cut by finer blocks
+        made = {r["node"]: r["component"] for r in components.components(simhash.links(df, nodes=nodes, shard=shard)).collect()}
         assert {k: made.get(k, k) for k in roots} == roots
 
 
@@ -584,3 +584,100 @@ def test_hot_keys_join_like_others(spark):
     found = spark.createDataFrame([(k, n, -k) for k, n in counts.items() if k % 7], "k long, n long, v long")
     made = {r["at"]: (r["k"], r["n"], r["v"]) for r in common.join_hot(rows, found, ["k"], "n").collect()}
     assert made == {n: (k, counts[k] if k % 7 else None, -k if k % 7 else None) for n, k in enumerate(keys)}
+
+
+def test_finer_shards_are_small_and_lose_nothing(spark):
+    """Two hundred fingerprints within the bits that one choice of blocks leaves open."""
+    rng = random.Random(21)
+    marks = sorted({0x5555555555555555 ^ sum(1 << b for b in rng.sample(range(38, 64), rng.choice([0, 1, 2, 3, 4, 5]))) for _ in range(200)})
+    df = spark.createDataFrame([(m - (1 << 64) if m >> 63 else m, k) for k, m in enumerate(marks)], "bits long, id long")
+    roots = _roots(list(range(len(marks))), lambda a, b: (marks[a] ^ marks[b]).bit_count() <= 2)
+    made = {r["node"]: r["component"] for r in components.components(simhash.links(df, shard=10)).collect()}
+    assert {k: made.get(k, k) for k in roots} == roots
+
+
+def test_components_of_a_hub(spark):
+    edges = [(k, 5000) for k in range(1, 3000)] + [(5000, 0)] + [(6000 + k, 6001 + k) for k in range(0, 40, 2)]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {k: 0 for k in [*range(3000), 5000]} | {6000 + k: 6000 + k - k % 2 for k in range(40)}
+
+
+def test_edited_passages_of_the_benchmark_are_found(spark):
+    """Copies of real test items inside real documents, with words changed, left out, put in and moved: nine in ten must be found."""
+    rng, sf = random.Random(22), "/root/testdata/sf0.01"
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(300).collect()]
+    items = [r for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect() if len((r["text"] or "").split()) >= 12]
+    vocabulary = [w for t in texts[:50] for w in t.split()]
+    rows, planted = [], set()
+    for k, text in enumerate(texts):
+        item = items[k % len(items)]
+        words = item["text"].split()
+        if k % 4 == 0:
+            words = [rng.choice(vocabulary) if i % 6 == 3 else w for i, w in enumerate(words)]
+        elif k % 4 == 1:
+            words = [w for i, w in enumerate(words) if i % 7 != 4]
+        elif k % 4 == 2:
+            words = [x for i, w in enumerate(words) for x in ([w, rng.choice(vocabulary)] if i % 6 == 2 else [w])]
+        else:
+            words = words[len(words) // 2 :] + words[: len(words) // 2]
+        rows.append((k, f"{text} {' '.join(words).upper()} {text[:200]}"))
+        planted.add((k, item["item_id"]))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert len(found & planted) >= 0.9 * len(planted)
+
+
+def test_contaminated_rows_without_id_go(spark):
+    words = " ".join(f"rare{k}" for k in range(30))
+    docs = spark.createDataFrame([(None, f"here is {words} again"), (None, "nothing of that kind"), (1, words), (2, "plain text")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, words), (4, "some other item of a few words")], "item_id long, text string")
+    assert sorted(r["text"] for r in decontaminate.drop_contaminated(docs, items).collect()) == ["nothing of that kind", "plain text"]
+
+
+def test_mixing_draws_against_plain_python(spark, sf, docs):
+    """Every chance and draw of the query, by raking in plain loops until no weight moves."""
+    rows = {r["doc_id"]: r for r in QUERIES["op4_mixing"](spark, sf).collect()}
+    cells = Counter()
+    for r in rows.values():
+        cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
+    margins = [Counter() for _ in range(3)]
+    for key, n in cells.items():
+        for k in range(3):
+            margins[k][key[k]] += n
+    targets = [{v: n**0.7 / sum(x**0.7 for x in m.values()) for v, n in m.items()} for m in margins]
+    weights = {key: float(n) for key, n in cells.items()}
+    for _ in range(300):
+        for k in range(3):
+            sums = Counter()
+            for key, w in weights.items():
+                sums[key[k]] += w
+            weights = {key: w * targets[k][key[k]] / sums[key[k]] if sums[key[k]] else 0.0 for key, w in weights.items()}
+    rates = {key: w / cells[key] if cells[key] else 0.0 for key, w in weights.items()}
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        scale = (low + high) / 2
+        low, high = (scale, high) if sum(n * min(1.0, rates[key] * scale) for key, n in cells.items()) < cells.total() / 2 else (low, scale)
+    for k, r in rows.items():
+        chance = min(1.0, rates[r["source"], r["lang"], r["topic"]] * high)
+        assert r["probability"] == pytest.approx(chance, abs=2e-6)
+        number = int(hashlib.md5(str(k).encode()).hexdigest()[:13], 16) / 2**52
+        assert r["kept"] == (number < chance) or abs(number - chance) < 1e-6
+
+
+def test_small_chances_are_kept_and_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(k, "a b c", "en", "big", "mine", 9) for k in range(300)] + [(None, f"x{k}", "en", "big", "mine", 9) for k in range(100)], "doc_id long, text string, lang string, source string, topic string, Weight int")
+    tiny = {m: spark.createDataFrame([(v, 1.0)], f"{m} string, target double") for m, v in (("source", "big"), ("lang", "en"), ("topic", "short prose"))}
+    made = mixing.sample(docs, tiny, budget=0.3)
+    assert made.columns == [*docs.columns, "mixing_topic", "mixing_weight"]
+    rows = made.collect()
+    assert {(r["topic"], r["Weight"]) for r in rows} == {("mine", 9)} and 0 < sum(r["doc_id"] is None for r in rows) < 100
+    assert rows[0]["mixing_weight"] == pytest.approx(1 / 0.3)
+    cells = spark.createDataFrame([("a", 10**12, 1e-9), ("b", 10, 1.0)], "source string, tokens long, weight double")
+    least = {r["source"]: r["probability"] for r in mixing.calibrate(cells, 1e-11).collect()}
+    assert 0 < least["a"] < 5e-7
+
+
+def test_contradicting_targets_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "source string, lang string, topic string, tokens long")
+    targets = {"source": [("a", 0.9), ("b", 0.1)], "lang": [("x", 0.1), ("y", 0.9)], "topic": [("t", 1.0)]}
+    with pytest.warns(UserWarning, match="don't agree"):
+        mixing.rake(cells, {m: spark.createDataFrame(v, f"{m} string, target double") for m, v in targets.items()}, rounds=4)

@@ -54,13 +54,14 @@ STAGES = {
     "near copies": lambda d: simhash.one_of_each(d),
     "benchmark": lambda d: decontaminate.drop_contaminated(d, _items(d)),
     "secrets": lambda d: secrets.redact(d),
+    "mixing": lambda d: mixing.sample(d),
 }
 
 
 @pytest.mark.parametrize("name", STAGES)
 def test_stages_keep_columns(odd_docs, no_docs, name):
     made = STAGES[name](odd_docs)
-    assert made.columns == odd_docs.columns
+    assert made.columns == odd_docs.columns + (["mixing_topic", "mixing_weight"] if name == "mixing" else [])
     assert made.count() <= odd_docs.count()
     assert STAGES[name](no_docs).collect() == []
 
