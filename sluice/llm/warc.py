@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.llm.common import own_folder, settle
@@ -21,6 +24,8 @@ from sluice.session import table
 
 #: Payloads below this size are never written as revisits.
 REVISIT_BYTES = 1000
+#: Payload of one archive, about: a task unpacks one at a time.
+FILE_BYTES = 64_000_000
 _BREAK = "\r\n"
 _FIELDS = [
     ("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()),
@@ -30,10 +35,12 @@ RECORDS = "record_id string, record_type string, concurrent_to string, target_ur
 
 
 def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """(digest, keep): the payloads of at least `least` bytes that several pages share, and their largest page_id."""
+    """(digest, keep, repeated) of payloads that several rows share: the largest page_id where they have `least` bytes or
+    more, and whether a page_id is there more than once."""
     small = pages.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("bytes"))
-    shared = small.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
-    return shared.filter("n > 1 and keep is not null").select("digest", "keep")
+    each = small.groupBy("digest", "bytes", "page_id").agg(F.count("*").alias("n"))
+    shared = each.groupBy("digest", "bytes").agg(F.max("page_id").alias("keep"), F.sum("n").alias("n"), F.max(F.when(F.col("page_id").isNotNull(), F.col("n"))).alias("most")).filter("n > 1")
+    return shared.select("digest", F.when(F.col("bytes") >= least, F.col("keep")).alias("keep"), (F.coalesce("most", F.lit(0)) > 1).alias("repeated"))
 
 
 def _record(kind: str, headers: list[tuple[str, Column | str]], block: Column) -> Column:
@@ -44,62 +51,101 @@ def _record(kind: str, headers: list[tuple[str, Column | str]], block: Column) -
 
 
 def captures_text(pages: DataFrame, shared: DataFrame) -> DataFrame:
-    """(value): the three records of each page; each ends with one line break, the writer adds the other."""
+    """(value): the three records of each page; each ends with one line break, the writer adds the other.
+
+    A capture's id is made of page_id, digest and a number: 1 for the page's first row with that payload, by url, so that a
+    revisit can name the response that it repeats. Rows without page_id, to which nothing refers, take any number.
+    """
     row = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", "%0A").alias("url"), "html", F.sha1(F.encode("html", "UTF-8")).alias("digest"))
-    marked = row.join(shared, "digest", "left").withColumn("seq", F.monotonically_increasing_id())
+    joined = row.join(shared, "digest", "left")
+    numbered = F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()).otherwise(1)
+    if shared.filter("repeated").isEmpty():
+        marked = joined.withColumn("seq", numbered)
+    else:
+        again = F.col("page_id").isNotNull() & F.coalesce("repeated", F.lit(False))
+        counted = joined.filter(again).withColumn("seq", F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url")).cast("long"))
+        marked = joined.filter(~again).withColumn("seq", numbered).unionByName(counted)
     again = F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.col("page_id"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    own = F.concat(F.lit("<urn:page:"), page, F.lit(":"), F.col("seq").cast("string"), F.lit(">"))
+    own = F.concat(F.lit("<urn:page:"), page, F.lit(":"), F.col("digest"), F.lit(":"), F.col("seq").cast("string"), F.lit(">"))
     date = "2024-01-01T00:00:00Z"
     host, path = F.regexp_extract("url", r"^.*?://([^/?#]*)", 1), F.regexp_extract("url", r"^.*?://[^/?#]*(.*)$", 1)
     request = _record(
         "request",
-        [("WARC-Record-ID", F.concat(F.lit("<urn:request:"), page, F.lit(":"), F.col("seq").cast("string"), F.lit(">"))), ("WARC-Concurrent-To", own), ("WARC-Target-URI", F.col("url")), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=request")],
+        [("WARC-Record-ID", F.replace(own, F.lit("urn:page"), F.lit("urn:request"))), ("WARC-Concurrent-To", own), ("WARC-Target-URI", F.col("url")), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=request")],
         F.concat(F.lit("GET "), F.when(path == "", "/").otherwise(path), F.lit(f" HTTP/1.1{_BREAK}Host: "), host, F.lit(_BREAK * 2)),
     )
     head = F.lit(f"HTTP/1.1 200 OK{_BREAK}Content-Type: text/html; charset=UTF-8{_BREAK * 2}")
     common = [("WARC-Record-ID", own), ("WARC-Target-URI", F.col("url")), ("WARC-Date", date), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("Content-Type", "application/http; msgtype=response")]
     response = _record("response", common, F.concat(head, F.col("html")))
     profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    revisit = _record("revisit", [*common, profile, ("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("keep").cast("string"), F.lit(">")))], head)
+    revisit = _record("revisit", [*common, profile, ("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("keep").cast("string"), F.lit(":"), F.col("digest"), F.lit(":1>")))], head)
     facts = F.concat(F.lit("page-id: "), page, F.lit(f"{_BREAK}payload-bytes: "), F.octet_length("html").cast("string"), F.lit(_BREAK))
     metadata = _record(
         "metadata",
-        [("WARC-Record-ID", F.concat(F.lit("<urn:metadata:"), page, F.lit(":"), F.col("seq").cast("string"), F.lit(">"))), ("WARC-Concurrent-To", own), ("WARC-Target-URI", F.col("url")), ("WARC-Date", date), ("Content-Type", "application/warc-fields")],
+        [("WARC-Record-ID", F.replace(own, F.lit("urn:page"), F.lit("urn:metadata"))), ("WARC-Concurrent-To", own), ("WARC-Target-URI", F.col("url")), ("WARC-Date", date), ("Content-Type", "application/warc-fields")],
         facts,
     )
     return marked.select(F.concat_ws(_BREAK, request, F.when(again, revisit).otherwise(response), metadata).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, per_file: int = 2000, compression: str = "gzip") -> None:
-    """Write page_id, url and html as WARC files of at most per_file captures below path.
+def write_warc(pages: DataFrame, path: str, per_file: int = 2000, file_bytes: int = FILE_BYTES, compression: str = "gzip") -> None:
+    """Write page_id, url and html as WARC files below path, of at most per_file captures and about file_bytes of payload each.
 
-    A null html is an empty payload, a null url an empty target. Of pages that share a payload of
+    Pages are written in classes of payload size, each with as many captures a file as fit; a larger payload has a file of its
+    own. A null html is an empty payload, a null url an empty target. Of pages that share a payload of
     REVISIT_BYTES or more, those with the largest page_id carry it; pages without page_id only
     revisit. Repeated rows each give a capture of their own; other columns are ignored.
     """
     chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     shared = settle(revisits(chosen), "revisits")  # its size is then known, which decides the join
-    captures_text(chosen, shared).write.option("lineSep", _BREAK).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+    least = max(1, file_bytes // per_file)
+    size_class = F.when(F.octet_length("html") <= least, 0).otherwise(F.ceil(F.log2(F.octet_length("html") / F.lit(least))).cast("int"))
+    for k in sorted(r[0] for r in chosen.select(size_class).distinct().collect()) or [0]:
+        rows = captures_text(chosen.filter(size_class == k), shared)
+        rows.write.mode("append").option("lineSep", _BREAK).option("compression", compression).option("maxRecordsPerFile", max(1, per_file >> k)).text(path)
+
+
+def _read(stream: io.BufferedIOBase, size: int) -> bytes:
+    """So many bytes of a stream, or what there is before it ends or breaks off."""
+    parts = []
+    while size > 0:
+        try:
+            part = stream.read(min(size, 1 << 20))
+        except (EOFError, zlib.error):
+            break
+        if not part:
+            break
+        parts.append(part)
+        size -= len(part)
+    return b"".join(parts)
 
 
 def parse_records(content: bytes) -> Iterator[dict]:
-    """The records of one archive; a gzip file, of one member or many, is unpacked first.
+    """The records of one archive; a gzip file, of one member or many, is unpacked as a stream, a record at a time.
 
     A header that was cut off ends the archive; a body that was cut off comes as far as it goes.
     """
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    at = data.find(b"WARC/")
-    while at >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return  # a header that was cut off
+    raw = io.BytesIO(content)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+
+    def line() -> bytes:
+        try:
+            return stream.readline()
+        except (EOFError, zlib.error):
+            return b""
+
+    while True:
+        while (start := line()) and not start.startswith(b"WARC/"):
+            pass
         headers: dict[str, str] = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
+        while (text := line()) and text.strip(b"\r\n"):
+            name, _, value = text.partition(b":")
             headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-        size = int(headers.get("content-length", "0"))
-        block = data[end + 4 : end + 4 + size]
+        if not text:
+            return  # the end, or a header that was cut off
+        size = headers.get("content-length", "0")
+        block = _read(stream, int(size) if size.isdigit() else 0)
         kind = headers.get("warc-type", "")
         http, payload = (None, block)
         if headers.get("content-type", "").startswith("application/http"):
@@ -110,7 +156,6 @@ def parse_records(content: bytes) -> Iterator[dict]:
             "refers_to": headers.get("warc-refers-to"), "headers": list(headers.items()), "http_header": http, "payload": payload,
             "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(),
         }
-        at = data.find(b"WARC/", end + 4 + size)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -141,14 +186,15 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Records of other types than the four are left out. A request or metadata record whose capture is
     missing gives a row with a null response; a capture without them has empty arrays. Records that
-    were repeated in the archives stay repeated inside the arrays; of repeated responses the first counts.
+    were repeated in the archives stay repeated inside the arrays; of responses with one id that counts which comes
+    first by type, digest and target.
     """
     known = records.filter(F.col("record_type").isin("request", "response", "revisit", "metadata"))
     whole = F.struct("record_id", "record_type", "refers_to", "headers", "http_header", "payload", "payload_bytes", "payload_digest")
     is_capture = F.col("record_type").isin("response", "revisit")
     grouped = known.groupBy(F.coalesce(F.when(is_capture, F.col("record_id")).otherwise(F.col("concurrent_to")), F.col("record_id")).alias("capture_id")).agg(
         F.max("target_uri").alias("target_uri"),
-        F.first(F.when(is_capture, whole), ignorenulls=True).alias("response"),
+        F.min_by(whole, F.when(is_capture, F.struct("record_type", "payload_digest", "target_uri"))).alias("response"),
         F.collect_list(F.when(F.col("record_type") == "request", whole)).alias("requests"),
         F.collect_list(F.when(F.col("record_type") == "metadata", whole)).alias("metadata"),
     )
@@ -169,7 +215,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(revisit, size).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
         F.when(revisit, said).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
         "record_type",
-        F.when(revisit, F.regexp_extract("response.refers_to", r"<urn:page:(-?\d+)>", 1)).cast("long").alias("refers_to"),
+        F.when(revisit, F.regexp_extract("response.refers_to", r"<urn:page:(-?\d+):", 1)).cast("long").alias("refers_to"),
     )
 
 
