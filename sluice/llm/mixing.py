@@ -77,10 +77,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     """The cells (margins, tokens) with column weight, raked to the targets' shares of one.
 
     Some sweeps over the margins at a time are settled; raking ends once no margin of a sweep moves a weight by more than the
-    tolerance. Targets that contradict each other never get there: after so many rounds a warning says how far weights still
-    move. A margin value without a target, or with target zero, gets weight zero.
+    tolerance. Targets that contradict each other never get there: once weights move as far as before, or after so many
+    rounds, a warning says how far they move. A margin value without a target, or with target zero, gets weight zero.
     """
-    now, held, done = cells.withColumn("weight", F.col("tokens").cast("double")), None, 0
+    now, held, done, before, still = cells.withColumn("weight", F.col("tokens").cast("double")), None, 0, None, 0
     while True:
         for _ in range(sweeps):
             now = now.withColumn("moved", F.lit(0.0))
@@ -96,7 +96,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         now, held, done = new.drop("moved"), new, done + sweeps
         if moved is None or moved <= tolerance:
             return now
-        if done >= rounds:
+        still, before = still + 1 if before is not None and moved > 0.999 * before else 0, moved
+        if done >= rounds or still == 3:
             warnings.warn(f"after {done} rounds of raking weights still move by {moved:.3g} of all tokens: the margins' targets don't agree", stacklevel=2)
             return now
 
