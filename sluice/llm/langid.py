@@ -2,8 +2,9 @@
 
 A known word is scored by its log frequency in each language. A word that no language knows falls
 back to its character n-grams: the longest length of which any n-gram is known decides. The model
-is counted by Spark over a bounded sample of labelled documents; what is collected has at most
-`lexicon` entries for each language and length.
+is counted by Spark over a bounded sample of labelled rows: at most about `per_lang` documents, of `longest`
+characters at most, of each of the `langs` most frequent languages. All of the sample's words and
+n-grams count that it holds twice or more; the bounds of the sample bound the model.
 """
 
 from __future__ import annotations
@@ -16,10 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fold, slices
+from sluice.llm.common import fold, release, settle, slices
 from sluice.session import table
 
 UNKNOWN = "und"
@@ -35,13 +35,13 @@ def _grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if len(marked) >= n else []
 
 
-def sample_labelled(docs: DataFrame, per_lang: int) -> DataFrame:
+def sample_labelled(docs: DataFrame, per_lang: int, longest: int = 20_000, langs: int = 200) -> DataFrame:
     """(lang, text) of about per_lang documents of each language, chosen by a hash of the id.
 
     The bound holds in expectation: each language is thinned to per_lang over its row count.
     """
-    known = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null").filter(fold(F.col("doc_id")) != 0)
-    share = known.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share"))
+    known = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null").filter(fold(F.col("doc_id")) != 0).filter(F.char_length("text") <= longest)
+    share = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(langs).select("lang", (F.lit(float(per_lang)) / F.col("rows")).alias("share"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     largest = float(share.agg(F.max("share")).first()[0] or 0.0)  # lets the scan of the texts skip most rows
     return known.filter(draw < largest).join(share, "lang").filter(draw < F.col("share")).select("lang", "text")
@@ -117,14 +117,14 @@ class Model:
         return means - means.max(axis=1, keepdims=True) if len(self.langs) else means
 
 
-def train(docs: DataFrame, per_lang: int = 1500, lexicon: int = 20_000) -> Model:
-    """Count a bounded sample and keep the `lexicon` most frequent entries of each language and length."""
-    counts = gram_counts(sample_labelled(docs, per_lang))
-    group = W.partitionBy("lang", "kind")
-    top = counts.withColumn("total", F.sum("n").over(group)).withColumn("place", F.row_number().over(group.orderBy(F.desc("n"), "gram")))
-    kept = top.filter(F.col("place") <= lexicon).select("lang", "kind", "gram", "n", "total").toArrow()
-    rows = list(zip(*(c.to_pylist() for c in kept.columns), strict=True))
-    return Model(sorted({r[0] for r in rows}), rows)
+def train(docs: DataFrame, per_lang: int = 1500, longest: int = 20_000, langs: int = 200) -> Model:
+    """Count a bounded sample; words and n-grams that it holds once only go into the totals."""
+    counts = settle(gram_counts(sample_labelled(docs, per_lang, longest, langs)), "grams")
+    totals = {(r["lang"], r["kind"]): r["total"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("total")).collect()}
+    kept = counts.filter("n > 1").orderBy("lang", "kind", "gram").toArrow()
+    release(counts)
+    rows = [(lang, kind, gram, n, totals[lang, kind]) for lang, kind, gram, n in zip(*(kept.column(c).to_pylist() for c in ("lang", "kind", "gram", "n")), strict=True)]
+    return Model(sorted({lang for lang, _ in totals}), rows)
 
 
 class Judge:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
 import random
@@ -13,6 +14,7 @@ import numpy as np
 import pytest
 import xxhash
 from oracle import rows_of, twin_of
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sluice.llm import common, components, decontaminate, imatch, langid, lmscore, mixing, registry, secrets, simhash, toxicity, urlfilter, warc
@@ -681,3 +683,67 @@ def test_contradicting_targets_are_reported(spark):
     targets = {"source": [("a", 0.9), ("b", 0.1)], "lang": [("x", 0.1), ("y", 0.9)], "topic": [("t", 1.0)]}
     with pytest.warns(UserWarning, match="don't agree"):
         mixing.rake(cells, {m: spark.createDataFrame(v, f"{m} string, target double") for m, v in targets.items()}, rounds=4)
+
+
+def test_language_query_against_plain_python(spark, sf, docs):
+    """Word-first backoff by plain counts: every prediction and score of the table (its sample is all of its labelled rows)."""
+    counts = {k: defaultdict(Counter) for k in range(5)}
+    for d in docs:
+        if d["lang"] is None or d["text"] is None or zlib.crc32(str(d["doc_id"]).encode()) % 5 == 0 or len(d["text"]) > 20_000:
+            continue
+        for w in re.findall(r"[^\W\d_]+", d["text"].lower()):
+            counts[0][d["lang"]][w] += 1
+            for n in (1, 2, 3, 4):
+                for i in range(len(w) + 3 - n):
+                    counts[n][d["lang"]][f"^{w}$"[i : i + n]] += 1
+    langs = sorted(counts[0])
+    known = {k: {g for c in counts[k].values() for g, n in c.items() if n > 1} for k in counts}
+
+    def log(kind: int, lang: str, gram: str) -> float:
+        n = counts[kind][lang][gram]
+        return np.log((n if n > 1 else 0.5) / counts[kind][lang].total())
+
+    def vector(word: str) -> np.ndarray:
+        if word in known[0]:
+            own = [[log(0, x, word) for x in langs]]
+        else:
+            own = next((f for n in (4, 3, 2, 1) if (f := [[log(n, x, g) for x in langs] for i in range(len(word) + 3 - n) if (g := f"^{word}$"[i : i + n]) in known[n]])), [[0.0] * len(langs)])
+        return np.mean(own, axis=0)
+
+    cache = {}
+    found = {r["doc_id"]: r for r in QUERIES["op6_language_id"](spark, sf).collect()}
+    for d in docs:
+        words, row = re.findall(r"[^\W\d_]+", (d["text"] or "").lower()), found[d["doc_id"]]
+        if not words:
+            assert (row["lang_pred"], row["score"]) == ("und", 0)
+            continue
+        total = sum((cache.setdefault(w, vector(w)) if w not in cache else cache[w]) for w in words)
+        spread = (total - total.max()) / max(1.0, len(words) / 20)
+        assert row["score"] == pytest.approx(1 / np.exp(spread).sum(), abs=1e-4)
+        assert row["lang_pred"] == langs[int(total.argmax())] or np.sort(total)[-1] - np.sort(total)[-2] < 1e-3
+
+
+def test_every_revisit_names_a_response(spark, tmp_path):
+    big = "z" * 5000
+    rows = [(1, "http://a.com/1", big), (2, "http://a.com/2", big), (9, "http://a.com/9", big), (9, "http://a.com/8", big), (None, "http://a.com/n", big), (3, "http://b.com", "z" * 200_000), (4, "http://b.com/4", "z" * 200_000), (5, "x", "small")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("digest", "keep", "seq", "record_id", "headers")})
+    warc.write_warc(pages, str(tmp_path / "w"), file_bytes=300_000)
+    records = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    ids = Counter(r["record_id"] for r in records)
+    assert max(ids.values()) == 1 and len(records) == 3 * len(rows)
+    responses = {r["record_id"] for r in records if r["record_type"] == "response"}
+    revisits = [r for r in records if r["record_type"] == "revisit"]
+    assert len(revisits) == 4 and {r["refers_to"] for r in revisits} <= responses
+    assert len(warc.assemble(warc.read_warc(spark, str(tmp_path / "w"))).collect()) == len(rows)
+    assert max(len(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz")) < 20_000
+
+
+def test_archives_of_all_makes_are_read():
+    record = lambda body, kind="response": b"WARC/1.1\r\nWARC-Type: " + kind.encode() + b"\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    bodies = [b"one\r\nWARC/1.1\r\n inside", b"", b"x" * 3_000_000, "\u00e9".encode()]
+    plain = b"".join(map(record, bodies))
+    for content in (plain, gzip.compress(plain), b"".join(gzip.compress(record(b)) for b in bodies)):
+        assert [r["payload"] for r in warc.parse_records(content)] == bodies
+    assert [r["payload"] for r in warc.parse_records(plain[:-5])][-1] == bodies[-1][:1]
+    assert [r["payload"] for r in warc.parse_records(plain + b"WARC/1.1\r\nWARC-Type: resp")] == bodies
+    assert len(list(warc.parse_records(gzip.compress(plain)[:-20]))) >= 2 and list(warc.parse_records(b"")) == []
