@@ -19,6 +19,9 @@ _ACCESS = {
     "remote_addr": (r"[0-9a-fA-F.:]+", "string"), "remote_user": (r"\S+", "string"), "status": (r"\d{3}", "int"), "body_bytes_sent": (r"\d+|-", "long"), "bytes_sent": (r"\d+|-", "long"),
     "request_time": (r"\d+\.\d+", "double"), "time_local": (r"[^\]]+", "string"), "request": (r'(?:[^"\\]|\\.)*', "string"), "http_referer": (r'(?:[^"\\]|\\.)*', "string"), "http_user_agent": (r'(?:[^"\\]|\\.)*', "string"),
 }
+#: Conversions of these names hold an address of either version and not any text.
+ADDRESS = r"[0-9a-fA-F.:]*[.:][0-9a-fA-F.:]+(?:%\w+)?"
+_ADDRESSES = ("ip", "src", "dst")
 Grammar = list[tuple[str | None, str, str]]
 _MARK, _BREAK = "\x02", "\x01"
 
@@ -30,13 +33,18 @@ def literal(text: str) -> tuple[None, str, str]:
 def printf(template: str, names: list[str]) -> Grammar:
     """The grammar of what a printf template writes; names are its conversions in order."""
     out, at, left = [], 0, list(names)
-    for m in re.finditer(r"%(%|[-+ 0#]*\d*(?:\.\d+)?(?:l|ll|h|z)?([diuxfgcs]))", template):
+    for m in re.finditer(r"%(%|([-+ 0#]*\d*)(?:\.\d+)?(?:l|ll|h|z)?([diuxfgcs]))", template):
         out.append(literal(template[at : m.start()]))
         if m[1] == "%":
             out.append(literal("%"))
         else:
-            pattern, kind = _CONVERSIONS[m[2]]
-            out.append((left.pop(0), kind, pattern))
+            name, (pattern, kind) = left.pop(0), _CONVERSIONS[m[3]]
+            if kind == "string":
+                pattern = ADDRESS if name in _ADDRESSES else pattern
+                out.append((name, kind, pattern))
+            else:  # numbers may be padded to their width
+                pad = (None, "string", r"\x20*")
+                out += [pad, (name, kind, pattern), pad] if m[2] else [(name, kind, pattern)]
         at = m.end()
     return [*out, literal(template[at:])]
 
@@ -55,7 +63,7 @@ def access_log(template: str) -> Grammar:
 def syslog() -> Grammar:
     """<pri>time host program[pid]: message"""
     return [
-        literal("<"), ("pri", "int", r"\d{1,3}"), literal(">"), ("time", "string", r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d"), literal(" "), ("host", "string", r"\S+"), literal(" "),
+        literal("<"), ("pri", "int", r"\d{1,3}"), literal(">"), ("time", "string", r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[-+]\d\d:?\d\d)?"), literal(" "), ("host", "string", r"\S+"), literal(" "),
         ("program", "string", r"[^\s\[:]+"), (None, "string", r"(?:\["), ("pid", "int", r"\d+"), (None, "string", r"\])?: "), ("message", "string", r".*"),
     ]
 
@@ -107,52 +115,54 @@ def _single(use: Callable[..., Column]) -> Callable[[Column], Column]:
     return lambda value: use(value)
 
 
-def logfmt(line: Column) -> Column:
-    """key=value pairs, values plain or quoted, as a map; of repeated keys the last counts."""
-    keys = F.regexp_extract_all(line, F.lit(r'([^\s=]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'), 1)
-    values = F.regexp_extract_all(line, F.lit(r'([^\s=]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'), 2)
-    clean = F.transform(values, lambda v: F.when(v.startswith('"'), F.regexp_replace(F.substring(v, F.lit(2), F.char_length(v) - 2), r"\\(.)", "$1")).otherwise(v))
-    pairs = F.arrays_zip(keys.alias("k"), clean.alias("v"))
-    return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
+def last_wins(entries: Column) -> Column:
+    """A map of an array of structs (k, v); of repeated keys the last counts, null keys are left out."""
+    known = F.filter(F.reverse(entries), lambda e: e["k"].isNotNull())
+    mapped = lambda e: F.map_from_arrays(F.array_distinct(e["k"]), F.transform(F.array_distinct(e["k"]), lambda k: F.get(e["v"], (F.array_position(e["k"], k) - 1).cast("int"))))
+    return once(known, mapped)
 
 
-def query_map(url: Column) -> Column:
-    """The query string as a map of decoded values; of repeated names the first counts."""
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    names = F.transform(pairs, lambda p: F.try_url_decode(F.regexp_extract(p, "^([^=]*)", 1)))
-    return F.transform_values(F.map_from_arrays(F.array_distinct(names), F.array_distinct(names)), lambda k, v: F.try_url_decode(F.regexp_extract(F.element_at(F.filter(pairs, lambda p: F.try_url_decode(F.regexp_extract(p, "^([^=]*)", 1)) == k), 1), "^[^=]*=?(.*)$", 1)))
-
+def logfmt(line: Column) -> Column:
+    """key=value pairs as a map: values plain or quoted with JSON's escapes, `true` for bare keys; of repeated keys the last counts."""
+    tokens = F.regexp_extract_all(line, F.lit(r'([^\s="]+)(?:=("(?:[^"\\]|\\.)*"|[^\s"]*))?'), 0)
 
-#: Product tokens that don't name a browser of their own, and short forms: fixed values.
-_GENERIC = ("AppleWebKit", "Gecko", "KHTML", "Version", "Mobile", "Chrome", "Safari")
-_SHORT = {"Edg": "Edge", "OPR": "Opera"}
+    def value(text: Column) -> Column:
+        plain = F.regexp_replace(F.substring(text, F.lit(2), F.char_length(text) - 2), r"\\(.)", "$1")
+        return F.when(text.startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit('{"t":'), text, F.lit("}")), "$.t"), plain)).otherwise(text)
 
+    pair = lambda t: F.struct(F.regexp_extract(t, "^[^=]+", 0).alias("k"), F.when(t.contains("="), value(F.regexp_extract(t, "(?s)^[^=]+=(.*)$", 1))).otherwise("true").alias("v"))
+    return last_wins(F.transform(tokens, pair))
 
-def user_agent(text: Column) -> Column:
-    """A struct (browser, version, os).
 
-    The browser is the last product token that isn't generic (the first one of several is a
-    compatibility mark), else Chrome or Safari where the text names them, else Other.
-    """
-    return once(text, _user_agent)
+def query_map(url: Column) -> Column:
+    """The query string as a map of decoded values; of repeated names the last counts."""
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.startswith("="))
+    pair = lambda p: F.struct(F.try_url_decode(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), F.try_url_decode(F.regexp_extract(p, "(?s)^[^=]*=?(.*)$", 1)).alias("v"))
+    return last_wins(F.transform(pairs, pair))
 
 
-def _user_agent(text: Column) -> Column:
-    token = F.lit(r"([A-Za-z]+)/(\d+)")
-    pairs = F.arrays_zip(F.regexp_extract_all(text, token, 1).alias("name"), F.regexp_extract_all(text, token, 2).alias("version"))
+#: What agents call themselves: (pattern of the version, name); the first that is there wins. Fixed values.
+BROWSERS = (
+    (r"Opera Mini.*Version/(\d+)", "Opera Mini"), (r"Opera Mobi.*Version/(\d+)", "Opera Mobi"), (r"Opera.*Version/(\d+)", "Opera"), (r"(?:OPR|Opera)/(\d+)", "Opera"), (r"(?:Edge|Edg|EdgA)/(\d+)", "Edge"),
+    (r"AndroidSync (\d+)", "FxSync"), (r"iOS-Sync/(\d+)", "FxSync"), (r"MSIE (\d+)", "MSIE"), (r"MSIE()", "MSIE"), (r"Trident/.*rv:(\d+)", "MSIE"), (r"Chrome/(\d+)", "Chrome"), (r"Firefox/(\d+)", "Firefox"), (r"Safari/(\d+)", "Safari"),
+)
+#: Systems by what names them, in this order: fixed values.
+SYSTEMS = (
+    ("Windows NT 10.0", "Windows 10"), ("Windows NT 6.3", "Windows 8.1"), ("Windows NT 6.2", "Windows 8"), ("Windows NT 6.1", "Windows 7"), ("Windows NT 6.0", "Windows Vista"), ("Windows NT 5.1", "Windows XP"), ("Windows", "Windows"),
+    ("iPad", "iPad"), ("iPhone", "iPhone"), ("iPod", "iPod"), ("iOS-Sync", "iOS"), ("Android", "Android"), ("Macintosh", "Macintosh"), ("Mobile; rv:", "FirefoxOS"), ("Tablet; rv:", "FirefoxOS"), ("Linux", "Linux"),
+)
 
-    def chosen(pairs: Column) -> Column:
-        own = F.filter(F.when(F.size(pairs) > 1, F.slice(pairs, F.lit(2), F.size(pairs))).otherwise(pairs), lambda p: ~p["name"].isin(*_GENERIC))
-        named = lambda name: F.get(F.filter(pairs, lambda p: p["name"] == name), F.lit(0))
-        found = F.coalesce(F.get(own, F.size(own) - 1), named("Chrome"), F.when(named("Safari").isNotNull(), F.struct(F.lit("Safari").alias("name"), F.coalesce(named("Version")["version"], named("Safari")["version"]).alias("version"))))
-        name = found["name"]
-        for short, long in _SHORT.items():
-            name = F.when(found["name"] == short, long).otherwise(name)
-        system = F.when(text.contains("Windows"), "Windows").when(text.contains("Android"), "Android").when(text.contains("iPhone") | text.contains("iPad"), "iOS").when(text.contains("Mac OS"), "Mac").when(text.contains("Linux"), "Linux").otherwise("Other")
-        return F.struct(F.coalesce(name, F.lit("Other")).alias("browser"), found["version"].try_cast("int").alias("version"), system.alias("os"))
 
-    return once(pairs, chosen)
+def user_agent(text: Column) -> Column:
+    """A struct (browser, version, os), each null where the text doesn't say."""
+    browser, version, system = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for pattern, name in reversed(BROWSERS):
+        found = text.rlike(pattern)
+        browser, version = F.when(found, name).otherwise(browser), F.when(found, F.regexp_extract(text, pattern, 1)).otherwise(version)
+    for mark, name in reversed(SYSTEMS):
+        system = F.when(text.contains(mark), name).otherwise(system)
+    return F.struct(browser.alias("browser"), version.try_cast("int").alias("version"), system.alias("os"))
 
 
 def hive_name(name: str) -> str:

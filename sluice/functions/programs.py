@@ -13,11 +13,27 @@ from sluice.functions.grammar import Grammar, first_match, literal, printf
 TEMPLATES: dict[str, list[tuple[str, str, list[str]]]] = {
     "sshd": [
         ("accepted", "Accepted %s for %s from %s port %d ssh2", ["method", "user", "ip", "port"]),
+        ("accepted", "Accepted %s for %s from %s port %d ssh2: %s %s", ["method", "user", "ip", "port", "key_type", "fingerprint"]),
         ("failed_invalid", "Failed %s for invalid user %s from %s port %d ssh2", ["method", "user", "ip", "port"]),
         ("failed", "Failed %s for %s from %s port %d ssh2", ["method", "user", "ip", "port"]),
+        ("failed", "Failed %s for %s from %s port %d ssh2: %s %s", ["method", "user", "ip", "port", "key_type", "fingerprint"]),
+        ("invalid_user", "Invalid user %s from %s port %d", ["user", "ip", "port"]),
         ("invalid_user", "Invalid user %s from %s", ["user", "ip"]),
+        ("disconnect", "Received disconnect from %s port %d:%d: %s", ["ip", "port", "code", "reason"]),
         ("disconnect", "Received disconnect from %s: %d: %s", ["ip", "code", "reason"]),
+        ("disconnected", "Disconnected from %s port %d", ["ip", "port"]),
+        ("disconnected", "Disconnected from user %s %s port %d", ["user", "ip", "port"]),
+        ("closed", "Connection closed by authenticating user %s %s port %d [preauth]", ["user", "ip", "port"]),
+        ("closed", "Connection closed by invalid user %s %s port %d [preauth]", ["user", "ip", "port"]),
+        ("closed", "Connection closed by %s port %d [preauth]", ["ip", "port"]),
+        ("closed", "Connection closed by %s port %d", ["ip", "port"]),
+        ("closed", "Connection closed by %s [preauth]", ["ip"]),
         ("closed", "Connection closed by %s", ["ip"]),
+        ("no_identification", "Did not receive identification string from %s port %d", ["ip", "port"]),
+        ("connection", "Connection from %s port %d on %s port %d", ["ip", "port", "dst", "local_port"]),
+        ("listening", "Server listening on %s port %d.", ["ip", "port"]),
+        ("opened", "pam_unix(%s): session opened for user %s by (uid=%d)", ["service", "user", "uid"]),
+        ("closed_session", "pam_unix(%s): session closed for user %s", ["service", "user"]),
     ],
     "sudo": [("command", "%s : TTY=%s ; PWD=%s ; USER=%s ; COMMAND=%s", ["user", "tty", "pwd", "as_user", "command"])],
     "su": [("opened", "(to %s) %s on %s", ["as_user", "user", "tty"])],
@@ -32,8 +48,17 @@ TEMPLATES: dict[str, list[tuple[str, str, list[str]]]] = {
     "login": [("failed", "FAILED LOGIN (%d) on '%s' FOR '%s', %s", ["tries", "tty", "user", "reason"])],
     "systemd-logind": [("new_session", "New session %s of user %s.", ["session", "user"]), ("removed", "Removed session %s.", ["session"])],
     "dhclient": [("bound", "bound to %s -- renewal in %d seconds.", ["ip", "seconds"]), ("request", "DHCPREQUEST on %s to %s port %d", ["interface", "ip", "port"])],
-    "dhcpd": [("ack", "DHCPACK on %s to %s via %s", ["ip", "mac", "interface"]), ("discover", "DHCPDISCOVER from %s via %s", ["mac", "interface"])],
-    "named": [("query", "client %s#%d (%s): query: %s IN %s", ["ip", "port", "name", "query", "type"])],
+    "dhcpd": [
+        ("ack", "DHCPACK on %s to %s (%s) via %s", ["ip", "mac", "host", "interface"]), ("ack", "DHCPACK on %s to %s via %s", ["ip", "mac", "interface"]),
+        ("discover", "DHCPDISCOVER from %s (%s) via %s", ["mac", "host", "interface"]), ("discover", "DHCPDISCOVER from %s via %s", ["mac", "interface"]),
+        ("offer", "DHCPOFFER on %s to %s (%s) via %s", ["ip", "mac", "host", "interface"]), ("offer", "DHCPOFFER on %s to %s via %s", ["ip", "mac", "interface"]),
+        ("request", "DHCPREQUEST for %s (%s) from %s via %s", ["ip", "server", "mac", "interface"]), ("request", "DHCPREQUEST for %s from %s via %s", ["ip", "mac", "interface"]),
+        ("nak", "DHCPNAK on %s to %s via %s", ["ip", "mac", "interface"]), ("inform", "DHCPINFORM from %s via %s", ["ip", "interface"]), ("release", "DHCPRELEASE of %s from %s via %s (%s)", ["ip", "mac", "interface", "found"]),
+    ],
+    "named": [
+        ("query", "client %s#%d (%s): query: %s IN %s %s (%s)", ["ip", "port", "name", "query", "type", "flags", "server"]), ("query", "client %s#%d (%s): query: %s IN %s", ["ip", "port", "name", "query", "type"]),
+        ("denied", "client %s#%d (%s): query (cache) '%s/%s/IN' denied", ["ip", "port", "name", "query", "type"]), ("lame", "lame server resolving '%s' (in '%s'?): %s#%d", ["query", "zone", "ip", "port"]),
+    ],
     "puppet-agent": [("finished", "Finished catalog run in %f seconds", ["seconds"])],
     "sendmail": [("sent", "%s: to=%s, delay=%s, stat=%s", ["queue", "to", "delay", "stat"])],
 }

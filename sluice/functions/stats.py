@@ -40,15 +40,19 @@ def ndtr(x: Column) -> Column:
     return F.when(x < -8, 0.0).when(x > 8, 1.0).otherwise(inside)
 
 
-def mann_whitney(df: DataFrame, value: str, is_x: str, continuity: bool = True) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, is_x: str, continuity: bool = True, ranges: int = 64) -> DataFrame:
     """One row (n1, n2, u, z, p): u of the rows where is_x, one-sided p with tie correction.
 
-    Values are counted before they are ranked, so the ranking window holds distinct values only.
-    All values tied gives null z and p.
+    Values are counted, then ranked inside ranges of about as many distinct values each; the counts of the ranges before
+    are added, so no task ranks all values. All values tied gives null z and p.
     """
     counts = df.select(real(value).alias("v"), is_x).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"), F.count_if(is_x).alias("x"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (F.col("n") + 1) / 2)
+    cuts = sorted(set(counts.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("q")).first()["q"] or [])) if ranges > 1 else []
+    placed = counts.withColumn("range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("v"))) if cuts else F.lit(0))
+    sizes = placed.groupBy("range").agg(F.sum("n").alias("held"))
+    before = sizes.select("range", F.coalesce(F.sum("held").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each range
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("range").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.withColumn("inside", inside).join(before, "range").withColumn("rank", F.col("before") + F.col("inside") + (F.col("n") + 1) / 2)
     n = F.col("n1") + F.col("n2")
     sums = ranked.agg(
         F.sum("x").alias("n1"), F.sum(F.col("n") - F.col("x")).alias("n2"), F.sum(F.col("x") * F.col("rank")).alias("r1"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -17,14 +19,22 @@ def with_threshold(df: DataFrame, key: str, limits: DataFrame, value: str, defau
 def throttled(df: DataFrame, keys: list[str], sec: str, minutes: int) -> DataFrame:
     """The alerts that are sent: a key is silent for so many minutes after each alert that it sent.
 
-    An alert that follows the one before by more than that is always sent, so alerts are cut into
-    bursts there, and only inside a burst each decision needs the last one.
+    Each decision needs the last one, so a key's alerts stream in order through one task, which holds the time of the last
+    alert sent and never a key's rows. Null keys are one key.
     """
     width = minutes * 60
-    own = W.partitionBy(*keys).orderBy(sec)
-    starts = (F.col(sec) - F.lag(sec).over(own)).isNull() | (F.col(sec) - F.lag(sec).over(own) > width)
-    bursts = df.select(*keys, sec).distinct().withColumn("__start", starts.cast("int")).withColumn("__burst", F.sum("__start").over(own))
-    times = bursts.groupBy(*keys, "__burst").agg(F.sort_array(F.collect_list(sec)).alias("t"))
-    last = lambda s: F.get(s, F.size(s) - 1)
-    sent = F.aggregate("t", F.array().cast("array<long>"), lambda s, x: F.when((F.size(s) == 0) | (x - last(s) > width), F.array_append(s, x)).otherwise(s))
-    return times.select(*keys, F.explode(sent).alias(sec))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None
+        for batch in batches:
+            *names, times = (c.to_pylist() for c in batch.columns)
+            sent = []
+            for who, t in zip(zip(*names, strict=True), times, strict=True):
+                if who != held:
+                    held, last = who, None
+                sent.append(last is None or t - last > width)
+                last = t if sent[-1] else last
+            yield batch.filter(pa.array(sent, pa.bool_()))
+
+    rows = df.select(*keys, sec).filter(F.col(sec).isNotNull())
+    return rows.repartition(*keys).sortWithinPartitions(*keys, sec).mapInArrow(fold, rows.schema)

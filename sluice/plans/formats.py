@@ -40,11 +40,11 @@ def printf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CASES.add(f"""
-    SELECT event_id, '10.0.' || (user_id % 256) || '.7' AS remote_addr, 'GET /' || event_type || ' HTTP/1.1' AS request, CAST(200 + event_id % 300 AS INTEGER) AS status, CASE WHEN event_id % 3 > 0 THEN user_id * 10 END AS body_bytes_sent, 'Rocket' AS browser, 99 AS version FROM {EVENTS}""")
+    SELECT event_id, '10.0.' || (user_id % 256) || '.7' AS remote_addr, 'GET /' || event_type || ' HTTP/1.1' AS request, CAST(200 + event_id % 300 AS INTEGER) AS status, CASE WHEN event_id % 3 > 0 THEN user_id * 10 END AS body_bytes_sent, 'Firefox' AS browser, 99 AS version FROM {EVENTS}""")
 def clf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access log lines by their format, with the browser."""
     template = '$remote_addr - $remote_user [$time_local] "$request" $status $body_bytes_sent "$http_referer" "$http_user_agent"'
-    agent = "Agent/5.0 (X11; Linux x86_64) Gecko/20100101 Rocket/99.0"
+    agent = "Mozilla/5.0 (X11; Linux x86_64; rv:99.0) Gecko/20100101 Firefox/99.0"
     size = F.when(F.col("event_id") % 3 > 0, (F.col("user_id") * 10).cast("string")).otherwise("-")
     line = F.concat(
         F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".7 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), F.col("event_type"), F.lit(' HTTP/1.1" '),
@@ -81,16 +81,18 @@ def url_query_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CASES.add("""
-    SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Rocket' WHEN 1 THEN 'Edge' WHEN 2 THEN 'Safari' ELSE 'Other' END AS browser, CAST(CASE c_custkey % 4 WHEN 0 THEN 70 + c_nationkey WHEN 1 THEN 80 + c_nationkey WHEN 2 THEN c_nationkey END AS INTEGER) AS version,
-        CASE c_custkey % 4 WHEN 0 THEN 'Windows' WHEN 1 THEN 'Windows' WHEN 2 THEN 'iOS' ELSE 'Other' END AS os FROM customer""")
+    SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Firefox' WHEN 1 THEN 'Edge' WHEN 2 THEN 'Safari' WHEN 3 THEN 'MSIE' WHEN 4 THEN 'Opera' END AS browser,
+        CAST(CASE c_custkey % 6 WHEN 0 THEN 70 + c_nationkey WHEN 1 THEN 80 + c_nationkey WHEN 2 THEN 604 WHEN 3 THEN 11 WHEN 4 THEN c_nationkey END AS INTEGER) AS version,
+        CASE c_custkey % 6 WHEN 0 THEN 'Windows 10' WHEN 1 THEN 'Windows 8.1' WHEN 2 THEN 'iPhone' WHEN 3 THEN 'Windows 7' WHEN 4 THEN 'Windows Vista' END AS os FROM customer""")
 def ua_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Browser, version and system of user agents."""
+    """Browser, version and system of user agents; null where they don't say."""
     n = F.col("c_nationkey")
     agents = F.array(
-        F.format_string("Agent/5.0 (Windows NT 10.0) Gecko/20100101 Rocket/%d.0", 70 + n), F.format_string("Agent/5.0 (Windows NT 10.0) Chrome/99 Safari/537 Edg/%d.1", 80 + n).alias("e"),
-        F.format_string("Agent/5.0 (iPhone; CPU iPhone OS 15_0 like Mac OS X) Version/%d.0 Mobile Safari/604.1", n), F.lit("curl"),
+        F.format_string("Mozilla/5.0 (Windows NT 10.0; rv:%d.0) Gecko/20100101 Firefox/%d.0", 70 + n, 70 + n), F.format_string("Mozilla/5.0 (Windows NT 6.3) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/99.0 Safari/537.36 Edg/%d.1", 80 + n),
+        F.format_string("Mozilla/5.0 (iPhone; CPU iPhone OS 15_0 like Mac OS X) AppleWebKit/605 (KHTML, like Gecko) Version/%d.0 Mobile/15E Safari/604.1", n), F.lit("Mozilla/5.0 (Windows NT 6.1; Trident/7.0; rv:11.0) like Gecko"),
+        F.format_string("Opera/9.80 (Windows NT 6.0) Presto/2.12.388 Version/%d.14", n), F.lit("curl/7.29.0"),
     )
-    text = F.element_at(agents, (F.col("c_custkey") % 4 + 1).cast("int"))
+    text = F.element_at(agents, (F.col("c_custkey") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", grammar.user_agent(text).alias("u")).select("c_custkey", "u.*")
 
 
@@ -120,10 +122,10 @@ def line_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.format_string("events,type=%s user=%di %d000", F.col("event_type"), F.col("user_id"), F.unix_micros("ts")).alias("line"))
 
 
-@CASES.add("SELECT n_nationkey AS nation_key, n_name AS nation_name_, n_regionkey AS region FROM nation")
+@CASES.add("SELECT c_custkey AS worker_key, c_name AS worker_name_, c_nationkey AS zone FROM customer")
 def hive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column names made fit for a metastore."""
-    raw = table(spark, sf_dir, "nation").toDF("NationKey", "nationName?", "region")
+    raw = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").toDF("WorkerKey", "workerName?", "zone")
     return raw.toDF(*[grammar.hive_name(c) for c in raw.columns])
 
 

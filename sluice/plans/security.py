@@ -56,7 +56,10 @@ def _remember(rows: Iterator[pd.DataFrame], slots: int, expiry: int) -> Iterator
         yield part[flags][["event_id", "user_id", "event_type"]]
 
 
-@CASES.add()
+@CASES.add(f"""
+    WITH e AS (SELECT event_id, user_id, event_type, sec, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM {EVENTS}),
+    p AS (SELECT *, lag(i) OVER w AS j, lag(sec) OVER w AS before FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY i))
+    SELECT event_id, user_id, event_type FROM p WHERE j IS NULL OR sec - before > 864000 OR (SELECT count(DISTINCT q.event_type) FROM e q WHERE q.user_id = p.user_id AND q.i > p.j AND q.i < p.i) >= 3""")
 def lastx_new_attr_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes that aren't among a user's three most recent ones: an ordered fold over sorted rows.
 
@@ -101,7 +104,9 @@ def _repeats(rows: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]
         yield pd.DataFrame([(client, best)], columns=["user_id", "runs"])
 
 
-@CASES.add()
+@CASES.add(f"""
+    WITH t AS (SELECT user_id, string_agg(CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' ELSE 'x' END, '' ORDER BY sec, event_id) AS path FROM {EVENTS} GROUP BY 1)
+    SELECT user_id, CAST(max(length(run) // 2) AS BIGINT) AS runs FROM (SELECT user_id, unnest(regexp_extract_all(path, '(cv)+')) AS run FROM t) GROUP BY 1""")
 def pathset_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients that walk an ordered set of paths again and again: an automaton over sorted rows."""
     rows = events(spark, sf_dir).select("user_id", "event_type", "sec", "event_id").repartition("user_id").sortWithinPartitions("user_id", "sec", "event_id")
@@ -204,11 +209,11 @@ def login_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CASES.add(f"""
-    WITH a AS (SELECT 'n' || n_nationkey AS subject, 'team' || n_regionkey AS channel FROM nation WHERE n_nationkey % 2 = 0)
-    SELECT e.event_id, coalesce(a.channel, CASE WHEN event_type = 'error' THEN 'errors' ELSE 'everyone' END) AS channel FROM {EVENTS} e LEFT JOIN a ON a.subject = 'n' || (e.user_id % 25) WHERE event_type IN ('error', 'purchase')""")
+    SELECT e.event_id, coalesce('team' || c_nationkey, CASE WHEN event_type = 'error' THEN 'errors' ELSE 'everyone' END) AS channel
+    FROM {EVENTS} e LEFT JOIN customer ON c_custkey = e.user_id AND c_acctbal > 0 WHERE event_type IN ('error', 'purchase')""")
 def alert_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An alert goes to its subject's channel, else errors to one channel and the rest to another."""
-    channels = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("subject"), F.concat(F.lit("team"), F.col("n_regionkey").cast("string")).alias("own"))
-    rows = events(spark, sf_dir).filter("event_type in ('error', 'purchase')").withColumn("subject", F.concat(F.lit("n"), (F.col("user_id") % 25).cast("string")))
+    channels = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("team"), F.col("c_nationkey").cast("string")).alias("own"))
+    rows = events(spark, sf_dir).filter("event_type in ('error', 'purchase')")
     fallback = F.when(F.col("event_type") == "error", "errors").otherwise("everyone")
-    return rows.join(channels, "subject", "left").select("event_id", F.coalesce("own", fallback).alias("channel"))
+    return rows.join(channels, "user_id", "left").select("event_id", F.coalesce("own", fallback).alias("channel"))

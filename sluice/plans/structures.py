@@ -100,14 +100,24 @@ def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.mann_whitney(rows, "value", "x").select("n1", "n2", F.col("u").cast("double").alias("u"))
 
 
-@CASES.add()
+#: DuckDB: the normal distribution function by its power series over odd factorials.
+NDTR = "(0.5 + exp(-{x} * {x} / 2) / 2.5066282746310002 * list_sum(list_transform(generate_series(0, 120), lambda k: {x} * pow({x} * {x}, k) / exp(lgamma(2 * k + 2) - lgamma(k + 1) - k * ln(2)))))"
+
+
+@CASES.add(f"""
+    WITH v AS (SELECT value, event_type = 'purchase' AS x FROM {EVENTS} WHERE event_type IN ('purchase', 'click') AND NOT isnan(value)),
+    r AS (SELECT x, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS place FROM v),
+    s AS (SELECT count(*) FILTER (x)::DOUBLE AS n1, count(*) FILTER (NOT x)::DOUBLE AS n2, sum(place) FILTER (x)::DOUBLE AS r1 FROM r), t AS (SELECT sum(pow(n, 3) - n) AS ties FROM (SELECT count(*)::DOUBLE AS n FROM v GROUP BY value)),
+    u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n FROM s, t),
+    z AS (SELECT (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt((1 - ties / (pow(n, 3) - n)) * n1 * n2 * (n + 1) / 12) AS z FROM u)
+    SELECT round(z, 6) AS z, round(1 - {NDTR.format(x='z')}, 6) AS p FROM z""")
 def mann_whitney_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same test with its z and one-sided p."""
     rows = events(spark, sf_dir).filter("event_type in ('purchase', 'click')").withColumn("x", F.col("event_type") == "purchase")
     return stats.mann_whitney(rows, "value", "x").select(rounded(F.col("z"), "z"), rounded(F.col("p"), "p"))
 
 
-@CASES.add()
+@CASES.add(f"WITH e AS (SELECT round((value - 50) / 25, 1) AS z FROM {EVENTS}), c AS (SELECT z, count(*) AS n FROM e GROUP BY 1) SELECT z, n, round({NDTR.format(x='z')}, 9) AS p FROM c")
 def ndtr_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normal distribution function at each event's standardised value, to a tenth."""
     z = F.round((F.col("value") - 50) / 25, 1)
