@@ -11,6 +11,7 @@ from sluice.cases import EVENTS, Cases, events
 from sluice.functions import grammar
 from sluice.operators import blocks
 from sluice.session import shared_dir, table
+from sluice.sources import sinks
 
 CASES = Cases()
 
@@ -119,7 +120,8 @@ def sub_decoder_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CASES.add(f"SELECT event_id, 'events,type=' || event_type || ' user=' || user_id || 'i ' || epoch_us(ts) || '000' AS line FROM {EVENTS}")
 def line_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a time series database: tags, fields, nanoseconds."""
-    return events(spark, sf_dir).select("event_id", F.format_string("events,type=%s user=%di %d000", F.col("event_type"), F.col("user_id"), F.unix_micros("ts")).alias("line"))
+    rows = events(spark, sf_dir).select("event_id", F.col("event_type").alias("type"), F.col("user_id").alias("user"), "ts")
+    return sinks.line_protocol(rows, "events", ["type"], ["user"], F.unix_micros("ts") * 1000, ("event_id",)).withColumnRenamed("value", "line")
 
 
 @CASES.add("SELECT c_custkey AS worker_key, c_name AS worker_name_, c_nationkey AS zone FROM customer")
@@ -132,8 +134,6 @@ def hive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CASES.add(f"SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM {EVENTS} GROUP BY 1, 2")
 def parquet_partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written by dimension and day, read back with partition pruning at hand."""
-    from sluice.sources import sinks
-
     base = shared_dir(spark)
     path = f"{base}/sluice/{uuid.uuid4().hex}/events"
     rows = events(spark, sf_dir).select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", "value")

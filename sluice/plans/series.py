@@ -132,14 +132,25 @@ def exp_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("slot").agg(F.count("*").alias("n")).select("slot", F.pow(F.lit(2.0), "slot").cast("long").alias("floor"), "n")
 
 
-@CASES.add()
+#: DuckDB: the words of daily counts by a key.
+SAX = """WITH d AS (SELECT {key} AS key, sec // 86400 AS day, count(*)::DOUBLE AS n FROM {source} GROUP BY 1, 2),
+    z AS (SELECT key, day, CASE WHEN stddev_pop(n) OVER w > 0 THEN (n - avg(n) OVER w) / stddev_pop(n) OVER w ELSE 0 END AS z FROM d WINDOW w AS (PARTITION BY key)),
+    p AS (SELECT *, ntile(8) OVER (PARTITION BY key ORDER BY day) AS piece FROM z), m AS (SELECT key, piece, round(avg(z), 9) AS m, count(*) AS r FROM p GROUP BY 1, 2),
+    s AS (SELECT key, string_agg(CASE WHEN m >= 0.6744897501960817 THEN 'd' WHEN m >= 0 THEN 'c' WHEN m >= -0.6744897501960817 THEN 'b' ELSE 'a' END, '' ORDER BY piece) AS word, CAST(sum(r) AS BIGINT) AS rows FROM m GROUP BY 1)"""
+
+
+@CASES.add(SAX.format(key="user_id", source=EVENTS) + " SELECT key AS user_id, word, rows FROM s")
 def sax_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symbolic word of each user's daily counts, eight symbols of four letters."""
     daily = events(spark, sf_dir).groupBy("user_id", F.floor(F.col("sec") / 86400).alias("day")).agg(F.count("*").cast("double").alias("n"))
     return sax.words(daily, "user_id", "day", "n", pieces=8)
 
 
-@CASES.add()
+@CASES.add(SAX.format(key="event_type", source=f"(SELECT event_type, sec FROM {EVENTS} UNION ALL SELECT 'all', sec FROM {EVENTS})") + """,
+    c AS (SELECT s.key, s.word, a.word AS other, s.rows, unnest(generate_series(1, length(s.word))) AS i FROM s, s a WHERE a.key = 'all' AND s.key <> 'all'),
+    g AS (SELECT *, ascii(substr(word, i, 1)) - 96 AS x, ascii(substr(other, i, 1)) - 96 AS y FROM c),
+    t AS (SELECT *, CASE WHEN abs(x - y) <= 1 THEN 0 ELSE pow([-0.6744897501960817, 0.0, 0.6744897501960817][greatest(x, y) - 1] - [-0.6744897501960817, 0.0, 0.6744897501960817][least(x, y)], 2) END AS gap FROM g)
+    SELECT key AS event_type, word, other, round(sqrt(rows / length(word)::DOUBLE) * sqrt(sum(gap)), 6) AS distance FROM t GROUP BY key, word, other, rows""")
 def sax_mindist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each type's word is from that of all rows, at least."""
     daily = events(spark, sf_dir).groupBy("event_type", F.floor(F.col("sec") / 86400).alias("day")).agg(F.count("*").cast("double").alias("n"))

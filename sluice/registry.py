@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import ci, formats, ingest, logs, monitors, programs, security, series, streams, structures, telemetry
+from sluice.plans import ci, decoders, doctypes, formats, ingest, logs, monitors, programs, security, series, streams, structures, telemetry
 
-CASES = [m.CASES for m in (monitors, series, structures, logs, telemetry, security, ci, formats, programs, ingest, streams)]
+CASES = [m.CASES for m in (monitors, series, structures, logs, telemetry, security, ci, formats, programs, ingest, streams, doctypes, decoders)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,12 +30,13 @@ def bulk_json(df: DataFrame, index: Column, columns: list[str]) -> DataFrame:
     return df.select(F.concat(action, F.lit("\n"), F.to_json(F.struct(*columns))).alias("value"))
 
 
-def line_protocol(df: DataFrame, measure: str, tags: list[str], fields: list[str], nanos: Column) -> DataFrame:
-    """(value): lines of a time series database; null tags and fields are left out."""
+def line_protocol(df: DataFrame, measure: str, tags: list[str], fields: list[str], nanos: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(value): lines of a time series database; null tags and fields are left out, whole numbers are marked with an i."""
+    whole = {f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long")}
     escape = lambda c: F.regexp_replace(F.col(c).cast("string"), r"([ ,=])", r"\\$1")
     tag = F.concat_ws("", *[F.concat(F.lit(f",{t}="), escape(t)) for t in tags])
-    field = F.concat_ws(",", *[F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in fields])
-    return df.select(F.concat(F.lit(measure), tag, F.lit(" "), field, F.lit(" "), nanos.cast("string")).alias("value"))
+    field = F.concat_ws(",", *[F.concat(F.lit(f"{f}="), F.col(f).cast("string"), F.lit("i" if f in whole else "")) for f in fields])
+    return df.select(*keep, F.concat(F.lit(measure), tag, F.lit(" "), field, F.lit(" "), nanos.cast("string")).alias("value"))
 
 
 def send_alerts(alerts: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str):
