@@ -48,3 +48,35 @@ def stream_stateful_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, at = _replay(spark, sf_dir)
     streams.run_to_parquet(streams.throttled_alerts(rows.filter("event_type = 'error'"), 2880), f"{at}/out", f"{at}/checkpoint")
     return spark.read.schema("user_id long, sec long").parquet(f"{at}/out")
+
+
+@CASES.add(f"""
+    WITH s AS (SELECT user_id, sec, CASE WHEN sec - lag(sec) OVER w < 14400 THEN 0 ELSE 1 END AS opens FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY sec)), g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY sec) AS i FROM s),
+    n AS (SELECT user_id, min(sec) AS start, max(sec) AS last, count(*) AS n FROM g GROUP BY user_id, i)
+    SELECT user_id, start, n FROM n WHERE last + 14400 + 3600 <= (SELECT max(epoch_us(ts)) / 1e6 FROM events)""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that a gap of four hours ends and the watermark has closed."""
+    rows, at = _replay(spark, sf_dir)
+    whole = rows.withColumn("ts", F.date_trunc("second", "ts"))
+    streams.run_to_parquet(streams.sessions(whole, "4 hours", "1 hour"), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema("user_id long, start long, n long").parquet(f"{at}/out")
+
+
+@CASES.add(f"SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM {EVENTS} GROUP BY 1")
+def stream_update_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in update mode: batches carry what changed, and the last of each group counts."""
+    rows, at = _replay(spark, sf_dir)
+    streams.run_updates(rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")), f"{at}/out", f"{at}/checkpoint")
+    return streams.latest(spark.read.parquet(f"{at}/out"), ["event_type"])
+
+
+@CASES.add(f"""
+    WITH e AS (SELECT event_type, CASE WHEN event_id % 50 = 0 THEN 'broken' WHEN event_id % 20 = 0 THEN 'future' ELSE 'ok' END AS verdict FROM {EVENTS})
+    SELECT verdict, event_type, count(*) AS n FROM e GROUP BY 1, 2""")
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a time, or with one that can't be yet, go to the dead letters; both tables are read back."""
+    rows, at = _replay(spark, sf_dir)
+    skewed = rows.withColumn("ts", F.when(F.col("event_id") % 50 == 0, F.lit(None)).when(F.col("event_id") % 20 == 0, F.lit("2999-01-01").cast("timestamp")).otherwise(F.col("ts")))
+    streams.run_with_dead_letters(streams.guarded(skewed, "2900-01-01"), f"{at}/ok", f"{at}/dead", f"{at}/checkpoint")
+    both = [spark.read.parquet(f"{at}/{name}") for name in ("ok", "dead")]
+    return both[0].unionByName(both[1]).groupBy("verdict", "event_type").agg(F.count("*").alias("n"))

@@ -61,6 +61,44 @@ def throttled_alerts(stream: DataFrame, minutes: int, late: str = "1 hour") -> D
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, sec long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def guarded(rows: DataFrame, latest: str) -> DataFrame:
+    """rows with column verdict: `future` for times beyond what can be, `broken` for missing ones, else `ok`."""
+    verdict = F.when(F.col("ts").isNull(), "broken").when(F.col("ts") > F.lit(latest).cast("timestamp"), "future").otherwise("ok")
+    return rows.withColumn("verdict", verdict)
+
+
+def run_with_dead_letters(stream: DataFrame, path: str, dead: str, checkpoint: str) -> None:
+    """Rows with the verdict `ok` go to path, others to the dead letters.
+
+    A batch's rows lie in a folder of its own, which is written anew if the batch is run again after a failure.
+    """
+
+    def split(batch: DataFrame, number: int) -> None:
+        for where, keep in ((path, "verdict = 'ok'"), (dead, "verdict <> 'ok'")):
+            batch.filter(keep).write.mode("overwrite").parquet(f"{where}/batch={number}")
+
+    stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_updates(counts: DataFrame, path: str, checkpoint: str, every: str | None = None) -> None:
+    """In update mode each batch writes only the groups that it changed; `every` names a processing-time interval for a run without end."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = counts.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint)
+    if every:
+        writer.trigger(processingTime=every).start()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the updates (keys, values, batch) of each group the last."""
+    values = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("__v")).select(*keys, "__v.*")
+
+
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, then stop; the rows are in an in-memory table (for tests and small replays)."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

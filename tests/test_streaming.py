@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -53,3 +54,45 @@ def test_sessions_end_after_a_gap(spark, tmp_path):
     made = streams.sessions(streams.event_stream(spark, str(tmp_path / "in")))
     rows = streams.run_to_table(made, "sessions", str(tmp_path / "check"))
     assert sorted(r["n"] for r in rows.filter(F.col("user_id") == 1).collect()) == [1, 2]
+
+
+def test_restart_from_a_checkpoint(spark, tmp_path):
+    """A second run reads only what came since the first, keeps its state and writes each row once."""
+    rows = [(k, "2024-01-01T00:00:00", k % 3, "error", 1.0, "{}") for k in range(6)]
+    made = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
+    made.filter("event_id < 3").coalesce(1).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = streams.event_stream(spark, str(tmp_path / "in"))
+        streams.run_updates(stream.groupBy("user_id").count(), str(tmp_path / "out"), str(tmp_path / "c"))
+        streams.run_to_parquet(streams.event_stream(spark, str(tmp_path / "in")).select("event_id"), str(tmp_path / "rows"), str(tmp_path / "c2"))
+        made.filter("event_id >= 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    streams.run_updates(streams.event_stream(spark, str(tmp_path / "in")).filter("event_id < 99").groupBy("user_id").count(), str(tmp_path / "out"), str(tmp_path / "c"))
+    found = streams.latest(spark.read.parquet(str(tmp_path / "out")), ["user_id"])
+    assert {r["user_id"]: r["count"] for r in found.collect()} == {0: 3, 1: 3, 2: 3}
+    assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_expired_keys_come_again(spark, tmp_path):
+    """A key is new again once its time to live is over."""
+    times = ["2024-01-01T00:00:00", "2024-01-01T01:00:00", "2024-01-05T00:00:00", "2024-01-05T00:10:00", "2024-01-09T00:00:00", "2024-01-09T00:10:00"]
+    for k, t in enumerate(times):
+        time.sleep(0.05)  # files are read in the order of their times
+        row = spark.createDataFrame([(k, t, 7, "view", 1.0, "{}")], "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
+        row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.deduplicated(streams.event_stream(spark, str(tmp_path / "in"), per_batch=1), ["user_id"], "8 hours")
+    made = streams.run_to_table(stream.select("event_id"), "expired", str(tmp_path / "c"))
+    found = {r["event_id"] for r in made.collect()}
+    assert 0 in found and 1 not in found and len(found & {2, 3}) <= 1 and len(found & {2, 3, 4, 5}) >= 1
+
+
+def test_readers_and_alerts_of_streams(spark, tmp_path):
+    from sluice.sources import readers, sinks
+
+    (tmp_path / "t.txt").write_text("a|b|c")
+    assert [r["value"] for r in readers.text_records(spark, str(tmp_path / "t.txt"), "|").collect()] == ["a", "b", "c"]
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    seen = []
+    query = sinks.send_alerts(readers.follow(spark, str(tmp_path / "in"), "id long").filter("id > 2"), lambda batch, number: seen.extend(r["id"] for r in batch.collect()), str(tmp_path / "c"))
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(seen) == [3, 4]
