@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import settle
+from sluice.llm.common import join_hot, settle
 from sluice.llm.components import components
 from sluice.session import table
 
@@ -29,23 +29,31 @@ BLOCKS = (13, 13, 13, 13, 12)
 RADIUS = 2
 #: Fingerprints of a shard beyond which it is cut by finer blocks, and those blocks: six of the bits that the shard leaves open.
 SHARD, FINER = 4096, 6
+#: Bits within which similar sets' fingerprints are looked for (two sets of similarity 0.8 differ in about 10 bits, unlike ones in
+#: 32), hashes of a sketch, and classes that one part of a shard compares, about.
+WIDE, SKETCH, MOST = 22, 4, 1000
 #: Nodes of one tree; a larger shard becomes several trees, all of which are searched.
 TREE_NODES = 1 << 16
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """Majority bits of the XXH64 hashes of a text's word shingles, repeats included; no words give 0."""
+def shingle_hashes(text: bytes | None, shingle: int) -> list[int]:
+    """The XXH64 hashes of a text's word shingles, repeats included; of the whole sequence if it is shorter, none without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        line, digest = b" ".join(words), xxhash.xxh64_intdigest
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = [0, *ends[: len(words) - shingle].tolist()]
-        hashes = [digest(line[i:j], SEED) for i, j in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[: len(words) - shingle].tolist()]
+    return [digest(line[i:j], SEED) for i, j in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 for none."""
+    if not len(hashes):
+        return 0
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = np.array(hashes[at : at + _CHUNK], dtype="<u8")
@@ -54,6 +62,11 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """Majority bits of the XXH64 hashes of a text's word shingles, repeats included; no words give 0."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, bits): the fingerprint of each document as a signed long."""
 
@@ -209,12 +222,114 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> D
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+def _sketch(distinct: np.ndarray) -> np.ndarray:
+    """The SKETCH smallest of the distinct hashes, once mixed."""
+    with np.errstate(over="ignore"):
+        mixed = distinct * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+    return np.sort(np.partition(mixed, SKETCH)[:SKETCH] if len(mixed) > SKETCH else mixed)
+
+
+def _similar_links(bits: list[int], ids: list[int], sets: list[np.ndarray], radius: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the similar pairs of one shard: a BK-tree finds candidates, the shingle sets decide."""
+    tree, members, parent = BKTree(), {}, list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k, item in enumerate(bits):
+        for near in tree.within(item, radius):
+            for other in members[near]:
+                a, b = find(k), find(other)
+                small, large = sorted((len(sets[k]), len(sets[other])))
+                if a == b or small < similarity * large:
+                    continue
+                both = len(np.intersect1d(sets[k], sets[other], assume_unique=True))
+                if both >= similarity * (small + large - both):
+                    parent[a] = b
+                    yield ids[k], ids[other]
+        tree.add(item)
+        members.setdefault(item, []).append(k)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
+    """doc_id and component_id of each document with an id: the smallest doc_id reachable over pairs whose sets of word
+    shingles have a Jaccard similarity of `similarity` or more.
+
+    Documents of equal sets are one class, and wordless ones are another. Classes meet in shards, one for each of the SKETCH
+    smallest of a set's mixed hashes, in which similar sets nearly always share one; a shard of more than MOST classes deals its
+    members to further shards by a second hash of their sketches, and to parts at random where it or these are still larger. In a shard
+    BK-trees of fingerprints find what lies within `radius` bits, and the whole sets are then compared. Links are lost where
+    two sets share no sketch hash (0.2^SKETCH of pairs at 0.8), where their fingerprints lie beyond the radius, or
+    where they meet in parts of a large shard only; the tests measure how many.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                distinct = np.unique(np.array(hashes, np.uint64))
+                made.append((majority(hashes), xxhash.xxh3_128_hexdigest(distinct.tobytes()), _sketch(distinct).view(np.int64).tolist()))
+            bits, whole, sketch = zip(*made, strict=True) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(whole, pa.string()), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "bits", "whole", "sketch"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    marks = settle(texts.mapInArrow(mark, "doc_id long, bits long, whole string, sketch array<long>"), "marks")
+    classes = settle(marks.groupBy("whole").agg(F.min("doc_id").alias("id"), F.any_value("bits").alias("bits"), F.any_value("sketch").alias("sketch"), F.count("*").alias("rows")), "classes")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return join_hot(rows, settle(rows.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "sizes"), ["shard"], "n").filter("n > 1")
+
+    first = settle(classes.select(F.explode("sketch").alias("shard"), "id", "whole", "bits", "sketch"), "shards")
+    shared = settle(counted(first), "shards")
+    finer = shared.filter(F.col("n") > MOST).withColumn("t", F.explode("sketch")).filter("t <> shard").select(F.xxhash64(F.least("shard", "t"), F.greatest("shard", "t")).alias("shard"), "id", "whole", "bits").distinct()
+    again = settle(finer, "finer")
+    both = shared.select("shard", "n", "id", "whole", "bits").unionByName(counted(again).select("shard", "n", "id", "whole", "bits"))
+    parts = settle(both.withColumn("part", F.pmod(F.xxhash64("id", "shard"), F.ceil(F.col("n") / MOST)).cast("int")), "parts")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(text, shingle), np.uint64)).tobytes() for text in batch.column(2).cast(pa.binary()).to_pylist()]
+            whole = pa.array([xxhash.xxh3_128_hexdigest(x) for x in sets], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), whole], ["id", "whole", "hashes", "found"])
+
+    wanted = settle(parts.select("id", "whole").distinct(), "wanted")
+    held = texts.join(wanted, F.col("doc_id") == F.col("id")).select("id", "whole", "text").mapInArrow(gather, "id long, whole string, hashes binary, found string")
+    sets = held.filter("found = whole").dropDuplicates(["id"]).select("id", "hashes")
+    dealt = parts.select("shard", "part", "bits", "id").join(sets, "id").repartition("shard", "part").sortWithinPartitions("shard", "part", "bits", "id").select("shard", "part", "bits", "id", "hashes")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def made() -> pa.RecordBatch:
+            bits, ids, hashes = zip(*rows, strict=True) if rows else ((), (), ())
+            found = list(_similar_links([b & ((1 << 64) - 1) for b in bits], list(ids), [np.frombuffer(h, np.uint64) for h in hashes], radius, similarity))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for shard, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (shard, part) != key:
+                    yield made()
+                    key, rows = (shard, part), []
+                rows.append(row)
+        yield made()
+
+    roots = components(dealt.mapInArrow(link, "a long, b long")).withColumnRenamed("node", "id")
+    leaders = settle(classes.join(roots, "id", "left").select("whole", "rows", F.coalesce("component", "id").alias("component_id")), "leaders")
+    return join_hot(marks.select("doc_id", "whole"), leaders, ["whole"], "rows").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """The documents, with their own columns, that lead their component; rows without doc_id stay.
 
+    Components are those of simhash_groups, or with a similarity those of similar_groups, whose radius is its own.
     Of repeated rows of one doc_id a single one stays.
     """
-    groups = simhash_groups(docs, shingle, radius)
+    groups = simhash_groups(docs, shingle, radius) if similarity is None else similar_groups(docs, shingle, similarity)
     others = settle(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
     repeated = settle(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     left = docs.join(others, "doc_id", "left_anti")

@@ -186,6 +186,15 @@ def _roots(nodes: list, linked) -> dict:
     return {n: find(n) for n in nodes}
 
 
+def _shingle_set(text: str | None, n: int) -> frozenset:
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(words[i : i + n]) for i in range(len(words) - n + 1)) or frozenset([" ".join(words)] if words else [])
+
+
+def _jaccard(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_simhash_query(spark, sf, docs):
     marks = {d["doc_id"]: _fingerprint(d["text"]) for d in docs}
     roots = _roots(sorted(marks), lambda a, b: (marks[a] ^ marks[b]).bit_count() <= 2)
@@ -395,9 +404,9 @@ def test_pipeline_against_its_stages(spark, sf):
         after = {r["doc_id"]: r for r in made.collect()}
         assert set(after) <= set(before)
         if name == "near_copies":
-            marks = {k: _fingerprint(r["text"]) for k, r in before.items()}
-            roots = _roots(sorted(marks), lambda a, b, m=marks: (m[a] ^ m[b]).bit_count() <= 2)
-            assert set(after) == {k for k in marks if roots[k] == k}
+            sets = {k: _shingle_set(r["text"], 5) for k, r in before.items()}
+            roots = _roots(sorted(sets), lambda a, b, m=sets: _jaccard(m[a], m[b]) >= 0.8)
+            assert set(after) == {k for k in sets if roots[k] == k}
         if name == "benchmark":
             items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert not any(i in r["text"] for r in after.values() for i in items)
@@ -747,3 +756,42 @@ def test_archives_of_all_makes_are_read():
     assert [r["payload"] for r in warc.parse_records(plain[:-5])][-1] == bodies[-1][:1]
     assert [r["payload"] for r in warc.parse_records(plain + b"WARC/1.1\r\nWARC-Type: resp")] == bodies
     assert len(list(warc.parse_records(gzip.compress(plain)[:-20]))) >= 2 and list(warc.parse_records(b"")) == []
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    """Groups of a table with real and planted near copies: clean documents never link, nine in ten similar pairs do, whole shards or cut ones."""
+    rng = random.Random(30)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    passage = " ".join(rng.choice(docs[0][1].split()) for _ in range(60))
+    for k in range(60):  # copies with some words changed, and unlike documents that share a passage
+        words = docs[k][1].split()[:600]
+        for _ in range(len(words) // 60 + 1):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(999)}"
+        docs += [(10_000 + k, " ".join(words)), (20_000 + k, f"{docs[100 + k][1][:900]} {passage}")]
+    sets = {k: _shingle_set(t, 5) for k, t in docs}
+    holders, pairs = defaultdict(list), Counter()
+    for k, own in sets.items():
+        for x in own:
+            holders[x].append(k)
+    for held in holders.values():
+        if len(held) <= 200:
+            pairs.update((a, b) for i, a in enumerate(held) for b in held[i + 1 :])
+    true = {(a, b) for (a, b), n in pairs.items() if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8}
+    unlike = {p for p in true if sets[p[0]] != sets[p[1]]}
+    assert len(unlike) >= 50
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in true:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most, least in ((simhash.MOST, 0.97), (3, 0.9)):
+        monkeypatch.setattr(simhash, "MOST", most)
+        made = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+        assert sum(made[a] == made[b] for a, b in unlike) >= least * len(unlike)
+        assert all(made[a] == made[b] for a, b in true - unlike)
+        assert all(find(k) == find(c) for k, c in made.items())
