@@ -73,7 +73,7 @@ def softened(cells: DataFrame, margin: str, power: float = POWER) -> DataFrame:
     return shares.select(margin, (F.pow("n", F.lit(power)) / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = 1e-12, sweeps: int = 2) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = 1e-12, sweeps: int = 1) -> DataFrame:
     """The cells (margins, tokens) with column weight, raked to the targets' shares of one.
 
     Some sweeps over the margins at a time are settled; raking ends once no margin of a sweep moves a weight by more than the
