@@ -795,3 +795,83 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
         assert sum(made[a] == made[b] for a, b in unlike) >= least * len(unlike)
         assert all(made[a] == made[b] for a, b in true - unlike)
         assert all(find(k) == find(c) for k, c in made.items())
+
+
+def _imatch_terms(text: str) -> list[int]:
+    words = set(re.split(r"[ \t\n\x0b\f\r!-/:-@\[-`{-~]+", text.lower())) - {""}
+    return [h - (1 << 64) if (h := xxhash.xxh64_intdigest(w.encode(), 42)) >> 63 else h for w in words]
+
+
+def _imatch_signature(text: str, slots: set[int]) -> list[int]:
+    """The hashes of the whole lexicon and of its 64 subsets; 0 for a subset without a term."""
+    terms = sorted(_imatch_terms(text))
+    kept = [t for t in terms if t & 0xFFFFF in slots] or terms
+    subsets = [kept]
+    for g in range(4):
+        shift, mask = 24 + 10 * g, (64 << (2 * g)) - 1
+        subsets += [[t for t in kept if ((t & ((1 << 64) - 1)) >> shift) & mask == j] for j in range(16)]
+    made = []
+    for own in subsets:
+        h = 42
+        for t in own:
+            h = xxhash.xxh64_intdigest(t.to_bytes(8, "little", signed=True), h)
+        made.append(h if own else 0)
+    return made
+
+
+def test_imatch_query_against_plain_python(spark, sf, docs):
+    """Band, subsets, fingerprints and likeness of every document and its edited text."""
+    held = Counter(t for d in docs for t in _imatch_terms(d["text"] or ""))
+    low, high = max(2.0, len(docs) / 1000), max(2.0, len(docs) / 10)
+    slots = {t & 0xFFFFF for t, n in held.items() if low <= n <= high}
+
+    def shown(marks: list[int]) -> str:
+        return "".join(f"{m & 0xFFFFFFFF:08x}" for m in marks)
+
+    def likeness(a: list[int], b: list[int]) -> float:
+        used = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+        return sum(x == y for x, y in used) / len(used) if used else 1.0
+
+    found = {r["doc_id"]: r for r in QUERIES["op9_imatch"](spark, sf).collect()}
+    marks = [_imatch_signature(d["text"] or "", slots) for d in docs]
+    for k, d in enumerate(docs):
+        text, after, row = d["text"] or "", docs[(k + 1) % len(docs)]["text"] or "", found[d["doc_id"]]
+        half = len(text) // 2
+        edited = _imatch_signature(text[: len(text) - half] + after[:half], slots)
+        assert (row["fingerprint"], row["edited_fingerprint"]) == (shown(marks[k]), shown(edited))
+        assert row["near_edited"] == pytest.approx(likeness(marks[k], edited))
+        assert row["near_next"] == pytest.approx(likeness(marks[k], marks[(k + 1) % len(docs)]))
+
+
+def test_kernel_and_folded_weights_against_plain_sums():
+    """The kernel by looping over all triples of letters, and the machine's margin as a sum over its landmarks."""
+    encode, rng = toxicity.Encoder(), random.Random(31)
+    words = ["idiot", "i-d-i-o-t", "idiiot", "garden", "scumbag", "sc.um.bag", "", "ab", *("".join(rng.choice("abcdefg.") for _ in range(rng.randrange(3, 17))) for _ in range(30))]
+    rows, _ = encode(words)
+
+    def features(row) -> Counter:
+        out = Counter()
+        for i in range(len(row)):
+            for d1, d2 in toxicity.GAPS:
+                if i + d1 + d2 < len(row) and row[i] and row[i + d1] and row[i + d1 + d2]:
+                    out[row[i], row[i + d1], row[i + d1 + d2], d1, d2] += toxicity.DECAY ** (d1 + d2 - 2)
+        return out
+
+    def plain(a, b) -> float:
+        sums = [Counter(), Counter()]
+        for k, row in enumerate((a, b)):
+            for (x, y, z, _, _), w in features(row).items():
+                sums[k][x, y, z] += w
+        norms = [math.sqrt(sum(toxicity.DECAY ** (2 * (d1 + d2 - 2)) * (i + d1 + d2 < len(row) and bool(row[i] and row[i + d1] and row[i + d1 + d2])) for i in range(len(row)) for d1, d2 in toxicity.GAPS)) for row in (a, b)]
+        return sum(w * sums[1][x] for x, w in sums[0].items()) / max(norms[0], 1e-9) / max(norms[1], 1e-9)
+
+    made = toxicity.kernel(rows, rows[:6])
+    for i, a in enumerate(rows.tolist()):
+        for j, b in enumerate(rows[:6].tolist()):
+            assert made[i, j] == pytest.approx(plain(a, b), abs=1e-5)
+    weights = np.array([0.7, -0.4, 0.2, 0.5, -0.1, 0.3])
+    spots, strengths = toxicity.subsequences(rows[:6])
+    folded = np.zeros(toxicity.CODES**3)
+    np.add.at(folded, spots.ravel(), (strengths * weights[:, None]).ravel())
+    folded[0] = 0.0
+    assert toxicity.Model(folded, 1.0, 0.0).margins(rows) == pytest.approx(made @ weights, abs=1e-4)
