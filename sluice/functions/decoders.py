@@ -185,3 +185,41 @@ def message_schema(text: str) -> T.StructType:
 def hours(seconds: Column) -> Column:
     """A session's length in hours; 0 unless it is between a second and 180 days."""
     return F.when((seconds >= 1) & (seconds < 180 * 86400), seconds / 3600.0).otherwise(0.0)
+
+
+#: Times as programs write them, without the day of the week: fixed values.
+TIMES = (
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "dd/MMM/yyyy:HH:mm:ss Z", "dd MMM yyyy HH:mm:ss Z", "MMM d HH:mm:ss yyyy", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyMMdd H:mm:ss", "yyyy/MM/dd HH:mm:ss",
+)
+
+
+def any_time(text: Column) -> Column:
+    """The first of the known formats that a text fits; the name of a day and a zone's name are left out."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Z][a-z]{2},? +", ""), r" (?:GMT|UTC)$", "")
+    spaced = F.regexp_replace(plain, r" +", " ")
+    return F.coalesce(*[F.try_to_timestamp(spaced, F.lit(t)) for t in TIMES], F.try_to_timestamp(F.concat(spaced, F.lit(" +0000")), F.lit("dd MMM yyyy HH:mm:ss Z")))
+
+
+def unescape_c(text: Column) -> Column:
+    r"""Text whose escapes (\\n, \\t, \\x41, \\101) are written out; bytes are read as UTF-8."""
+    tokens = F.regexp_extract_all(text, F.lit(r"(?s)\\x[0-9A-Fa-f]{2}|\\[0-3][0-7]{2}|\\.|[^\\]+"), 0)
+    named = {"n": "0A", "t": "09", "r": "0D", "0": "00", "a": "07", "b": "08", "f": "0C", "v": "0B"}
+
+    def byte(t: Column) -> Column:
+        out = F.hex(F.encode(F.when(t.startswith("\\"), F.substring(t, 2, 1)).otherwise(t), "UTF-8"))
+        for letter, code in named.items():
+            out = F.when(t == "\\" + letter, code).otherwise(out)
+        out = F.when(t.rlike(r"^\\[0-3][0-7]{2}$"), F.lpad(F.conv(F.substring(t, 2, 3), 8, 16), 2, "0")).otherwise(out)
+        return F.when(t.rlike(r"^\\x[0-9A-Fa-f]{2}$"), F.substring(t, 3, 2)).otherwise(out)
+
+    return F.decode(F.unhex(F.array_join(F.transform(tokens, byte), "")), "UTF-8")
+
+
+def ping(document: Column | str) -> Column:
+    """A struct of what a client's document says about itself, null where it doesn't: build, channel, system, locale, default browser, days of the profile and add-ons."""
+    read = lambda path: F.get_json_object(document, path)
+    return F.struct(
+        read("$.environment.build.buildId").alias("build_id"), read("$.environment.settings.update.channel").alias("channel"), read("$.environment.system.os.name").alias("os"), read("$.environment.settings.locale").alias("locale"),
+        read("$.environment.settings.isDefaultBrowser").try_cast("boolean").alias("is_default"), read("$.environment.profile.creationDate").try_cast("long").alias("profile_day"),
+        F.coalesce(F.size(F.json_object_keys(read("$.environment.addons.activeAddons"))), F.lit(0)).alias("addons"), hours(F.coalesce(read("$.payload.info.subsessionLength").try_cast("long"), F.lit(0))).alias("hours"),
+    )

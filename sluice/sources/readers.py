@@ -15,18 +15,25 @@ def text_records(spark: SparkSession, path: str, separator: str = "\n") -> DataF
     return spark.read.option("lineSep", separator).text(path)
 
 
-def multi_line(lines: DataFrame, start: str, keys: list[str], place: str) -> DataFrame:
-    """(keys, first, record): lines that belong to one record, which begins where `start` matches.
+def multi_line(lines: DataFrame, start: str | None, keys: list[str], place: str, end: str | None = None) -> DataFrame:
+    """(keys, first, record): lines that belong to one record, which begins where `start` matches or after a line that matches `end`.
 
     Lines before the first start are a record of their own. Records are gathered one by one, not
     files whole.
     """
     own = W.partitionBy(*keys).orderBy(place)
-    numbered = lines.withColumn("__n", F.sum(F.col("value").rlike(start).cast("int")).over(own))
+    begins = F.col("value").rlike(start).cast("int") if start else F.lit(0)
+    ended = F.coalesce(F.lag(F.col("value").rlike(end)).over(own), F.lit(False)).cast("int") if end else F.lit(0)
+    numbered = lines.withColumn("__b", F.greatest(begins, ended)).withColumn("__n", F.sum("__b").over(own))
     made = numbered.groupBy(*keys, "__n").agg(F.min(place).alias("first"), F.sort_array(F.collect_list(F.struct(place, "value"))).alias("l"))
     return made.select(*keys, "first", F.array_join("l.value", "\n").alias("record"))
 
 
+def counters(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Cumulative counters of tab-separated files, packed or not."""
+    return spark.read.schema(schema).option("sep", "\t").csv(path)
+
+
 def json_messages(spark: SparkSession, path: str) -> DataFrame:
     """Messages of JSON lines; lines that don't parse have a `decode_error`."""
     raw = spark.read.text(path)
