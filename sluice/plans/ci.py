@@ -131,7 +131,8 @@ def label_unnest_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quantile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deciles of the cost of each kind, a row for each."""
     steps = [k / 10 for k in range(11)]
-    made = table(spark, sf_dir, "orders").filter(~F.array_contains(F.array(F.lit("P")), F.col("o_orderstatus"))).groupBy(F.col("o_orderpriority").alias("kind")).agg(F.percentile("o_totalprice", F.array(*[F.lit(s) for s in steps])).alias("q"))
+    made = table(spark, sf_dir, "orders").filter(~F.array_contains(F.array(F.lit("P")), F.col("o_orderstatus"))).groupBy(F.col("o_orderpriority").alias("kind"), "o_totalprice").agg(F.count("*").alias("n"))
+    made = made.groupBy("kind").agg(F.percentile("o_totalprice", F.array(*[F.lit(s) for s in steps]), F.col("n")).alias("q"))
     return made.select("kind", F.posexplode("q").alias("place", "value")).select("kind", (F.col("place") * 10).alias("percent"), rounded(F.col("value"), "value", 4))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.cases import EVENTS, Cases, events, floor_to
-from sluice.functions import jsonx, net, normalize
+from sluice.functions import decoders, jsonx, net, normalize
 from sluice.operators import dedup
 from sluice.sources import readers, sinks
 from sluice.session import table
@@ -79,12 +79,15 @@ def hierarchy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CASES.add(f"""
-    SELECT event_id, CAST(sec % 1000 - 500 AS BIGINT) AS skew, CASE WHEN abs(sec % 1000 - 500) <= 60 THEN 'ok' WHEN sec % 1000 - 500 > 0 THEN 'ahead' ELSE 'behind' END AS verdict FROM {EVENTS}""")
+    WITH e AS (SELECT event_id, json_extract(props, '$.k')::BIGINT * 3 - 150 AS skew FROM {EVENTS})
+    SELECT event_id, skew, CASE WHEN abs(skew) <= 60 THEN 'ok' WHEN skew > 0 THEN 'ahead' ELSE 'behind' END AS verdict FROM e""")
 def clock_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A client's clock against the server's."""
-    client = F.col("sec") + F.col("sec") % 1000 - 500
-    skew = (client - F.col("sec")).cast("long")
-    return events(spark, sf_dir).select("event_id", skew.alias("skew"), F.when(F.abs(skew) <= 60, "ok").when(skew > 0, "ahead").otherwise("behind").alias("verdict"))
+    """A client's clock, as the date header of its report writes it, against the server's."""
+    off = F.get_json_object("props", "$.k").cast("long") * 3 - 150
+    header = F.concat(F.date_format(F.timestamp_seconds(F.col("sec") + off), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    skew = F.unix_seconds(decoders.any_time(F.col("header"))) - F.col("sec")
+    rows = events(spark, sf_dir).select("event_id", "sec", header.alias("header")).withColumn("skew", skew)
+    return rows.select("event_id", "skew", F.when(F.abs("skew") <= 60, "ok").when(F.col("skew") > 0, "ahead").otherwise("behind").alias("verdict"))
 
 
 @CASES.add(f"""
