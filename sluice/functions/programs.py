@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from sluice.functions.grammar import Grammar, first_match, literal, printf
 
+#: What all of a mail transport's delivery agents write.
+_DELIVERY = [
+    ("delivery", "%s: to=<%s>, orig_to=<%s>, relay=%s, delay=%f, delays=%s, dsn=%s, status=%s (%s)", ["queue", "to", "orig_to", "relay", "delay", "delays", "dsn", "status", "reason"]),
+    ("delivery", "%s: to=<%s>, relay=%s, delay=%f, delays=%s, dsn=%s, status=%s (%s)", ["queue", "to", "relay", "delay", "delays", "dsn", "status", "reason"]),
+]
 #: program -> (rule, template, names); fixed values, the messages' own words.
 TEMPLATES: dict[str, list[tuple[str, str, list[str]]]] = {
     "sshd": [
@@ -60,6 +65,36 @@ TEMPLATES: dict[str, list[tuple[str, str, list[str]]]] = {
         ("denied", "client %s#%d (%s): query (cache) '%s/%s/IN' denied", ["ip", "port", "name", "query", "type"]), ("lame", "lame server resolving '%s' (in '%s'?): %s#%d", ["query", "zone", "ip", "port"]),
     ],
     "puppet-agent": [("finished", "Finished catalog run in %f seconds", ["seconds"])],
+    "smtpd": [
+        ("connect", "connect from %s[%s]", ["client", "ip"]), ("disconnect", "disconnect from %s[%s] %s", ["client", "ip", "commands"]), ("disconnect", "disconnect from %s[%s]", ["client", "ip"]),
+        ("reject", "NOQUEUE: reject: %s from %s[%s]: %s; from=<%s> to=<%s> proto=%s helo=<%s>", ["stage", "client", "ip", "reason", "from", "to", "proto", "helo"]),
+        ("lost", "lost connection after %s from %s[%s]", ["stage", "client", "ip"]), ("timeout", "timeout after %s from %s[%s]", ["stage", "client", "ip"]), ("too_many", "too many errors after %s from %s[%s]", ["stage", "client", "ip"]),
+        ("client", "%s: client=%s[%s], sasl_method=%s, sasl_username=%s", ["queue", "client", "ip", "sasl_method", "sasl_username"]), ("client", "%s: client=%s[%s]", ["queue", "client", "ip"]),
+        ("unresolved", "warning: hostname %s does not resolve to address %s", ["client", "ip"]), ("login_failed", "warning: %s[%s]: SASL %s authentication failed: %s", ["client", "ip", "sasl_method", "reason"]),
+    ],
+    "cleanup": [("message_id", "%s: message-id=<%s>", ["queue", "message_id"]), ("resent_id", "%s: resent-message-id=<%s>", ["queue", "message_id"])],
+    "qmgr": [("active", "%s: from=<%s>, size=%d, nrcpt=%d (queue active)", ["queue", "from", "size", "recipients"]), ("expired", "%s: from=<%s>, status=expired, returned to sender", ["queue", "from"]), ("removed", "%s: removed", ["queue"])],
+    "pickup": [("picked", "%s: uid=%d from=<%s>", ["queue", "uid", "from"])],
+    "bounce": [("non_delivery", "%s: sender non-delivery notification: %s", ["queue", "notice"]), ("delay_notice", "%s: sender delay notification: %s", ["queue", "notice"]), ("delivery_status", "%s: sender delivery status notification: %s", ["queue", "notice"])],
+    "anvil": [("rate", "statistics: max connection rate %d/%s for (%s) at %s", ["rate", "per", "client", "at"]), ("count", "statistics: max connection count %d for (%s) at %s", ["count", "client", "at"]), ("cache", "statistics: max cache size %d at %s", ["size", "at"])],
+    "scache": [("lookups", "statistics: %s lookup hits=%d miss=%d success=%d%%", ["kind", "hits", "misses", "percent"]), ("sizes", "statistics: max simultaneous domains=%d addresses=%d connection=%d", ["domains", "addresses", "connections"])],
+    "master": [("started", "daemon started -- version %s, configuration %s", ["version", "folder"]), ("reload", "reload -- version %s, configuration %s", ["version", "folder"]), ("terminating", "terminating on signal %d", ["signal"])],
+    "postscreen": [
+        ("connect", "CONNECT from [%s]:%d to [%s]:%d", ["ip", "port", "dst", "local_port"]), ("pass", "PASS %s [%s]:%d", ["age", "ip", "port"]), ("disconnect", "DISCONNECT [%s]:%d", ["ip", "port"]), ("hangup", "HANGUP after %f from [%s]:%d in %s", ["seconds", "ip", "port", "stage"]),
+        ("pregreet", "PREGREET %d after %f from [%s]:%d: %s", ["bytes", "seconds", "ip", "port", "text"]), ("listed", "DNSBL rank %d for [%s]:%d", ["rank", "ip", "port"]), ("allowed", "WHITELISTED [%s]:%d", ["ip", "port"]), ("denied", "BLACKLISTED [%s]:%d", ["ip", "port"]),
+    ],
+    "dnsblog": [("listed", "addr %s listed by domain %s as %s", ["ip", "domain", "code"])],
+    "tlsproxy": [("connect", "CONNECT from [%s]:%d", ["ip", "port"]), ("disconnect", "DISCONNECT [%s]:%d", ["ip", "port"])],
+    "postsuper": [("deleted", "Deleted: %d messages", ["messages"]), ("requeued", "Requeued: %d messages", ["messages"]), ("removed", "%s: removed", ["queue"])],
+    "smtp": _DELIVERY,
+    "lmtp": _DELIVERY,
+    "local": _DELIVERY,
+    "virtual": _DELIVERY,
+    "pipe": _DELIVERY,
+    "error": _DELIVERY,
+    "relay": _DELIVERY,
+    "retry": _DELIVERY,
+    "discard": _DELIVERY,
     "sendmail": [("sent", "%s: to=%s, delay=%s, stat=%s", ["queue", "to", "delay", "stat"])],
 }
 
@@ -68,17 +103,18 @@ def grammars(program: str) -> list[tuple[str, Grammar]]:
     return [(rule, printf(template, names)) for rule, template, names in TEMPLATES.get(program, [])]
 
 
-def program_fields(program: Column, message: Column) -> Column:
+def program_fields(program: Column, message: Column, known: tuple[str, ...] | None = None) -> Column:
     """A struct (rule, fields) of the first template of the program that the message fits, else null.
 
-    A program is known by its name without a path and without a numbered instance.
+    A program is known by its name without a path and without a numbered instance; `known` names the programs to look for, all
+    of them if not given.
     """
     name = F.regexp_replace(F.regexp_replace(program, r"^.*/", ""), r"\[\d+\]$", "")
     out = F.lit(None).cast("struct<rule:string,fields:map<string,string>>")
-    for known in TEMPLATES:
-        rules = grammars(known)
+    for own in known or TEMPLATES:
+        rules = grammars(own)
         names = sorted({n for _, g in rules for n, _, _ in g if n})
-        out = F.when(name == known, first_match(message, rules, names)).otherwise(out)
+        out = F.when(name == own, first_match(message, rules, names)).otherwise(out)
     return out
 
 

@@ -74,3 +74,23 @@ def escape_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interpolated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A template with a field, a date and an unknown name."""
     return events(spark, sf_dir).select("event_id", programs.interpolate("logs-%{kind}-%{+yyyyMMdd}-%{missing}", {"kind": F.col("event_type")}, F.col("ts")).alias("name"))
+
+
+@CASES.add(f"""
+    WITH e AS (SELECT *, event_id % 8 AS m FROM {EVENTS})
+    SELECT event_id, CASE m WHEN 0 THEN 'connect' WHEN 1 THEN 'reject' WHEN 2 THEN 'message_id' WHEN 3 THEN 'active' WHEN 4 THEN 'removed' WHEN 5 THEN 'delivery' WHEN 6 THEN 'pregreet' ELSE 'rate' END AS rule,
+        CASE WHEN m IN (0, 1, 6) THEN '10.0.0.' || (user_id % 250) END AS ip, CASE WHEN m IN (1, 5) THEN 'u' || user_id || '@example.com' END AS "to", CASE WHEN m BETWEEN 2 AND 5 THEN 'A' || event_id END AS queue, CASE WHEN m = 5 THEN round(value, 2) END AS delay FROM e""")
+def mail_daemons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mail transport's daemons log, a rule for each kind of line."""
+    user, ip, queue = F.format_string("u%d@example.com", F.col("user_id")), F.format_string("10.0.0.%d", F.col("user_id") % 250), F.format_string("A%d", F.col("event_id"))
+    kinds = [
+        ("postfix/smtpd[7]", F.format_string("connect from mx.example.com[%s]", ip)), ("postfix/smtpd", F.format_string("NOQUEUE: reject: RCPT from mx.example.com[%s]: 554 5.7.1 Relay access denied; from=<a@b.org> to=<%s> proto=ESMTP helo=<mx>", ip, user)),
+        ("postfix/cleanup", F.format_string("%s: message-id=<7@example.com>", queue)), ("postfix/qmgr", F.format_string("%s: from=<a@b.org>, size=812, nrcpt=1 (queue active)", queue)), ("postfix/qmgr", F.format_string("%s: removed", queue)),
+        ("postfix/lmtp", F.format_string("%s: to=<%s>, relay=mail[private/lmtp], delay=%.2f, delays=0.1/0/0/0.1, dsn=2.0.0, status=sent (250 2.0.0 Ok)", queue, user, F.col("value"))),
+        ("postfix/postscreen", F.format_string("PREGREET 11 after 0.12 from [%s]:2525: EHLO mx", ip)), ("postfix/anvil", F.lit("statistics: max connection rate 2/60s for (smtp:10.0.0.1) at May  1 10:00:00")),
+    ]
+    line = F.element_at(F.array(*[F.struct(F.lit(p).alias("program"), m.alias("message")) for p, m in kinds]), (F.col("event_id") % 8 + 1).cast("int"))
+    known = ("smtpd", "cleanup", "qmgr", "lmtp", "postscreen", "anvil")
+    rows = events(spark, sf_dir).select("event_id", line.alias("l")).select("event_id", programs.program_fields(F.col("l.program"), F.col("l.message"), known).alias("p"))
+    field = lambda name: F.try_element_at("p.fields", F.lit(name))
+    return rows.select("event_id", "p.rule", field("ip").alias("ip"), field("to").alias("to"), field("queue").alias("queue"), F.round(field("delay").try_cast("double"), 2).alias("delay"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.cases import EVENTS, Cases, events, rounded
 from sluice.functions import decoders
+from sluice.operators import buildlog
 from sluice.session import shared_dir, table
 from sluice.sources import readers
 
@@ -116,3 +117,40 @@ def hash_split_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_totalprice").cast("decimal(18,2)").alias("cost"), half.alias("half"))
     cost = lambda c, name: F.round(F.coalesce(F.sum(F.when(c, F.col("cost"))), F.lit(0)).cast("double"), 2).alias(name)
     return rows.groupBy("kind").agg(F.count_if("half").alias("first"), F.count_if(~F.col("half")).alias("second"), cost(F.col("half"), "first_cost"), cost(~F.col("half"), "second_cost"))
+
+
+#: DuckDB: each user's events as a build's log: place, clock, level, and which line it is.
+BUILD = f"""b AS (SELECT user_id, sec % 86400 AS clock, event_type, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY sec, event_id)),
+    c AS (SELECT *, CASE WHEN clock < lag(clock) OVER w THEN 1 ELSE 0 END AS back FROM b WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+    t AS (SELECT *, CAST(sum(back) OVER (PARTITION BY user_id ORDER BY i) AS BIGINT) * 86400 + clock AS moment FROM c)"""
+
+
+def _build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = W.partitionBy("user_id").orderBy("sec", "event_id")
+    rows = events(spark, sf_dir).withColumn("i", F.row_number().over(own)).withColumn("n", F.count("*").over(W.partitionBy("user_id")))
+    message = (
+        F.when(F.col("i") == 2, buildlog.STARTING).when(F.col("i") == F.col("n") - 1, buildlog.FINISHED)
+        .when(F.col("event_type") == "view", F.concat(F.lit('PERFHERDER_DATA: {"framework":{"name":"talos"},"suites":[{"name":"s1","value":'), F.col("value").cast("string"), F.lit(',"unit":"ms"},{"name":"s2","value":1.5}]}'))).otherwise("step")
+    )
+    head = F.when(F.col("i") == 1, F.date_format("ts", "'[taskcluster 'yyyy-MM-dd HH:mm:ss.SSS'Z] '")).otherwise(F.concat(F.date_format("ts", "HH:mm:ss"), F.lit("     "), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO"), F.lit(" - ")))
+    return rows.select("user_id", "i", F.concat(head, message).alias("line"))
+
+
+@CASES.add(f"""
+    WITH {BUILD}, p AS (SELECT *, CASE WHEN i < 2 THEN 'setup' WHEN i > n - 1 THEN 'teardown' ELSE 'task' END AS phase FROM t WHERE n > 3)
+    SELECT user_id, phase, count(*) AS lines, count(*) FILTER (i > 1 AND event_type = 'error') AS errors, max(moment) - min(moment) AS seconds FROM p GROUP BY 1, 2""")
+def build_log_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, errors and seconds of each phase of a task, from its log; clocks pass midnight."""
+    lines = _build_lines(spark, sf_dir)
+    long = lines.groupBy("user_id").count().filter("count > 3").select("user_id")
+    rows = buildlog.timed(lines.join(long, "user_id"), ["user_id"], "i")
+    return buildlog.totals(buildlog.phases(rows, ["user_id"], "i"), ["user_id"]).withColumn("seconds", F.col("seconds").cast("long"))
+
+
+@CASES.add(f"""
+    WITH {BUILD}, v AS (SELECT user_id, value FROM t WHERE event_type = 'view' AND i <> 2 AND i <> n - 1)
+    SELECT user_id, suite, count(*) AS n, round(sum(CASE suite WHEN 's1' THEN value ELSE 1.5 END), 4) AS total FROM v, (SELECT unnest(['s1', 's2']) AS suite) GROUP BY 1, 2""")
+def build_log_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suites of measurements that a task's log carries."""
+    rows = buildlog.timed(_build_lines(spark, sf_dir), ["user_id"], "i")
+    return buildlog.measurements(rows, ["user_id"]).groupBy("user_id", "suite").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
