@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: Marks that the build farm writes between the phases of a task: fixed values.
 STARTING, FINISHED = "=== Task Starting ===", "=== Task Finished ==="
-_LINE = r"^(?:\[taskcluster (\d{4}-\d\d-\d\d) (\d\d:\d\d:\d\d)(?:\.\d+)?Z\]|(\d\d:\d\d:\d\d))\s+(?:(DEBUG|INFO|WARNING|ERROR|CRITICAL|FATAL) - )?(.*)$"
+_LINE = r"^(?:\[[a-z]+ (\d{4}-\d\d-\d\d) (\d\d:\d\d:\d\d)(?:\.\d+)?Z\]|(\d\d:\d\d:\d\d))\s+(?:(DEBUG|INFO|WARNING|ERROR|CRITICAL|FATAL) - )?(.*)$"
 MEASURES = "framework struct<name:string>, suites array<struct<name:string,value:double,unit:string,lowerIsBetter:boolean>>"
 
 
@@ -45,6 +45,6 @@ def totals(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def measurements(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, framework, suite, value, unit): the suites of measurements that lines carry as JSON."""
-    text = F.regexp_extract("message", r"^PERFHERDER_DATA: (\{.*\})\s*$", 1)
+    text = F.regexp_extract("message", r"^[A-Z]+_DATA: (\{.*\})\s*$", 1)
     found = rows.select(*keys, F.from_json(F.nullif(text, F.lit("")), MEASURES).alias("m")).filter("m.suites is not null")
     return found.select(*keys, F.col("m.framework.name").alias("framework"), F.explode("m.suites").alias("s")).select(*keys, "framework", F.col("s.name").alias("suite"), "s.value", "s.unit")

@@ -130,9 +130,9 @@ def _build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).withColumn("i", F.row_number().over(own)).withColumn("n", F.count("*").over(W.partitionBy("user_id")))
     message = (
         F.when(F.col("i") == 2, buildlog.STARTING).when(F.col("i") == F.col("n") - 1, buildlog.FINISHED)
-        .when(F.col("event_type") == "view", F.concat(F.lit('PERFHERDER_DATA: {"framework":{"name":"talos"},"suites":[{"name":"s1","value":'), F.col("value").cast("string"), F.lit(',"unit":"ms"},{"name":"s2","value":1.5}]}'))).otherwise("step")
+        .when(F.col("event_type") == "view", F.concat(F.lit('MEASURE_DATA: {"framework":{"name":"bench"},"suites":[{"name":"s1","value":'), F.col("value").cast("string"), F.lit(',"unit":"ms"},{"name":"s2","value":1.5}]}'))).otherwise("step")
     )
-    head = F.when(F.col("i") == 1, F.date_format("ts", "'[taskcluster 'yyyy-MM-dd HH:mm:ss.SSS'Z] '")).otherwise(F.concat(F.date_format("ts", "HH:mm:ss"), F.lit("     "), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO"), F.lit(" - ")))
+    head = F.when(F.col("i") == 1, F.date_format("ts", "'[worker 'yyyy-MM-dd HH:mm:ss.SSS'Z] '")).otherwise(F.concat(F.date_format("ts", "HH:mm:ss"), F.lit("     "), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO"), F.lit(" - ")))
     return rows.select("user_id", "i", F.concat(head, message).alias("line"))
 
 
