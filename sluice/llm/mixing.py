@@ -14,6 +14,7 @@ from __future__ import annotations
 import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.llm.common import release, settle
@@ -76,30 +77,33 @@ def softened(cells: DataFrame, margin: str, power: float = POWER) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = 1e-12, sweeps: int = 1) -> DataFrame:
     """The cells (margins, tokens) with column weight, raked to the targets' shares of one.
 
-    Some sweeps over the margins at a time are settled; raking ends once no margin of a sweep moves a weight by more than the
+    The targets are joined to the cells once; a step is then a window over a margin, which holds cells and never documents. Some
+    sweeps over the margins at a time are settled; raking ends once no margin of a sweep moves a weight by more than the
     tolerance. Targets that contradict each other never get there: once weights move as far as before, or after so many
     rounds, a warning says how far they move. A margin value without a target, or with target zero, gets weight zero.
     """
-    now, held, done, before, still = cells.withColumn("weight", F.col("tokens").cast("double")), None, 0, None, 0
+    now = cells
+    for name, target in targets.items():
+        now = now.join(target.withColumnRenamed("target", f"__{name}"), name, "left")
+    now, held, done, before, still = settle(now.withColumn("weight", F.col("tokens").cast("double")), "cells"), None, 0, None, 0
     while True:
         for _ in range(sweeps):
             now = now.withColumn("moved", F.lit(0.0))
-            for name, target in targets.items():
-                sums = now.groupBy(name).agg(F.sum("weight").alias("sum")).join(target, name, "left")
-                scale = F.when(F.col("sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("sum")).otherwise(0.0)
-                now = now.join(sums.select(name, scale.alias("scale")), name)
-                now = now.withColumns({"moved": F.greatest("moved", F.abs(F.col("weight") * F.col("scale") - F.col("weight"))), "weight": F.col("weight") * F.col("scale")}).drop("scale")
+            for name in targets:
+                total = F.sum("weight").over(W.partitionBy(name))
+                scaled = F.when(total > 0, F.col("weight") * F.coalesce(f"__{name}", F.lit(0.0)) / total).otherwise(0.0)
+                now = now.withColumn("scaled", scaled).withColumns({"moved": F.greatest("moved", F.abs(F.col("scaled") - F.col("weight"))), "weight": F.col("scaled")}).drop("scaled")
         new = settle(now, "cells")
         moved = new.agg(F.max("moved")).first()[0]
         if held is not None:
             release(held)
         now, held, done = new.drop("moved"), new, done + sweeps
         if moved is None or moved <= tolerance:
-            return now
+            return now.drop(*[f"__{name}" for name in targets])
         still, before = still + 1 if before is not None and moved > 0.999 * before else 0, moved
         if done >= rounds or still == 3:
             warnings.warn(f"after {done} rounds of raking weights still move by {moved:.3g} of all tokens: the margins' targets don't agree", stacklevel=2)
-            return now
+            return now.drop(*[f"__{name}" for name in targets])
 
 
 def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
