@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, imatch, langid, lmscore, mixing, secrets, simhash, toxicity, urlfilter, warc
+from sluice.llm import decontaminate, imatch, langid, linededup, lmscore, mixing, secrets, simhash, toxicity, urlfilter, warc
 
-MODULES = (secrets, lmscore, simhash, mixing, toxicity, langid, warc, urlfilter, imatch, decontaminate)
+MODULES = (secrets, lmscore, simhash, mixing, toxicity, langid, warc, urlfilter, imatch, decontaminate, linededup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
