@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, imatch, langid, linededup, lmscore, mixing, secrets, simhash, toxicity, urlfilter, warc, whitening
+from sluice.llm import collocations, decontaminate, imatch, langid, linededup, lmscore, mixing, secrets, simhash, toxicity, urlfilter, warc, whitening
 
-MODULES = (secrets, lmscore, simhash, mixing, toxicity, langid, warc, urlfilter, imatch, decontaminate, linededup, whitening)
+MODULES = (secrets, lmscore, simhash, mixing, toxicity, langid, warc, urlfilter, imatch, decontaminate, collocations, linededup, whitening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
