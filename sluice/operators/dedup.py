@@ -25,6 +25,11 @@ def ttl_marks(df: DataFrame, keys: list[str], sec: str, order: str, interval: in
     return df.withColumn("added", fresh).withColumn("delta", F.when(~fresh, delta))
 
 
-def ledger(df: DataFrame, keys: list[str], step: str) -> DataFrame:
-    """Keys whose additions (+1) outnumber their deletions (-1)."""
-    return df.groupBy(*keys).agg(F.sum(step).alias("balance")).filter("balance > 0")
+def members(df: DataFrame, keys: list[str], added: str, order: list[str]) -> DataFrame:
+    """(keys, adds): what a set holds once rows have added (true) or deleted (false) their keys in the given order.
+
+    As in a set, a second addition changes nothing and one deletion takes the key out, so the last operation
+    of a key decides; adds counts the additions. An aggregate with map-side combine.
+    """
+    last = F.max_by(added, F.struct(*[F.col(c) for c in order]))
+    return df.groupBy(*keys).agg(last.alias("__last"), F.count_if(added).alias("adds")).filter("__last").drop("__last")

@@ -90,8 +90,8 @@ def ua_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_nationkey")
     agents = F.array(
         F.format_string("Mozilla/5.0 (Windows NT 10.0; rv:%d.0) Gecko/20100101 Firefox/%d.0", 70 + n, 70 + n), F.format_string("Mozilla/5.0 (Windows NT 6.3) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/99.0 Safari/537.36 Edg/%d.1", 80 + n),
-        F.format_string("Mozilla/5.0 (iPhone; CPU iPhone OS 15_0 like Mac OS X) AppleWebKit/605 (KHTML, like Gecko) Version/%d.0 Mobile/15E Safari/604.1", n), F.lit("Mozilla/5.0 (Windows NT 6.1; Trident/7.0; rv:11.0) like Gecko"),
-        F.format_string("Opera/9.80 (Windows NT 6.0) Presto/2.12.388 Version/%d.14", n), F.lit("curl/7.29.0"),
+        F.format_string("Mozilla/5.0 (iPhone; CPU iPhone OS 15_0 like Mac OS X) AppleWebKit/605 (KHTML, like Gecko) Version/%d.0 Mobile/15E Safari/604.1", n), F.lit("Mozilla/5.0 (Windows NT 6.1; WOW64; Trident/7.0; TestPC; rv:11.0) like Gecko"),
+        F.format_string("Opera/9.80 (Windows NT 6.0; Edition Sluice) Presto/2.7.3 Version/%d.61", n), F.lit("sluice-probe/2"),
     )
     text = F.element_at(agents, (F.col("c_custkey") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", grammar.user_agent(text).alias("u")).select("c_custkey", "u.*")

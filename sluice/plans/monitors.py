@@ -52,14 +52,14 @@ def error_monitor_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CASES.add(f"""
     WITH m AS (SELECT DISTINCT user_id, sec // 60 AS minute FROM {EVENTS}),
     g AS (SELECT user_id, minute, minute - lag(minute) OVER (PARTITION BY user_id ORDER BY minute) - 1 AS gap FROM m),
-    q AS (SELECT user_id, CAST(ceil((quantile_cont(gap, 0.99) + 1) * 5) AS BIGINT) AS threshold FROM g WHERE gap IS NOT NULL GROUP BY 1)
+    q AS (SELECT user_id, CAST(ceil(round((quantile_cont(gap, 0.99) + 1) * 5, 9)) AS BIGINT) AS threshold FROM g WHERE gap IS NOT NULL GROUP BY 1)
     SELECT user_id, threshold, count(*) AS gaps, max(gap) AS longest, count(*) FILTER (gap >= threshold) AS timeouts FROM g JOIN q USING (user_id) WHERE gap IS NOT NULL GROUP BY 1, 2""")
 def inactivity_gaps(spark: SparkSession, sf_dir: str, factor: float = 5) -> DataFrame:
     """Gaps between active minutes of each key, and how many reach its time-out: its 99th percentile of gaps, plus one, by the factor."""
     minutes = events(spark, sf_dir).select("user_id", F.floor(F.col("sec") / 60).cast("long").alias("minute")).distinct()
     gap = F.col("minute") - F.lag("minute").over(W.partitionBy("user_id").orderBy("minute")) - 1
     gaps = minutes.withColumn("gap", gap).filter("gap is not null").groupBy("user_id", "gap").agg(F.count("*").alias("n"))
-    limit = gaps.groupBy("user_id").agg(F.ceil((F.percentile("gap", 0.99, F.col("n")) + 1) * factor).cast("long").alias("threshold"))
+    limit = gaps.groupBy("user_id").agg(F.ceil(F.round((F.percentile("gap", 0.99, F.col("n")) + 1) * factor, 9)).cast("long").alias("threshold"))
     return gaps.join(limit, "user_id").groupBy("user_id", "threshold").agg(F.sum("n").alias("gaps"), F.max("gap").alias("longest"), F.coalesce(F.sum(F.when(F.col("gap") >= F.col("threshold"), F.col("n"))), F.lit(0)).alias("timeouts"))
 
 
