@@ -54,17 +54,31 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
     after = np.concatenate((inside[1:], [False])) & ~edge[1:] if len(low) else inside
     first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     owner = np.searchsorted(begins, first, side="right") - 1
-    piece = np.cumsum(cut)[first] + owner
+    piece = np.cumsum(cut, dtype=np.int32)[first] + owner
     ends = np.concatenate(([0], np.cumsum(last - first)))
     words = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(low[inside])])
     coded = words.dictionary_encode()
     return coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64), piece, owner
 
 
-def word_hashes(langs: list[str], words: list[str]) -> np.ndarray:
-    """A 64-bit hash of each word in its language."""
-    seeds = {lang: xxhash.xxh3_64_intdigest(lang) for lang in set(langs)}
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[lang]) for lang, w in zip(langs, words, strict=True)), np.uint64, len(words))
+def word_hashes(words: pa.Array, langs: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word in its language: a polynomial of its bytes."""
+    tongues = langs.dictionary_encode()
+    seeds = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in tongues.dictionary.to_pylist()), np.uint64)[tongues.indices.to_numpy()]
+    words = words.cast(pa.large_string())
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    starts, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+    with np.errstate(over="ignore"):
+        powers = np.full(int(lengths.max(initial=0)), _MIX)
+        powers = np.multiply.accumulate(powers)
+        terms = (raw + np.uint64(1)) * powers[np.arange(len(raw)) - np.repeat(starts, lengths)]
+        out = np.zeros(len(words), np.uint64)
+        real = lengths > 0
+        out[real] = np.add.reduceat(terms, starts[real]) if real.any() else 0
+        out = (out ^ seeds) * _MIX
+        return out ^ (out >> np.uint64(32))
 
 
 def longer(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -79,19 +93,28 @@ def _hashed(phrases: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, parts = batch.column(0).to_pylist(), [p.split(" ") for p in batch.column(1).to_pylist()]
-            out = []
-            for lang, own in zip(langs, parts, strict=True):
-                each = word_hashes([lang] * len(own), own)
-                h = each[:1]
-                for j in range(1, len(own)):
-                    h = longer(h, each[j : j + 1])
-                out.append(h[0])
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(np.array(out, np.uint64).view(np.int64))], ["k", "h"])
+            parts = pc.split_pattern(batch.column(1), " ")
+            each = word_hashes(parts.flatten(), batch.column(0).take(pc.list_parent_indices(parts)))
+            count = pc.list_value_length(parts).to_numpy()
+            first = np.cumsum(count) - count
+            out = each[first]
+            for j in range(1, int(count.max(initial=0))):
+                more = np.flatnonzero(count > j)
+                out[more] = longer(out[more], each[first[more] + j])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out.view(np.int64))], ["k", "h"])
 
     return phrases.select("lang", "phrase", "k").mapInArrow(run, "k int, h long")
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, number of each value among them, a place of each, how often it is there)."""
+    coded = pa.array(values).dictionary_encode()
+    numbers = coded.indices.to_numpy()
+    place = np.zeros(len(coded.dictionary), np.int64)
+    place[numbers] = np.arange(len(values))
+    return coded.dictionary.to_numpy(), numbers.astype(np.int64), place, np.bincount(numbers, minlength=len(place))
+
+
 @dataclass
 class Proposed:
     """What phrases of each length below the longest are proposed, as bit maps."""
@@ -130,49 +153,46 @@ def counted(docs: DataFrame, passes: list[Broadcast], least_k: int, longest: int
     def slice_counts(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, int, np.ndarray]]:
         words, codes, piece, owner = tokens(texts)
         tongues = langs.dictionary_encode()
-        tongue = tongues.indices.to_numpy().astype(np.int64)[owner] if len(texts) else owner
-        names = tongues.dictionary
+        names, tongue = tongues.dictionary, tongues.indices.to_numpy().astype(np.int64)[owner]
         if least_k == 0:
-            every = np.bincount(tongue, minlength=len(names))
-            yield names, pa.array([""] * len(names), pa.string()), 0, every
+            yield names, pa.array([""] * len(names), pa.string()), 0, np.bincount(tongue, minlength=len(names))
         if not len(codes):
             return
-        width = len(words)
-        pairs, first, ids, n = np.unique(tongue * width + codes, return_index=True, return_inverse=True, return_counts=True)
-        own, word_ids = word_hashes(names.take(pa.array(pairs // width)).to_pylist(), words.take(pa.array(pairs % width)).to_pylist()), ids
-        hashes = own
+        pairs, ids, first, n = _numbered(tongue * len(words) + codes)
+        own_words, own_names = words.take(pa.array(pairs % len(words))), names.take(pa.array(pairs // len(words)))
         if least_k <= 1:
-            yield names.take(pa.array(tongue[first])), words.take(pa.array(codes[first])), 1, n
-        held = [p.value.holds(1, hashes)[ids] for p in passes]
+            yield own_names, own_words, 1, n
+        each = word_hashes(own_words, own_names)
+        held = [p.value.holds(1, each)[ids] for p in passes]
+        each = each[ids]
+        hashes = each
         for k in range(2, longest + 1):
             if len(codes) < k:
                 return
             whole = piece[: len(codes) - k + 1] == piece[k - 1 :]
             fits = [whole & h[:-1] & h[1:] for h in held]
-            at = np.flatnonzero(np.logical_or.reduce(fits))
-            if not len(at):
-                return
-            found, place, back, n = np.unique(ids[at] * len(own) + word_ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-            hashes = longer(hashes[found // len(own)], own[found % len(own)])
-            new = fits[-1][at[place]]
+            new = fits[-1].copy()
             for f in fits[:-1]:
-                new &= ~f[at[place]]
-            if k >= least_k:
-                start = at[place[new]]
-                texts_of = [words.take(pa.array(codes[start + j])) for j in range(k)]
-                yield names.take(pa.array(tongue[start])), pc.binary_join_element_wise(*texts_of, " "), k, n[new]
-            ids = np.zeros(len(whole), np.int64)
-            ids[at] = back
-            held = []
-            for p, f in zip(passes, fits, strict=True):
-                ok = np.zeros(len(whole), bool)
-                ok[at] = f[at] & p.value.holds(k, hashes)[back]
-                held.append(ok)
+                new &= ~f
+            at = np.flatnonzero(new)
+            if k >= least_k and len(at):
+                same = ids[at]
+                for j in range(1, k):
+                    _, same, first, n = _numbered(same * len(pairs) + ids[at + j])
+                start = at[first]
+                yield own_names.take(pa.array(ids[start])), pc.binary_join_element_wise(*[own_words.take(pa.array(ids[start + j])) for j in range(k)], " "), k, n
+            if k == longest:
+                return
+            hashes = longer(hashes[: len(whole)], each[k - 1 :])
+            held = [np.zeros(len(whole), bool) for _ in passes]
+            for p, f, h in zip(passes, fits, held, strict=True):
+                at = np.flatnonzero(f)
+                h[at] = p.value.holds(k, hashes[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for texts in slices(batch.column(1), 8_000_000):
+            for texts in slices(batch.column(1), 3_000_000):
                 for names, phrases, k, n in slice_counts(batch.column(0).slice(done, len(texts)), texts):
                     yield pa.RecordBatch.from_arrays([names, phrases, pa.array(np.full(len(n), k), pa.int32()), pa.array(n, pa.int64())], ["lang", "phrase", "k", "n"])
                 done += len(texts)
