@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.cases import EVENTS, Cases, events, rounded
 from sluice.functions import decoders, grammar
-from sluice.session import shared_dir, table
+from sluice.session import scratch, table
 from sluice.sources import sinks
 
 CASES = Cases()
@@ -182,7 +180,7 @@ def schema_text_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 def experiment_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each message goes to the partition of every experiment that it is in; partitions are read back."""
     found = F.create_map(F.concat(F.lit("x"), (F.col("user_id") % 3).cast("string")), F.concat(F.lit("b"), (F.col("event_id") % 2).cast("string")), F.lit("all"), F.col("event_type"))
-    path = f"{shared_dir(spark)}/sluice/{uuid.uuid4().hex}/experiments"
+    path = scratch(spark, "experiments")
     sinks.write_partitioned(events(spark, sf_dir).select("event_id", "user_id", F.explode(found).alias("experiment", "branch")), path, ["experiment", "branch"])
     return spark.read.parquet(path).groupBy("experiment", "branch").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
@@ -215,7 +213,7 @@ def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CASES.add("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def delimited_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written for a bulk loader, by status, and read back."""
-    path = f"{shared_dir(spark)}/sluice/{uuid.uuid4().hex}/export"
+    path = scratch(spark, "export")
     sinks.write_delimited(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus"), path, "|", date="o_orderstatus")
     return spark.read.schema("o_orderkey long, o_orderpriority string, o_totalprice double, o_orderstatus string").option("sep", "|").csv(path).filter("o_orderstatus = 'F'").drop("o_orderstatus")
 

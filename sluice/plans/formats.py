@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.cases import EVENTS, Cases, events
 from sluice.functions import grammar
 from sluice.operators import blocks
-from sluice.session import shared_dir, table
+from sluice.session import scratch, table
 from sluice.sources import sinks
 
 CASES = Cases()
@@ -134,8 +132,7 @@ def hive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CASES.add(f"SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM {EVENTS} GROUP BY 1, 2")
 def parquet_partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written by dimension and day, read back with partition pruning at hand."""
-    base = shared_dir(spark)
-    path = f"{base}/sluice/{uuid.uuid4().hex}/events"
+    path = scratch(spark, "events")
     rows = events(spark, sf_dir).select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", "value")
     sinks.write_partitioned(rows, path, ["event_type", "day"])
     return spark.read.option("basePath", path).parquet(path).groupBy("event_type", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

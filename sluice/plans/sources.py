@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,14 +9,14 @@ from pyspark.sql import functions as F
 from sluice.cases import EVENTS, Cases, events, rounded
 from sluice.functions import decoders
 from sluice.operators import buildlog
-from sluice.session import shared_dir, table
+from sluice.session import scratch, table
 from sluice.sources import readers
 
 CASES = Cases()
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sluice/{uuid.uuid4().hex}/{name}"
+    return scratch(spark, name)
 
 
 @CASES.add(f"SELECT user_id, event_id * 3 AS first, 'BEGIN ' || event_type || chr(10) || '  k=' || json_extract(props, '$.k') || chr(10) || 'END' AS record FROM {EVENTS}")

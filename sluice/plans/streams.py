@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.cases import EVENTS, Cases
-from sluice.session import shared_dir
+from sluice.session import scratch
 from sluice.streaming import queries as streams
 
 CASES = Cases()
@@ -16,10 +14,9 @@ CASES = Cases()
 
 def _replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """The event table as a stream, and a fresh folder for checkpoint and output."""
-    base = shared_dir(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may name a file as well as a folder
-    return raw.withColumn("ts", F.col("ts").cast("timestamp")), f"{base}/sluice/{uuid.uuid4().hex}"
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark, "stream")
 
 
 @CASES.add(f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +56,13 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="sluice-")
     return _OWN[app]
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that is this application's."""
+    return f"{shared_dir(spark)}/sluice/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's own folder."""
+    return f"{own_folder(spark)}/{uuid.uuid4().hex}/{name}"
