@@ -5,9 +5,10 @@ negative border: every phrase, of those that occur, whose shorter parts were all
 out frequent has longer phrases that nobody counted; so another pass counts those, until none is left. Each phrase
 is counted in one pass, over all documents, and the result is that of counting all.
 
-Which phrases were proposed reaches the tasks as bit maps of bounded size. A phrase that meets another's bit is counted
-although it need not be; counts are of the phrases themselves, so nothing else changes. Tasks count before they
-shuffle, so neither a common word nor a large language meets in one task.
+These passes count phrases by 64-bit hashes, which shuffle and group cheaply. Two phrases that share a hash only look more frequent, so a last
+pass counts the text of those that look frequent, and those counts decide. Which phrases were proposed or look frequent reaches the tasks as
+bit maps of bounded size; a phrase that meets another's bit is counted although it need not be, and nothing else changes. Tasks
+count before they shuffle, so neither a common word nor a large language meets in one task.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from sluice.session import table
 SAMPLE, LOWERED = 4, 0.8
 #: Bits of a map for each phrase in it, and the largest map (32 MB) as a power of two. Larger sets fill it more: more phrases are counted.
 BITS_PER_PHRASE, MOST_BITS = 32, 28
+#: Bytes of text that a task counts at a time.
+SLICE = 2_000_000
 #: Parts that a language's phrases are ranked in before the best of all parts are.
 PARTS = 64
 
@@ -88,24 +91,6 @@ def longer(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
         return out ^ (out >> np.uint64(31))
 
 
-def _hashed(phrases: DataFrame) -> DataFrame:
-    """(k, h) for phrases (lang, phrase, k): the hash that the counting tasks give them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = pc.split_pattern(batch.column(1), " ")
-            each = word_hashes(parts.flatten(), batch.column(0).take(pc.list_parent_indices(parts)))
-            count = pc.list_value_length(parts).to_numpy()
-            first = np.cumsum(count) - count
-            out = each[first]
-            for j in range(1, int(count.max(initial=0))):
-                more = np.flatnonzero(count > j)
-                out[more] = longer(out[more], each[first[more] + j])
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out.view(np.int64))], ["k", "h"])
-
-    return phrases.select("lang", "phrase", "k").mapInArrow(run, "k int, h long")
-
-
 def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct values, number of each value among them, a place of each, how often it is there)."""
     coded = pa.array(values).dictionary_encode()
@@ -129,115 +114,156 @@ class Proposed:
         return (filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def proposed(phrases: DataFrame, longest: int) -> Proposed:
-    """The maps of phrases (lang, phrase, k) shorter than `longest`; the driver gets 2**MOST_BITS / 8 bytes a length at most."""
-    marked = settle(_hashed(phrases.filter((F.col("k") > 0) & (F.col("k") < longest))), "hashed")
-    sizes = {r["k"]: r["n"] for r in marked.groupBy("k").agg(F.count("*").alias("n")).collect()}
+def proposed(hashes: DataFrame, longest: int) -> Proposed:
+    """The maps of hashes (k, h) of up to `longest` words; the driver gets 2**MOST_BITS / 8 bytes a length at most."""
+    sizes = {r["k"]: r["n"] for r in hashes.filter(F.col("k") <= longest).groupBy("k").agg(F.count("*").alias("n")).collect()}
     bits = {k: max(10, min(MOST_BITS, (n * BITS_PER_PHRASE - 1).bit_length())) for k, n in sizes.items()}
     maps = {k: np.zeros(1 << b - 6, np.int64) for k, b in bits.items()}
     for k, b in bits.items():
         low = F.col("h").bitwiseAND(F.lit((1 << b) - 1))
-        places = marked.filter(F.col("k") == k).select(F.shiftright(low, 6).alias("word"), low.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+        places = hashes.filter(F.col("k") == k).select(F.shiftright(low, 6).alias("word"), low.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
         found = places.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
         maps[k][found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return Proposed({k: m.view(np.uint8) for k, m in maps.items()})
 
 
-def counted(docs: DataFrame, passes: list[Broadcast], least_k: int, longest: int) -> DataFrame:
-    """(lang, phrase, k, n) for docs (lang, text): the phrases of least_k to `longest` words that the last of passes admits and none before it.
-
-    A pass admits all words, and a longer phrase if it proposes both phrases with a word less, and so on down. The phrase of
-    no words stands for all word occurrences of a language.
-    """
-
-    def slice_counts(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, int, np.ndarray]]:
+@dataclass
+class Words:
+    """The words of some texts: each distinct word of a language, its number and hash in every place, and the places' pieces."""
+
+    names: pa.Array
+    words: pa.Array
+    hashes: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    piece: np.ndarray
+
+    @classmethod
+    def of(cls, names: pa.Array, tongue: np.ndarray, texts: pa.Array) -> Words:
+        """tongue: the number of each text's language among the names."""
         words, codes, piece, owner = tokens(texts)
-        tongues = langs.dictionary_encode()
-        names, tongue = tongues.dictionary, tongues.indices.to_numpy().astype(np.int64)[owner]
-        if least_k == 0:
-            yield names, pa.array([""] * len(names), pa.string()), 0, np.bincount(tongue, minlength=len(names))
-        if not len(codes):
-            return
-        pairs, ids, first, n = _numbered(tongue * len(words) + codes)
-        own_words, own_names = words.take(pa.array(pairs % len(words))), names.take(pa.array(pairs // len(words)))
-        if least_k <= 1:
-            yield own_names, own_words, 1, n
-        each = word_hashes(own_words, own_names)
-        held = [p.value.holds(1, each)[ids] for p in passes]
-        each = each[ids]
+        pairs, ids, _, counts = _numbered(tongue[owner] * max(1, len(words)) + codes)
+        own_words, own_names = words.take(pa.array(pairs % max(1, len(words)))), names.take(pa.array(pairs // max(1, len(words))))
+        return cls(own_names, own_words, word_hashes(own_words, own_names), ids, counts, piece)
+
+    def runs(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, whether k words from each place on lie in one piece, hash of each such run) for two words and more."""
+        each = self.hashes[self.ids]
         hashes = each
         for k in range(2, longest + 1):
-            if len(codes) < k:
+            if len(self.ids) < k:
                 return
-            whole = piece[: len(codes) - k + 1] == piece[k - 1 :]
+            hashes = longer(hashes[: len(self.ids) - k + 1], each[k - 1 :])
+            yield k, self.piece[: len(self.ids) - k + 1] == self.piece[k - 1 :], hashes
+
+    def phrases(self, start: np.ndarray, k: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """(languages, phrases, counts) of the runs of k words from these places on."""
+        same = self.ids[start]
+        for j in range(1, k):
+            _, same, _, _ = _numbered(same * len(self.words) + self.ids[start + j])
+        _, _, first, n = _numbered(same)
+        at = start[first]
+        return self.names.take(pa.array(self.ids[at])), pc.binary_join_element_wise(*[self.words.take(pa.array(self.ids[at + j])) for j in range(k)], " "), n
+
+
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """(names of languages, number of each text's language, texts) of batches (lang, text), a few megabytes at a time."""
+    for batch in batches:
+        done = 0
+        for texts in slices(batch.column(1), SLICE):
+            tongues = batch.column(0).slice(done, len(texts)).dictionary_encode()
+            yield tongues.dictionary, tongues.indices.to_numpy().astype(np.int64), texts
+            done += len(texts)
+
+
+def counted_hashes(docs: DataFrame, passes: list[Broadcast], least_k: int, longest: int) -> DataFrame:
+    """(k, h, n) for docs (lang, text): the phrases of least_k to `longest` words that the last of passes admits and none before it.
+
+    A pass admits all words, and a longer phrase if it proposes both phrases with a word less, and so on down.
+    """
+
+    def one(own: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if least_k <= 1:
+            yield 1, own.hashes, own.counts
+        held = [p.value.holds(1, own.hashes)[own.ids] for p in passes]
+        for k, whole, hashes in own.runs(longest):
             fits = [whole & h[:-1] & h[1:] for h in held]
             new = fits[-1].copy()
             for f in fits[:-1]:
                 new &= ~f
-            at = np.flatnonzero(new)
-            if k >= least_k and len(at):
-                same = ids[at]
-                for j in range(1, k):
-                    _, same, first, n = _numbered(same * len(pairs) + ids[at + j])
-                start = at[first]
-                yield own_names.take(pa.array(ids[start])), pc.binary_join_element_wise(*[own_words.take(pa.array(ids[start + j])) for j in range(k)], " "), k, n
+            if k >= least_k and new.any():
+                found, _, _, n = _numbered(hashes[new].view(np.int64))
+                yield k, found.view(np.uint64), n
             if k == longest:
                 return
-            hashes = longer(hashes[: len(whole)], each[k - 1 :])
             held = [np.zeros(len(whole), bool) for _ in passes]
             for p, f, h in zip(passes, fits, held, strict=True):
                 at = np.flatnonzero(f)
                 h[at] = p.value.holds(k, hashes[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = 0
-            for texts in slices(batch.column(1), 3_000_000):
-                for names, phrases, k, n in slice_counts(batch.column(0).slice(done, len(texts)), texts):
-                    yield pa.RecordBatch.from_arrays([names, phrases, pa.array(np.full(len(n), k), pa.int32()), pa.array(n, pa.int64())], ["lang", "phrase", "k", "n"])
-                done += len(texts)
+        for names, tongue, texts in _by_slice(batches):
+            for k, found, n in one(Words.of(names, tongue, texts)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(found.view(np.int64)), pa.array(n)], ["k", "h", "n"])
+
+    return docs.mapInArrow(run, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+
+
+def counted_phrases(docs: DataFrame, wanted: Broadcast, longest: int) -> DataFrame:
+    """(lang, phrase, k, n) for docs (lang, text): the phrases whose hashes are wanted. The phrase of no words stands for all words of a language."""
+
+    def one(names: pa.Array, tongue: np.ndarray, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, int, np.ndarray]]:
+        own = Words.of(names, tongue, texts)
+        yield own.names, pa.array([""] * len(own.words), pa.string()), 0, own.counts
+        held = np.flatnonzero(wanted.value.holds(1, own.hashes))
+        yield own.names.take(pa.array(held)), own.words.take(pa.array(held)), 1, own.counts[held]
+        for k, whole, hashes in own.runs(longest):
+            start = np.flatnonzero(whole)
+            start = start[wanted.value.holds(k, hashes[start])]
+            yield *(found := own.phrases(start, k))[:2], k, found[2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, tongue, texts in _by_slice(batches):
+            for langs, phrases, k, n in one(names, tongue, texts):
+                yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(np.full(len(n), k, np.int32)), pa.array(n)], ["lang", "phrase", "k", "n"])
 
-    made = docs.mapInArrow(run, "lang string, phrase string, k int, n long")
-    return made.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "lang string, phrase string, k int, n long").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, sample: int = SAMPLE) -> DataFrame:
     """(lang, phrase, k, n): all phrases of up to `longest` words that occur `least` times in a language, with all their occurrences.
 
-    The row with k = 0 has all word occurrences of a language. A null lang is `und`; an empty table gives no rows.
+    The row with k = 0 has all word occurrences of a language, if there are any. A null lang is `und`; an empty table gives no rows.
     """
     send = docs.sparkSession.sparkContext.broadcast
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.col("text")).alias("id"))
     few = rows.filter(F.pmod(F.xxhash64("id"), F.lit(sample)) == 0).select("lang", "text")
     rows = rows.select("lang", "text")
     lowered = max(1, int(LOWERED * least / sample))
-    guess, parts = send(Proposed({})), []
+    guess = send(Proposed({}))
     for k in range(1, longest):
-        parts.append(settle(counted(few, [guess], k, k).filter(F.col("n") >= lowered), "proposed"))
-        guess = send(Proposed(guess.value.maps | proposed(parts[-1], longest).maps))
+        guess = send(Proposed(guess.value.maps | proposed(settle(counted_hashes(few, [guess], k, k).filter(F.col("n") >= lowered), "proposed"), k).maps))
     passes, found = [guess], None
     while True:
-        new = settle(counted(rows, passes, 2 if found else 0, longest).filter((F.col("n") >= least) | (F.col("k") == 0)), "counted")
+        new = settle(counted_hashes(rows, passes, 2 if found else 1, longest).filter(F.col("n") >= least), "counted")
         found = found.union(new) if found else new
-        known = passes[-1].value.maps
-        if all(_missing(new, k, known) == 0 for k in range(1, longest)):
-            return found
-        passes.append(send(proposed(found, longest)))
+        if not _missing(new, passes[-1], longest - 1):
+            break
+        passes.append(send(proposed(found, longest - 1)))
+    wanted = send(proposed(found, longest))
+    return settle(counted_phrases(rows, wanted, longest).filter((F.col("n") >= least) | (F.col("k") == 0)), "phrases")
 
 
-def _missing(phrases: DataFrame, k: int, maps: dict[int, np.ndarray]) -> int:
-    """How many phrases of k words the maps don't hold: failures of the border."""
-    hashed = _hashed(phrases.filter(F.col("k") == k))
-    if k not in maps:
-        return hashed.limit(1).count()
-    sent = phrases.sparkSession.sparkContext.broadcast(Proposed({k: maps[k]}))
+def _missing(hashes: DataFrame, known: Broadcast, longest: int) -> bool:
+    """Whether the maps lack any of these phrases of up to `longest` words: failures of the border."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(1).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([int((~sent.value.holds(k, h)).sum())], pa.int64())], ["n"])
+            ks, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            lost = sum(int((~known.value.holds(int(k), h[ks == k])).sum()) for k in np.unique(ks))
+            yield pa.RecordBatch.from_arrays([pa.array([lost], pa.int64())], ["n"])
 
-    return hashed.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return (hashes.filter(F.col("k") <= longest).select("k", "h").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0) > 0
 
 
 def collocations(found: DataFrame, least_words: int = 2, most: int = 2000, covered: int = 50) -> DataFrame:
