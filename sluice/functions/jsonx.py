@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,3 +55,39 @@ def merge_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     spread = df.select(*keys, F.explode(column).alias("name", "number"))
     sums = spread.groupBy(*keys, "name").agg(F.sum("number").alias("number"))
     return sums.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "number")))).alias(column))
+
+
+def packed(df: DataFrame, column: str) -> DataFrame:
+    """df with the bytes of a column packed with gzip; null stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if x is None else gzip.compress(x, mtime=0) for x in batch.column(column).to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(made, pa.binary()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def unpacked(df: DataFrame, column: str, most: int = 64 << 20) -> DataFrame:
+    """df with the bytes of a column unpacked where they begin as gzip does, and unpack_error, null where that went well.
+
+    Broken bytes, and ones that unpack to more than `most` bytes, become null with an error; others stay as they are.
+    """
+
+    def one(data: bytes | None) -> tuple[bytes | None, str | None]:
+        if not (data or b"").startswith(b"\x1f\x8b"):
+            return data, None
+        reader = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        try:
+            made = reader.decompress(data, most + 1)
+        except zlib.error:
+            return None, "broken"
+        return (None, "too long") if len(made) > most else (made, None) if reader.eof else (None, "cut")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [one(x) for x in batch.column(column).to_pylist()]
+            whole = batch.set_column(batch.schema.get_field_index(column), column, pa.array([d[0] for d in done], pa.binary()))
+            yield whole.append_column("unpack_error", pa.array([d[1] for d in done], pa.string()))
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("unpack_error", T.StringType())]))
