@@ -214,7 +214,10 @@ def counted_phrases(docs: DataFrame, wanted: Broadcast, longest: int) -> DataFra
 
     def one(names: pa.Array, tongue: np.ndarray, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, int, np.ndarray]]:
         own = Words.of(names, tongue, texts)
-        yield own.names, pa.array([""] * len(own.words), pa.string()), 0, own.counts
+        tongues = own.names.dictionary_encode()
+        every = np.zeros(len(tongues.dictionary), np.int64)
+        np.add.at(every, tongues.indices.to_numpy(), own.counts)
+        yield tongues.dictionary, pa.array([""] * len(every), pa.string()), 0, every
         held = np.flatnonzero(wanted.value.holds(1, own.hashes))
         yield own.names.take(pa.array(held)), own.words.take(pa.array(held)), 1, own.counts[held]
         for k, whole, hashes in own.runs(longest):
