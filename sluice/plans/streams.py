@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.cases import EVENTS, Cases
 from sluice.session import scratch
 from sluice.streaming import queries as streams
+from sluice.streaming import state
 
 CASES = Cases()
 
@@ -77,3 +78,26 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams.run_with_dead_letters(streams.guarded(skewed, "2900-01-01"), f"{at}/ok", f"{at}/dead", f"{at}/checkpoint")
     both = [spark.read.parquet(f"{at}/{name}") for name in ("ok", "dead")]
     return both[0].unionByName(both[1]).groupBy("verdict", "event_type").agg(F.count("*").alias("n"))
+
+
+@CASES.add(f"""
+    WITH e AS (SELECT event_id, user_id, event_type, sec, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM {EVENTS}),
+    p AS (SELECT *, lag(i) OVER w AS j, lag(sec) OVER w AS before FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY i))
+    SELECT event_id, user_id, event_type AS attribute FROM p WHERE j IS NULL OR sec - before > 864000 OR (SELECT count(DISTINCT q.event_type) FROM e q WHERE q.user_id = p.user_id AND q.i > p.j AND q.i < p.i) >= 3""")
+def stream_new_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types that aren't among a user's three most recent ones, from a map of state with timers."""
+    rows, at = _replay(spark, sf_dir)
+    state.run(spark, state.new_attributes(rows), lambda s: streams.run_to_parquet(s, f"{at}/out", f"{at}/checkpoint"))
+    return spark.read.schema("event_id long, user_id long, attribute string").parquet(f"{at}/out")
+
+
+@CASES.add(f"""
+    WITH RECURSIVE s AS (SELECT event_id, user_id, event_type AS attribute, sec, lag(event_type) OVER w AS other, lag(event_type, 2) OVER w AS first, sec - lag(sec, 2) OVER w AS width FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY sec, event_id)),
+    a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM s WHERE attribute = first AND attribute <> other AND width <= 432000),
+    r AS (SELECT *, sec AS sent FROM a WHERE i = 1 UNION ALL SELECT a.*, CASE WHEN a.sec - r.sent > 604800 THEN a.sec ELSE r.sent END FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1)
+    SELECT event_id, user_id, attribute, other, width FROM r WHERE sec = sent""")
+def stream_back_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that go to another event type and back within five days; interim alerts are held back for a week."""
+    rows, at = _replay(spark, sf_dir)
+    state.run(spark, state.back_again(rows, 432_000, 604_800), lambda s: streams.run_to_parquet(s, f"{at}/out", f"{at}/checkpoint"))
+    return spark.read.schema("event_id long, user_id long, attribute string, other string, width long").parquet(f"{at}/out")
