@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from sluice.streaming import queries as streams
+from sluice.streaming import state
 
 START = dt.datetime(2024, 1, 1)
 
@@ -96,3 +99,82 @@ def test_readers_and_alerts_of_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(seen) == [3, 4]
+
+
+def _plain_new(rows, slots, expiry):
+    """(event_id, attribute) of rows (event_id, minute, user, attribute) that are new to their user, all in one go."""
+    found, seen = set(), {}
+    for sec, i, user, attribute in sorted((m * 60, i, u, t) for i, m, u, t in rows):
+        own = seen.setdefault(user, {})
+        for old in [a for a, t in own.items() if sec - t > expiry]:
+            del own[old]
+        if attribute not in own:
+            found.add((i, attribute))
+        own.pop(attribute, None)
+        own[attribute] = sec
+        if len(own) > slots:
+            del own[next(iter(own))]
+    return found
+
+
+def test_new_attributes_over_batches_and_a_restart(spark, tmp_path):
+    """State lives on in RocksDB: a query that stops after some batches goes on where it was, and attributes expire."""
+    rng = random.Random(11)
+    rows = [(k, 40 * k + rng.randrange(30), rng.randrange(3), rng.choice("abcdef")) for k in range(120)]
+    batches = [[(i, m, u, t, 1.0) for i, m, u, t in rows[k : k + 20]] for k in range(0, 120, 20)]
+    _write(spark, tmp_path / "in", batches[:3])
+    made = lambda: state.new_attributes(streams.event_stream(spark, str(tmp_path / "in")), 3, 7200, "0 seconds")
+    for part in (None, batches[3:]):
+        if part:
+            _more(spark, tmp_path / "in", part, 3)
+        state.run(spark, made(), lambda s: streams.run_to_parquet(s, str(tmp_path / "out"), str(tmp_path / "check")))
+    got = {(r["event_id"], r["attribute"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == _plain_new(rows, 3, 7200)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != state.ROCKS
+
+
+def _more(spark, path, batches, first):
+    for k, part in enumerate(batches, first):
+        _write_one(spark, path, part, k)
+
+
+def _write_one(spark, path, rows, k):
+    made = [(i, START + dt.timedelta(minutes=m), u, t, v, "{}") for i, m, u, t, v in rows]
+    spark.createDataFrame(made, streams.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(path))
+    for name in os.listdir(path):
+        if name.endswith(".parquet") and not name.startswith("seen"):
+            os.rename(f"{path}/{name}", f"{path}/seen-{k:03d}.parquet")
+
+
+def test_timers_empty_the_state(spark, tmp_path):
+    """Once the watermark has passed its expiry, a user's state is gone without another row of theirs."""
+    _write(spark, tmp_path / "in", [[(1, 0, 1, "a", 1.0), (2, 0, 2, "a", 1.0)], [(3, 500, 2, "b", 1.0)], [(4, 501, 2, "b", 1.0)], [(5, 502, 2, "b", 1.0)]])
+    made = state.new_attributes(streams.event_stream(spark, str(tmp_path / "in")), 3, 3600, "0 seconds")
+    state.run(spark, made, lambda s: streams.run_to_parquet(s, str(tmp_path / "out"), str(tmp_path / "check")))
+    with state.rocks_state(spark):
+        held = spark.read.format("statestore").option("stateVarName", "seen").load(str(tmp_path / "check")).select("key.user_id").distinct().collect()
+    assert {r[0] for r in held} == {2}
+
+
+def test_back_and_forth_is_told_once(spark, tmp_path):
+    steps = [(0, "a"), (10, "b"), (20, "a"), (30, "b"), (40, "a"), (400, "b"), (410, "a"), (2000, "b"), (4000, "a")]
+    _write(spark, tmp_path / "in", [[(k, m, 7, t, 1.0)] for k, (m, t) in enumerate(steps)])
+    found = {}
+    for quiet in (0, 3600):
+        made = state.back_again(streams.event_stream(spark, str(tmp_path / "in")), 3600, quiet, "0 seconds")
+        state.run(spark, made, lambda s, q=quiet: streams.run_to_parquet(s, str(tmp_path / f"out{q}"), str(tmp_path / f"check{q}")))
+        found[quiet] = [(r["event_id"], r["other"], r["width"]) for r in spark.read.parquet(str(tmp_path / f"out{quiet}")).orderBy("event_id").collect()]
+    assert found[0] == [(2, "b", 1200), (3, "a", 1200), (4, "b", 1200)]
+    assert found[3600] == [(2, "b", 1200)]
+
+
+def test_alerts_come_once_until_the_clock_has_run_out(spark, tmp_path):
+    _write(spark, tmp_path / "in", [[(1, 0, 1, "a", 1.0), (2, 1, 1, "a", 1.0), (3, 2, 1, "b", 1.0)]])
+    go = lambda alive: state.run(spark, state.once_in_a_while(streams.event_stream(spark, str(tmp_path / "in")), alive), lambda s: s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(once=True).start().awaitTermination(60))
+    ids = lambda: sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    go(4000)
+    assert ids() == [1, 3]
+    time.sleep(5)
+    _write_one(spark, tmp_path / "in", [(4, 3, 1, "a", 1.0), (5, 4, 1, "a", 1.0)], 1)
+    go(4000)
+    assert ids() == [1, 3, 4]
