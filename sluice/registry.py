@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import catalogues, ci, decoders, doctypes, documents, formats, ingest, logs, monitors, programs, security, series, sources, streams, structures, summaries, telemetry, transport, writes
+from sluice.plans import catalogues, ci, decoders, doctypes, documents, formats, ingest, logrules, logs, monitors, programs, security, series, sources, streams, structures, summaries, telemetry, transport, writes
 
-CASES = [m.CASES for m in (monitors, series, structures, logs, telemetry, security, ci, formats, programs, ingest, streams, doctypes, decoders, sources, transport, summaries, documents, writes, catalogues)]
+CASES = [m.CASES for m in (monitors, series, structures, logs, telemetry, security, ci, formats, programs, ingest, streams, doctypes, decoders, sources, transport, summaries, documents, writes, catalogues, logrules)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
