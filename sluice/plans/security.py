@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.cases import EVENTS, Cases, events, floor_to, rounded
-from sluice.functions import net, programs
-from sluice.operators import alerts
+from sluice.functions import injection, net, programs
+from sluice.operators import alerts, paths
 from sluice.session import table
 
 CASES = Cases()
@@ -79,38 +79,19 @@ def simuse_aba(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("track = first and track <> other and width <= 43200").select("event_id", "user_id", "track", "other", "width")
 
 
-_PATHS = ("click", "view")
-
-
-def _repeats(rows: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by client and time; how often each client goes through the path set in a row."""
-    client, place, runs, best = None, 0, 0, 0
-    for part in rows:
-        out = []
-        for who, path in zip(part["user_id"], part["event_type"], strict=True):
-            if who != client:
-                if client is not None and best >= least:
-                    out.append((client, best))
-                client, place, runs, best = who, 0, 0, 0
-            if path == _PATHS[place]:
-                place += 1
-                if place == len(_PATHS):
-                    place, runs = 0, runs + 1
-                    best = max(best, runs)
-            else:
-                place, runs = (1 if path == _PATHS[0] else 0), 0
-        yield pd.DataFrame(out, columns=["user_id", "runs"])
-    if client is not None and best >= least:
-        yield pd.DataFrame([(client, best)], columns=["user_id", "runs"])
+#: Ordered path sets of the query, by name.
+PATH_SETS = {"look": ("click", "view"), "three": ("view", "click", "purchase"), "same": ("view", "view")}
+_RUNS = """SELECT '{name}' AS name, user_id, CAST(max(length(run) // {m}) AS BIGINT) AS runs FROM (SELECT user_id, unnest(regexp_extract_all(path, '({text})+')) AS run FROM t) GROUP BY 2"""
 
 
 @CASES.add(f"""
-    WITH t AS (SELECT user_id, string_agg(CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' ELSE 'x' END, '' ORDER BY sec, event_id) AS path FROM {EVENTS} GROUP BY 1)
-    SELECT user_id, CAST(max(length(run) // 2) AS BIGINT) AS runs FROM (SELECT user_id, unnest(regexp_extract_all(path, '(cv)+')) AS run FROM t) GROUP BY 1""")
+    WITH t AS (SELECT user_id, string_agg(CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' WHEN 'purchase' THEN 'p' ELSE 'x' END, '' ORDER BY sec, event_id) AS path FROM {EVENTS} GROUP BY 1),
+    d AS (SELECT user_id, count(DISTINCT event_type) AS paths FROM {EVENTS} GROUP BY 1),
+    r AS ({_RUNS.format(name='look', m=2, text='cv')} UNION ALL {_RUNS.format(name='three', m=3, text='vcp')} UNION ALL {_RUNS.format(name='same', m=2, text='vv')})
+    SELECT name, user_id, runs, paths FROM r JOIN d USING (user_id) WHERE runs >= 2 AND paths < 6""")
 def pathset_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clients that walk an ordered set of paths again and again: an automaton over sorted rows."""
-    rows = events(spark, sf_dir).select("user_id", "event_type", "sec", "event_id").repartition("user_id").sortWithinPartitions("user_id", "sec", "event_id")
-    return rows.mapInPandas(lambda parts: _repeats(parts, 1), "user_id long, runs long")
+    """Clients that walk an ordered set of paths at least twice in a row, for several sets; clients with six paths or more are left out."""
+    return paths.repeated_sets(events(spark, sf_dir), "user_id", "event_type", ["sec", "event_id"], PATH_SETS, least=2, most_paths=6)
 
 
 @CASES.add("""
@@ -176,19 +157,15 @@ def threshold_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.with_threshold(means, "event_type", limits, "limit", 99.0).filter("mean > threshold").select("event_type", "n", "mean", "threshold")
 
 
-_XSS = r"(?i)<\s*script|on(error|load|click)\s*=|javascript:"
-_SQLI = r"(?i)('|%27)\s*(or|and)\s+|union\s+select|;\s*drop\s+table|--\s*$"
-
-
 @CASES.add("""
-    WITH u AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE page_id % 5 WHEN 0 THEN 'xss' WHEN 1 THEN 'sqli' END AS kind FROM pages WHERE url IS NOT NULL)
+    WITH u AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE page_id % 7 WHEN 0 THEN 'xss' WHEN 1 THEN 'sqli' WHEN 2 THEN 'sqli' WHEN 3 THEN 'xss' END AS kind FROM pages WHERE url IS NOT NULL)
     SELECT host, kind, count(*) AS n, max(page_id) AS last FROM u WHERE kind IS NOT NULL GROUP BY 1, 2""")
 def webinj_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query parameters that look like script or SQL injection, counted by host with the last example."""
-    attack = F.when(F.col("page_id") % 5 == 0, "q=<script>x</script>").when(F.col("page_id") % 5 == 1, "q=1%27 OR 1=1").otherwise("q=tea")
-    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.explode(F.str_to_map(F.concat(attack, F.lit("&lang=en")), F.lit("&"), F.lit("="))).alias("name", "value"))
-    kind = F.when(F.col("value").rlike(_XSS), "xss").when(F.col("value").rlike(_SQLI), "sqli")
-    return rows.withColumn("kind", kind).filter("kind is not null").groupBy("host", "kind").agg(F.count("*").alias("n"), F.max("page_id").alias("last"))
+    """Query parameters that look like script or SQL injection, counted by host with the last example; others only hold their words."""
+    sent = F.array(*map(F.lit, ("<script>x</script>", "1%27 OR 1=1", "7 union all select name, key from users", "%22 onfocus%3D%22x()", "union of select committees or clubs", "d'Artagnan and 2 others", "tea")))
+    query = F.concat(F.lit("q="), F.element_at(sent, (F.col("page_id") % 7 + 1).cast("int")), F.lit("&lang=en"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.explode(F.str_to_map(query, F.lit("&"), F.lit("="))).alias("name", "value"))
+    return rows.withColumn("kind", injection.kind(F.col("value"))).filter("kind is not null").groupBy("host", "kind").agg(F.count("*").alias("n"), F.max("page_id").alias("last"))
 
 
 @CASES.add(f"SELECT event_id, 'user ' || user_id || ' ' || event_type || ' at ' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS text FROM {EVENTS} WHERE event_type IN ('signup', 'purchase')")
