@@ -223,3 +223,34 @@ def ping(document: Column | str) -> Column:
         read("$.environment.settings.isDefaultBrowser").try_cast("boolean").alias("is_default"), read("$.environment.profile.creationDate").try_cast("long").alias("profile_day"),
         F.coalesce(F.size(F.json_object_keys(read("$.environment.addons.activeAddons"))), F.lit(0)).alias("addons"), hours(F.coalesce(read("$.payload.info.subsessionLength").try_cast("long"), F.lit(0))).alias("hours"),
     )
+
+
+def user_name(*columns: str) -> Column:
+    """The user's name out of the first column that has one: what stands before the @ of an address, also within a directory entry, else the last part of a role's path."""
+    found = []
+    for name in columns:
+        address, role = F.regexp_extract(name, r"(?:^|[=<,;\s])([^@=<,;\s]+)@[^@\s]+", 1), F.regexp_extract(name, r"^arn:[^/]*/(?:.*/)?([^/]+)$", 1)
+        found += [F.nullif(address, F.lit("")), F.nullif(role, F.lit(""))]
+    return F.coalesce(*found)
+
+
+def set_headers(df: DataFrame, rules: dict[str, tuple]) -> DataFrame:
+    """df with header columns set by rules, all from the columns as they were before.
+
+    ("value", x) sets a constant, ("field", name) another column, ("first", [names], default) the first that isn't null, and ("template",
+    text) a text in which %{name} stands for a column, empty where that is null.
+    """
+
+    def made(kind: str, *rest: object) -> Column:
+        if kind == "value":
+            return F.lit(rest[0])
+        if kind == "field":
+            return F.col(str(rest[0]))
+        if kind == "first":
+            return F.coalesce(*[F.col(c) for c in rest[0]], *[F.lit(d) for d in rest[1:]])
+        if kind == "template":
+            parts = re.split(r"%\{([^}]*)\}", str(rest[0]))
+            return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+        raise ValueError(f"no such rule: {kind}")
+
+    return df.withColumns({name: made(*rule) for name, rule in rules.items()})

@@ -155,11 +155,18 @@ SYSTEMS = (
 
 
 def user_agent(text: Column) -> Column:
-    """A struct (browser, version, os), each null where the text doesn't say."""
-    browser, version, system = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    """A struct (browser, version, os), each null where the text doesn't say.
+
+    The first name of each table that is there wins; its pattern alone reads the version.
+    """
+    browser, version = F.lit(None).cast("string"), F.lit(None).cast("string")
     for pattern, name in reversed(BROWSERS):
-        found = text.rlike(pattern)
+        # A pattern's own words are looked for before the pattern is tried: most agents lack most of them.
+        word = re.match(r"[\w -]+|\(\?:(\w+)", pattern)
+        plain = text.contains(word[0]) if word and not word[1] else F.lit(True)
+        found = plain & text.rlike(pattern)
         browser, version = F.when(found, name).otherwise(browser), F.when(found, F.regexp_extract(text, pattern, 1)).otherwise(version)
+    system = F.lit(None).cast("string")
     for mark, name in reversed(SYSTEMS):
         system = F.when(text.contains(mark), name).otherwise(system)
     return F.struct(browser.alias("browser"), version.try_cast("int").alias("version"), system.alias("os"))

@@ -68,3 +68,16 @@ def from_text(lines: DataFrame, columns: list[str]) -> DataFrame:
     """The inverse of to_text."""
     parts = F.split("line", "\t")
     return lines.select("bucket", *[F.nullif(F.get(parts, F.lit(k)), F.lit("nan")).try_cast("double").alias(c) for k, c in enumerate(columns)])
+
+
+def off_days(rows: DataFrame, keys: list[str], day: str, value: str, days: int, deviations: float, least: float, slack: float = 0.0) -> DataFrame:
+    """(keys, day, value, mean, sd): days whose sum is so many standard deviations, and more than `least`, off the mean of the days before, on either side.
+
+    The days before are those of the last `days` that have rows, two at least; null keys are keys. Sums are made before the window, which so
+    holds a row for each day. slack is what a difference must exceed the deviations by, against rounding.
+    """
+    daily = rows.groupBy(*keys, day).agg(F.sum(value).alias(value))
+    before, x = W.partitionBy(*keys).orderBy(day).rangeBetween(-days, -1), F.col(value).cast("double")
+    held = daily.withColumns({"mean": F.avg(x).over(before), "sd": F.stddev_pop(x).over(before), "__n": F.count("*").over(before)})
+    off = F.abs(x - F.col("mean"))
+    return held.filter((F.col("__n") >= 2) & (off - deviations * F.col("sd") >= slack) & (off > least)).drop("__n")

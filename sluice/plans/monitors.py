@@ -120,18 +120,19 @@ def plugin_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.filter((F.col("n") >= 5) & (percent > 20)).select("user_id", "n", "failures", rounded(percent, "percent"))
 
 
-@CASES.add("""
-    WITH h AS (SELECT o_orderpriority AS kind, o_orderstatus AS status, CAST(epoch_us(o_orderdate) // 86400000000 AS BIGINT) AS day, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS hours FROM orders GROUP BY ALL),
-    l AS (SELECT max(day) AS last FROM h),
-    s AS (SELECT kind, status, avg(hours)::DOUBLE AS mean, stddev_pop(hours)::DOUBLE AS sd FROM h, l WHERE day BETWEEN last - 60 AND last - 1 GROUP BY 1, 2)
-    SELECT h.kind, h.status, h.day, h.hours::DOUBLE AS hours, round(mean, 4) AS mean, round(sd, 4) AS sd FROM h JOIN l ON h.day > l.last - 30
-    JOIN s ON h.kind IS NOT DISTINCT FROM s.kind AND h.status IS NOT DISTINCT FROM s.status WHERE h.hours > mean + sd""")
+#: DuckDB: days whose use is off, by a set of keys of `o`.
+_ANOMALY = """SELECT '{label}' AS keys, {shown}, day, hours::DOUBLE AS hours, round(mean, 4) AS mean, round(sd, 4) AS sd FROM (SELECT *, avg(hours::DOUBLE) OVER w AS mean, stddev_pop(hours::DOUBLE) OVER w AS sd, count(*) OVER w AS n
+    FROM (SELECT {keys}, day, sum(hours) AS hours FROM o GROUP BY ALL) WINDOW w AS (PARTITION BY {keys} ORDER BY day RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING)) WHERE n >= 2 AND abs(hours::DOUBLE - mean) - 3 * sd >= 0.005 AND abs(hours::DOUBLE - mean) > 1000"""
+
+
+@CASES.add(f"""
+    WITH o AS (SELECT o_orderpriority AS kind, CASE WHEN o_custkey % 10 > 0 THEN o_orderstatus END AS status, o_custkey % 3 AS zone, CAST(epoch_us(o_orderdate) // 86400000000 AS BIGINT) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS hours FROM orders)
+    {_ANOMALY.format(label='kind,status,zone', shown='kind, status, zone', keys='kind, status, zone')} UNION ALL {_ANOMALY.format(label='kind,status', shown='kind, status, NULL AS zone', keys='kind, status')}""")
 def usage_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recent days whose use exceeds the mean of the sixty days before the last by a standard deviation; keys may be null."""
+    """Days whose use is three standard deviations and 1,000 off the mean of the seven days before, by two sets of keys; keys may be null."""
     orders = table(spark, sf_dir, "orders")
     day = F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86_400_000_000).cast("long")
-    daily = orders.groupBy(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("status"), day.alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("hours"))
-    dated = daily.withColumn("last", daily.agg(F.max("day")).scalar())
-    past = dated.filter("day between last - 60 and last - 1").groupBy(F.col("kind").alias("k"), F.col("status").alias("s")).agg(F.avg(F.col("hours").cast("double")).alias("mean"), F.stddev_pop(F.col("hours").cast("double")).alias("sd"))
-    found = dated.filter("day > last - 30").join(past, F.col("kind").eqNullSafe(F.col("k")) & F.col("status").eqNullSafe(F.col("s"))).filter("hours > mean + sd")
-    return found.select("kind", "status", "day", F.col("hours").cast("double").alias("hours"), rounded(F.col("mean"), "mean", 4), rounded(F.col("sd"), "sd", 4))
+    rows = orders.select(F.col("o_orderpriority").alias("kind"), F.when(F.col("o_custkey") % 10 > 0, F.col("o_orderstatus")).alias("status"), (F.col("o_custkey") % 3).alias("zone"), day.alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("hours"))
+    made = [series.off_days(rows, list(keys), "day", "hours", 7, 3.0, 1000.0, 0.005).withColumn("keys", F.lit(",".join(keys))) for keys in (("kind", "status", "zone"), ("kind", "status"))]
+    both = made[0].unionByName(made[1], allowMissingColumns=True)
+    return both.select("keys", "kind", "status", "zone", "day", F.col("hours").cast("double").alias("hours"), rounded(F.col("mean"), "mean", 4), rounded(F.col("sd"), "sd", 4))

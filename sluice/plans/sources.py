@@ -69,11 +69,18 @@ def escape_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", decoders.unescape_c(written).alias("text"), F.try_url_decode(percent).alias("percent"))
 
 
-@CASES.add("SELECT c_custkey, 'u' || c_nationkey AS owner, lower(c_mktsegment) AS kind, 7 AS pid FROM customer")
+@CASES.add("""
+    WITH c AS (SELECT c_custkey, c_nationkey AS n, lower(c_mktsegment) AS kind, c_custkey % 4 AS form FROM customer)
+    SELECT c_custkey, CASE form WHEN 0 THEN 'u' || n WHEN 1 THEN 'v' || n WHEN 2 THEN 'w' || n END AS user, kind AS type, CASE WHEN form = 3 THEN 'none' ELSE 'host-' || n END AS hostname, 'login ' || CASE form WHEN 0 THEN 'u' || n WHEN 1 THEN 'v' || n WHEN 2 THEN 'w' || n ELSE '' END || ' (' || kind || ')' AS payload, 7 AS pid FROM c""")
 def message_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header fields set from others: the owner's name out of an address, a type in lower case, a fixed pid."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.format_string("u%d@example.com", F.col("c_nationkey")).alias("mail"), "c_mktsegment")
-    return rows.select("c_custkey", F.regexp_extract("mail", "^([^@]+)@", 1).alias("owner"), F.lower("c_mktsegment").alias("kind"), F.lit(7).alias("pid"))
+    """Headers set by rules: values, other fields, the first field that is there, templates; and the user's name out of an address or a role."""
+    n, form = F.col("c_nationkey").cast("string"), F.col("c_custkey") % 4
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.lower("c_mktsegment").alias("kind"), F.when(form == 0, F.concat(F.lit("u"), n, F.lit("@example.com"))).when(form == 1, F.concat(F.lit("ou=people,mail=v"), n, F.lit("@example.org,o=x"))).alias("mail"),
+        F.when(form == 2, F.concat(F.lit("arn:aws:sts::1:assumed-role/ops/w"), n)).alias("role"), F.when(form < 2, F.concat(F.lit("host-"), n)).alias("server"), F.when(form < 3, F.concat(F.lit("host-"), n)).alias("host"),
+    )
+    named = rows.withColumn("user", decoders.user_name("mail", "role"))
+    return decoders.set_headers(named, {"type": ("field", "kind"), "hostname": ("first", ["server", "host"], "none"), "payload": ("template", "login %{user} (%{kind})"), "pid": ("value", 7)}).select("c_custkey", "user", "type", "hostname", "payload", "pid")
 
 
 @CASES.add(f"""
@@ -135,13 +142,11 @@ def _build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CASES.add(f"""
-    WITH {BUILD}, p AS (SELECT *, CASE WHEN i < 2 THEN 'setup' WHEN i > n - 1 THEN 'teardown' ELSE 'task' END AS phase FROM t WHERE n > 3)
+    WITH {BUILD}, p AS (SELECT *, CASE WHEN i < 2 THEN 'setup' WHEN n = 3 THEN 'task' WHEN i > n - 1 THEN 'teardown' ELSE 'task' END AS phase FROM t)
     SELECT user_id, phase, count(*) AS lines, count(*) FILTER (i > 1 AND event_type = 'error') AS errors, max(moment) - min(moment) AS seconds FROM p GROUP BY 1, 2""")
 def build_log_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, errors and seconds of each phase of a task, from its log; clocks pass midnight."""
-    lines = _build_lines(spark, sf_dir)
-    long = lines.groupBy("user_id").count().filter("count > 3").select("user_id")
-    rows = buildlog.timed(lines.join(long, "user_id"), ["user_id"], "i")
+    rows = buildlog.timed(_build_lines(spark, sf_dir), ["user_id"], "i")
     return buildlog.totals(buildlog.phases(rows, ["user_id"], "i"), ["user_id"]).withColumn("seconds", F.col("seconds").cast("long"))
 
 

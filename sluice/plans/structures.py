@@ -20,11 +20,13 @@ def active_users_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy(day.alias("day")).agg(F.count_distinct("user_id").alias("users"), F.count_distinct(F.when(F.col("event_type") == "purchase", F.col("user_id"))).alias("buyers"))
 
 
-@CASES.add()
+@CASES.add(f"SELECT sec // 86400 AS day, count(DISTINCT user_id) AS users, true AS close FROM {EVENTS} GROUP BY 1")
 def active_users_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by mergeable sketches: hourly ones are merged into days."""
+    """The same by mergeable sketches: hourly ones are merged into days; users is exact, and close if the sketch is within three per cent of it."""
     hourly = sketches.partial_distinct(events(spark, sf_dir).withColumn("hour", F.floor(F.col("sec") / 3600)), ["hour"], "user_id")
-    return sketches.merged(hourly.withColumn("day", F.floor(F.col("hour") / 24).cast("long")), ["day"]).select("day", sketches.estimate().alias("users"))
+    made = sketches.merged(hourly.withColumn("day", F.floor(F.col("hour") / 24).cast("long")), ["day"]).select("day", sketches.estimate().alias("estimate"))
+    exact = events(spark, sf_dir).groupBy(F.floor(F.col("sec") / 86400).cast("long").alias("day")).agg(F.count_distinct("user_id").alias("users"))
+    return exact.join(made, "day").select("day", "users", (F.abs(F.col("estimate") - F.col("users")) <= F.col("users") * 0.03).alias("close"))
 
 
 @CASES.add(f"SELECT event_type, CAST(extract(dow FROM ts) AS INTEGER) AS weekday, count(DISTINCT user_id) AS users FROM {EVENTS} GROUP BY 1, 2")
@@ -209,11 +211,14 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.md5("c_name").alias("md5"), F.sha2("c_name", 256).alias("sha256"), F.substring(F.sha1("c_name"), 1, 8).alias("sha1"))
 
 
-@CASES.add()
+@CASES.add("SELECT 16 AS buckets, count(DISTINCT event_id) AS ids, count(*) AS n, true AS even FROM events")
 def hash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How evenly a 64-bit hash deals users to sixteen buckets."""
-    bucket = F.pmod(F.xxhash64("user_id"), F.lit(16)).cast("int")
-    return events(spark, sf_dir).groupBy(bucket.alias("bucket")).agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("n"))
+    """How evenly a 64-bit hash deals events to sixteen buckets: even if none is five standard deviations off its share."""
+    bucket = F.pmod(F.xxhash64("event_id"), F.lit(16)).cast("int")
+    dealt = events(spark, sf_dir).groupBy(bucket.alias("bucket")).agg(F.count_distinct("event_id").alias("ids"), F.count("*").alias("n"))
+    share = F.sum("ids") / 16
+    even = F.max("ids") <= share + 5 * F.sqrt(share)
+    return dealt.agg(F.count("*").cast("int").alias("buckets"), F.sum("ids").alias("ids"), F.sum("n").alias("n"), (even & (F.min("ids") >= share - 5 * F.sqrt(share))).alias("even"))
 
 
 @CASES.add(f"""

@@ -103,7 +103,14 @@ def normalise_channel_os_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", normalize.channel(raw).alias("channel"), normalize.system(os).alias("os"), normalize.country(code).alias("country"))
 
 
-@CASES.add()
+#: DuckDB: a cyclic redundancy check of a text's bytes, from a table that is made by its rule: eight halvings of each byte.
+_CRC = """(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t)"""
+
+
+@CASES.add(f"""
+    WITH u AS (SELECT DISTINCT user_id FROM events), b AS (SELECT list_transform(string_split(CAST(user_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes, t FROM u, {_CRC}),
+    c AS (SELECT xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c // 256, t[CAST(xor(c % 256, x) + 1 AS BIGINT)])), 4294967295) AS crc FROM b)
+    SELECT CAST(crc % 100 AS INTEGER) AS sample, count(*) AS users FROM c GROUP BY 1""")
 def sample_id_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many users fall to each of a hundred sampling ids."""
     return events(spark, sf_dir).select("user_id").distinct().groupBy(normalize.sample_id(F.col("user_id")).alias("sample")).agg(F.count("*").alias("users"))
