@@ -81,3 +81,21 @@ def off_days(rows: DataFrame, keys: list[str], day: str, value: str, days: int,
     held = daily.withColumns({"mean": F.avg(x).over(before), "sd": F.stddev_pop(x).over(before), "__n": F.count("*").over(before)})
     off = F.abs(x - F.col("mean"))
     return held.filter((F.col("__n") >= 2) & (off - deviations * F.col("sd") >= slack) & (off > least)).drop("__n")
+
+
+#: The states of a task: fixed values. The last three end it.
+STATES = ("pending", "running", "completed", "failed", "exception")
+
+
+def task_states(messages: DataFrame, keys: list[str], task: list[str], state: str, sec: str, started: str, width: int) -> DataFrame:
+    """(keys, bucket, a count for each state, concurrency): messages of tasks' states by buckets, a message that is sent again counted once.
+
+    concurrency is what started so far less what ended, 0 at least; an end counts only if its task had started. Of messages sent again the
+    earliest stands. Counts are made before the running sum, which so holds a row for each bucket.
+    """
+    once = messages.groupBy(*keys, *task, state).agg(F.min(F.struct(sec, started)).alias("__m")).select(*keys, state, F.col(f"__m.{sec}").alias(sec), F.col(f"__m.{started}").alias(started))
+    ends = F.col(state).isin(*STATES[2:]) & F.col(started)
+    step = F.when(F.col(state) == "running", 1).when(ends, -1).otherwise(0)
+    sums = once.groupBy(*keys, floor_to(sec, width).alias("bucket")).agg(*[F.count_if(F.col(state) == s).alias(s) for s in STATES], F.sum(step).alias("__step"))
+    running = F.sum("__step").over(W.partitionBy(*keys).orderBy("bucket"))
+    return sums.withColumn("concurrency", F.greatest(running, F.lit(0)).cast("long")).drop("__step")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.cases import EVENTS, Cases, events, floor_to, rounded
+from sluice.operators import alerts
 from sluice.operators import timeseries as series
 from sluice.session import table
 
@@ -136,3 +137,37 @@ def usage_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = [series.off_days(rows, list(keys), "day", "hours", 7, 3.0, 1000.0, 0.005).withColumn("keys", F.lit(",".join(keys))) for keys in (("kind", "status", "zone"), ("kind", "status"))]
     both = made[0].unionByName(made[1], allowMissingColumns=True)
     return both.select("keys", "kind", "status", "zone", "day", F.col("hours").cast("double").alias("hours"), rounded(F.col("mean"), "mean", 4), rounded(F.col("sd"), "sd", 4))
+
+
+@CASES.add(f"""
+    WITH e AS (SELECT user_id % 6 AS logger, sec // 3600 * 3600 AS bucket, event_type IN ('error', 'purchase') AND user_id % 6 < 3 AS bad, json_extract(props, '$.k')::BIGINT // 20 AS detail FROM {EVENTS}),
+    c AS (SELECT logger, bucket, count(*) FILTER (NOT bad) AS valid, count(*) FILTER (bad) AS errors FROM e GROUP BY 1, 2),
+    r AS (SELECT logger, bucket, CAST(sum(valid) OVER w AS BIGINT) AS valid, CAST(sum(errors) OVER w AS BIGINT) AS errors FROM c WINDOW w AS (PARTITION BY logger ORDER BY bucket RANGE BETWEEN 82800 PRECEDING AND CURRENT ROW)),
+    a AS (SELECT *, round(errors * 100.0 / (valid + errors), 6) AS percent FROM r WHERE (valid > 30 OR errors > 30) AND errors * 100.0 / (valid + errors) > 40),
+    d AS (SELECT logger, bucket, detail, count(*) AS n FROM e WHERE bad GROUP BY ALL),
+    m AS (SELECT a.logger, a.bucket, d.detail, sum(d.n) AS n FROM a JOIN d ON d.logger = a.logger AND d.bucket BETWEEN a.bucket - 82800 AND a.bucket GROUP BY ALL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY logger, bucket ORDER BY n DESC, detail) AS i FROM m),
+    l AS (SELECT logger, bucket, string_agg(n || '/' || detail, ', ' ORDER BY i) AS diagnostic FROM p WHERE i <= 3 GROUP BY 1, 2)
+    SELECT a.*, diagnostic FROM a LEFT JOIN l USING (logger, bucket)""")
+def ingestion_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loggers whose errors of the last 24 hours exceed 40 per cent, where there are rows enough, with the most frequent errors of that time."""
+    bad = F.col("event_type").isin("error", "purchase") & (F.col("user_id") % 6 < 3)
+    rows = events(spark, sf_dir).select((F.col("user_id") % 6).alias("logger"), floor_to("sec", 3600).alias("bucket"), bad.alias("bad"), F.floor(F.get_json_object("props", "$.k").cast("long") / 20).alias("detail"))
+    counts = rows.groupBy("logger", "bucket").agg(F.count_if(~F.col("bad")).alias("valid"), F.count_if("bad").alias("errors"))
+    details = rows.filter("bad").groupBy("logger", "bucket", "detail").agg(F.count("*").alias("n"))
+    return alerts.error_alerts(counts, details, ["logger"], 3600, 24, 30, 40.0)
+
+
+@CASES.add(f"""
+    WITH e AS (SELECT DISTINCT user_id % 5 AS worker, event_id, sec // 3600 * 3600 AS bucket, event_type AS state FROM {EVENTS}),
+    m AS (SELECT worker, bucket, count(*) FILTER (state = 'signup') AS pending, count(*) FILTER (state = 'view') AS running, count(*) FILTER (state = 'click') AS completed, count(*) FILTER (state = 'purchase') AS failed, count(*) FILTER (state = 'error') AS exception FROM e GROUP BY 1, 2)
+    SELECT *, CAST(greatest(sum(running - completed - CASE WHEN bucket % 7200 = 0 THEN failed ELSE 0 END) OVER (PARTITION BY worker ORDER BY bucket), 0) AS BIGINT) AS concurrency FROM m""")
+def worker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of tasks' states, some of them sent again, by worker type and hour, with the tasks that run: those that never started don't end."""
+    rows = events(spark, sf_dir)
+    started = (F.col("event_type") != "error") & ((F.col("event_type") != "purchase") | (F.pmod(floor_to("sec", 3600), F.lit(7200)) == 0))
+    sent = rows.select((F.col("user_id") % 5).alias("worker"), F.col("event_id").alias("task"), F.lit(0).alias("run"), F.col("event_type").alias("state"), "sec", started.alias("started"))
+    again = sent.filter(F.col("task") % 10 == 0)
+    names = {"signup": "pending", "view": "running", "click": "completed", "purchase": "failed", "error": "exception"}
+    told = sent.unionByName(again).withColumn("state", F.element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col("state")))
+    return series.task_states(told, ["worker"], ["task", "run"], "state", "sec", "started", 3600)
