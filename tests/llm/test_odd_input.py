@@ -52,6 +52,7 @@ def test_decontaminate_on_odd_input(odd_docs, no_docs):
 STAGES = {
     "language": lambda d: langid.drop_unidentified(d, langid.train(d)),
     "near copies": lambda d: simhash.one_of_each(d),
+    "similar copies": lambda d: simhash.one_of_each(d, shingle=5, similarity=0.8),
     "benchmark": lambda d: decontaminate.drop_contaminated(d, _items(d)),
     "secrets": lambda d: secrets.redact(d),
     "mixing": lambda d: mixing.sample(d),
@@ -71,6 +72,7 @@ def test_what_stages_drop(odd_docs):
     assert ids["secrets"] == [0, 1, 1, 2, 3, 4, 5, 6, 7, 8]
     assert ids["benchmark"] == [0, 2, 3, 4, 5, 6, 7, 8]
     assert ids["near copies"] == [0, 1, 2, 5, 6, 7, 8]  # 2, 3 and 4 have no word and are alike
+    assert ids["similar copies"] == ids["near copies"]
     assert not {2, 3, 4, 6} & set(ids["language"])
 
 
@@ -107,3 +109,21 @@ def test_urls_with_nulls(spark):
     assert (found[5]["rule"], found[5]["verdict"]) == ("net/es/", "block")
     assert (found[6]["host"], found[6]["path"]) == ("y.org", "/http://z.com/")
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_clashing_columns_of_pages_and_items(spark, odd_docs, tmp_path):
+    """Extra columns named as the operators' own change nothing; a very long page and a very long address pass."""
+    from pyspark.sql import functions as F
+
+    long_html, long_path = "<p>" + "word " * 400_000, "/en/" + "a/" * 5000
+    pages = spark.createDataFrame([(1, "http://a.com/en/x", "<p>1"), (2, f"http://b.net{long_path}", long_html), (3, f"http://c.org{long_path}", None)], "page_id long, url string, html string")
+    extra = {c: F.lit(3) for c in ("digest", "payload", "record_id", "host", "path", "rule", "verdict", "segments", "purity", "archive", "n", "id")}
+    for k, rows in enumerate((pages, pages.withColumns(extra))):
+        warc.write_warc(rows, str(tmp_path / f"w{k}"))
+    sizes = [sorted(r["response"]["payload_bytes"] for r in warc.assemble(warc.read_warc(spark, str(tmp_path / f"w{k}"))).collect()) for k in (0, 1)]
+    assert sizes[0] == sizes[1] == [0, 4, len(long_html)]
+    judged = [sorted((r["page_id"], r["host"], len(r["path"]), r["rule"]) for r in urlfilter.judge_urls(rows).select("page_id", "host", "path", "rule", "verdict").collect()) for rows in (pages, pages.withColumns(extra))]
+    assert judged[0] == judged[1]
+    items = _items(odd_docs)
+    clash = items.withColumns({c: F.lit(5) for c in ("doc_id", "seed", "n", "word", "start", "score", "need", "words")})
+    assert decontaminate.contamination(odd_docs, clash).collect() == decontaminate.contamination(odd_docs, items).collect()
