@@ -174,6 +174,7 @@ def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.
             tongues = batch.column(0).slice(done, len(texts)).dictionary_encode()
             yield tongues.dictionary, tongues.indices.to_numpy().astype(np.int64), texts
             done += len(texts)
+        pa.default_memory_pool().release_unused()
 
 
 def counted_hashes(docs: DataFrame, passes: list[Broadcast], least_k: int, longest: int) -> DataFrame:
@@ -206,7 +207,8 @@ def counted_hashes(docs: DataFrame, passes: list[Broadcast], least_k: int, longe
             for k, found, n in one(Words.of(names, tongue, texts)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(found.view(np.int64)), pa.array(n)], ["k", "h", "n"])
 
-    return docs.mapInArrow(run, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+    # Slices are counted already and share few phrases, so tasks send them as they are: a hash map of them would take more memory than it saves rows.
+    return docs.mapInArrow(run, "k int, h long, n long").repartition("k", "h").groupBy("k", "h").agg(F.sum("n").alias("n"))
 
 
 def counted_phrases(docs: DataFrame, wanted: Broadcast, longest: int) -> DataFrame:
