@@ -41,3 +41,19 @@ def mindist(a: Column, b: Column, rows: Column) -> Column:
     pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
     total = F.aggregate(F.transform(pairs, cell), F.lit(0.0), lambda s, x: s + x)
     return F.sqrt(rows / F.char_length(a)) * F.sqrt(total)
+
+
+def shape_changes(counts: DataFrame, keys: list[str], value: str, width: int, period: int, apart: int, pieces: int, most: float) -> DataFrame:
+    """(keys, start, word, before, distance): periods whose shape is further than `most` from that of the period `apart` seconds before.
+
+    counts (keys, bucket, value) are sums by buckets of `width` seconds; buckets of a period that has any are zero where they are missing. A
+    shape is the word of a period's buckets, so what counts is when things come and not how many.
+    """
+    start = F.col("bucket") - F.pmod("bucket", F.lit(period))
+    held = counts.withColumn("start", start)
+    whole = held.select(*keys, "start").distinct().withColumn("bucket", F.explode(F.sequence("start", F.col("start") + period - width, F.lit(width))))
+    dense = whole.join(held, [*keys, "start", "bucket"], "left").select(F.struct(*keys, "start").alias("__k"), "bucket", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(value))
+    made = words(dense, "__k", "bucket", value, pieces).select("__k.*", "word", "rows")
+    past = made.select(*keys, (F.col("start") + apart).alias("start"), F.col("word").alias("before"))
+    far = made.join(past, [*keys, "start"]).withColumn("distance", F.round(mindist(F.col("word"), F.col("before"), F.col("rows")), 6))
+    return far.filter(F.col("distance") > most).drop("rows")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.cases import EVENTS, Cases, events, floor_to, rounded
+from sluice.operators import alerts, sax
 from sluice.session import table
 
 CASES = Cases()
@@ -96,3 +97,28 @@ def doctype_new_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(known, state).otherwise(F.struct(x["top"].alias("held"), F.array_append(state["sent"], x).alias("sent")))
 
     return days.select("event_type", F.explode(F.aggregate("days", empty, step)["sent"]).alias("s")).select("event_type", "s.day", F.array_join("s.top", ",").alias("top"))
+
+
+@CASES.add(f"""
+    WITH h AS (SELECT event_type, sec // 86400 * 86400 AS start, sec // 3600 * 3600 AS bucket, count(*)::DOUBLE AS n FROM {EVENTS} GROUP BY ALL),
+    f AS (SELECT event_type, start, unnest(range(start, start + 86400, 3600)) AS bucket FROM (SELECT DISTINCT event_type, start FROM h)),
+    d AS (SELECT f.event_type, f.start, f.bucket, coalesce(n, 0) AS n FROM f LEFT JOIN h USING (event_type, start, bucket)),
+    z AS (SELECT *, CASE WHEN stddev_pop(n) OVER w > 0 THEN (n - avg(n) OVER w) / stddev_pop(n) OVER w ELSE 0 END AS z FROM d WINDOW w AS (PARTITION BY event_type, start)),
+    p AS (SELECT *, ntile(8) OVER (PARTITION BY event_type, start ORDER BY bucket) AS piece FROM z), m AS (SELECT event_type, start, piece, round(avg(z), 9) AS m FROM p GROUP BY 1, 2, 3),
+    l AS (SELECT *, CASE WHEN m >= 0.6744897501960817 THEN 4 WHEN m >= 0 THEN 3 WHEN m >= -0.6744897501960817 THEN 2 ELSE 1 END AS x FROM m),
+    g AS (SELECT a.event_type, a.start, a.piece, a.x, b.x AS y, CASE WHEN abs(a.x - b.x) <= 1 THEN 0 ELSE pow([-0.6744897501960817, 0.0, 0.6744897501960817][greatest(a.x, b.x) - 1] - [-0.6744897501960817, 0.0, 0.6744897501960817][least(a.x, b.x)], 2) END AS gap
+        FROM l a JOIN l b ON a.event_type = b.event_type AND a.start = b.start + 604800 AND a.piece = b.piece)
+    SELECT event_type, start, string_agg(chr(CAST(96 + x AS INTEGER)), '' ORDER BY piece) AS word, string_agg(chr(CAST(96 + y AS INTEGER)), '' ORDER BY piece) AS before, round(sqrt(3.0) * sqrt(sum(gap)), 6) AS distance FROM g GROUP BY 1, 2 HAVING sum(gap) * 3 > 4""")
+def doctype_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days whose hours have another shape than a week before, by symbolic words of eight letters."""
+    hourly = events(spark, sf_dir).groupBy("event_type", floor_to("sec", 3600).alias("bucket")).agg(F.count("*").alias("n"))
+    return sax.shape_changes(hourly, ["event_type"], "n", 3600, 86_400, 604_800, 8, 2.0)
+
+
+@CASES.add(f"""
+    WITH h AS (SELECT user_id AS channel, max(sec // 3600 * 3600) AS last FROM {EVENTS} WHERE json_extract(props, '$.k')::BIGINT % 10 <> 0 GROUP BY 1), e AS (SELECT max(sec // 3600 * 3600) AS last FROM {EVENTS})
+    SELECT channel, h.last, CAST((e.last - h.last) // 3600 AS BIGINT) AS silence FROM h, e WHERE (e.last - h.last) // 3600 > 12""")
+def channel_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels without a valid document for more than twelve hours before the last one of all."""
+    hourly = events(spark, sf_dir).groupBy(F.col("user_id").alias("channel"), floor_to("sec", 3600).alias("bucket")).agg(F.count_if(F.get_json_object("props", "$.k").cast("long") % 10 != 0).alias("valid"))
+    return alerts.silent(hourly, ["channel"], 3600, 12, hourly.agg(F.max("bucket")).first()[0] or 0)
