@@ -39,10 +39,6 @@ def address_hex(text: Column) -> Column:
 
     An IPv4 address is the IPv6 one that stands for it, ::ffff:a.b.c.d; a zone at the end doesn't count.
     """
-    plain = F.regexp_replace(F.lower(text), r"%\w+$", "")
-    tail = F.regexp_extract(plain, r"([0-9.]+)$", 1)
-    quad = F.lower(F.lpad(F.hex(ip_number(tail)), 8, "0"))
-    both = F.when(plain.contains(".") & plain.contains(":"), F.concat(F.substring(plain, F.lit(1), F.char_length(plain) - F.char_length(tail)), F.substring(quad, 1, 4), F.lit(":"), F.substring(quad, 5, 4))).otherwise(plain)
 
     def groups(halves: Column, k: int) -> Column:
         part = F.coalesce(F.get(halves, F.lit(k)), F.lit(""))
@@ -57,8 +53,15 @@ def address_hex(text: Column) -> Column:
 
         return F.transform(F.array(F.struct(groups(halves, 0).alias("left"), groups(halves, 1).alias("right"))), padded)[0]
 
-    v6 = F.transform(F.array(F.split(both, "::")), joined)[0]
-    return F.when(plain.rlike(_V4), F.concat(F.lit("0" * 20 + "ffff"), F.lower(F.lpad(F.hex(ip_number(plain)), 8, "0")))).when(plain.contains(":"), v6)
+    def six(plain: Column) -> Column:
+        tail = F.regexp_extract(plain, r"([0-9.]+)$", 1)
+        quad = F.lower(F.lpad(F.hex(ip_number(tail)), 8, "0"))
+        both = F.when(plain.contains("."), F.concat(F.substring(plain, F.lit(1), F.char_length(plain) - F.char_length(tail)), F.substring(quad, 1, 4), F.lit(":"), F.substring(quad, 5, 4))).otherwise(plain)
+        return F.transform(F.array(F.split(both, "::")), joined)[0]
+
+    # Most addresses are of four numbers: the others' own expression is looked at for those with a colon only.
+    four = F.concat(F.lit("0" * 20 + "ffff"), F.lower(F.lpad(F.hex(ip_number(text)), 8, "0")))
+    return F.when(text.contains(":"), F.transform(F.array(F.regexp_replace(F.lower(text), r"%\w+$", "")), six)[0]).otherwise(four)
 
 
 def prefix(digits: Column, bits: Column) -> Column:
