@@ -797,6 +797,46 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
         assert all(find(k) == find(c) for k, c in made.items())
 
 
+def test_no_similar_pair_is_lost(spark, monkeypatch):
+    """Groups are those of all pairs, where shards are cut into parts, hashes into cells, and where fingerprints and sketches find nothing."""
+    rng = random.Random(31)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    texts = []
+    for k in range(40):  # families whose members drift apart, some links just at the threshold
+        words = [rng.choice(vocabulary) for _ in range(rng.choice((6, 40, 120, 400)))]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(max(1, len(words) // 60)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            words += [rng.choice(vocabulary) for _ in range(rng.randrange(2))]
+    shared = [rng.choice(vocabulary) for _ in range(200)]  # one passage makes up most of many texts, of several components
+    texts += [" ".join(shared + [rng.choice(vocabulary) for _ in range(rng.choice((5, 20, 24, 28, 60)))]) for _ in range(60)]
+    texts += ["", None, "a b c d e", "A b c d e", "a b c d e f"]
+    rng.shuffle(texts)
+    docs = list(enumerate(texts, 1)) + [(1000, texts[0])] * 2
+    sets = [(k, _shingle_set(t or "", 5)) for k, t in docs]
+    parent = {k: k for k, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, one) in enumerate(sets):
+        for b, two in sets[i + 1 :]:
+            if one == two or len(one & two) >= 0.8 * len(one | two):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    want = {k: find(k) for k in parent}
+    assert 30 < len(set(want.values())) < len(want) - 60
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most, radius, sketch in ((1, 22, 4), (1000, 0, 4), (3, 0, 4), (3, 22, 1)):
+        monkeypatch.setattr(simhash, "MOST", most)
+        monkeypatch.setattr(simhash, "SKETCH", sketch)
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, radius=radius).collect()} == want
+
+
 def _imatch_terms(text: str) -> list[int]:
     words = set(re.split(r"[ \t\n\x0b\f\r!-/:-@\[-`{-~]+", text.lower())) - {""}
     return [h - (1 << 64) if (h := xxhash.xxh64_intdigest(w.encode(), 42)) >> 63 else h for w in words]
