@@ -24,8 +24,11 @@ def tumbling_counts(stream: DataFrame, width: str = "1 hour", late: str = "1 hou
 
 
 def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Rows of each user's sessions, which a gap ends."""
-    made = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    """Rows of each user's sessions, which a gap ends.
+
+    Spark's window also takes in a row exactly at its end; it ends a microsecond early here, so that a gap of full length ends a session.
+    """
+    made = stream.withWatermark("ts", late).groupBy(F.session_window("ts", f"{gap} -1 microsecond").alias("w"), "user_id").agg(F.count("*").alias("n"))
     return made.select("user_id", F.unix_seconds("w.start").alias("start"), "n")
 
 

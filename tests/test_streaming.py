@@ -59,6 +59,15 @@ def test_sessions_end_after_a_gap(spark, tmp_path):
     assert sorted(r["n"] for r in rows.filter(F.col("user_id") == 1).collect()) == [1, 2]
 
 
+def test_a_gap_of_full_length_ends_a_session(spark, tmp_path):
+    """In one batch and across two: rows 30 minutes apart are two sessions, rows 29 minutes apart are one."""
+    _write(spark, tmp_path / "in", [[(1, 0, 1, "a", 1.0), (2, 30, 1, "a", 1.0), (3, 59, 1, "a", 1.0)], [(4, 89, 1, "a", 1.0), (5, 118, 1, "a", 1.0)], [(6, 1000, 2, "a", 1.0)], [(7, 1001, 2, "a", 1.0)]])
+    made = streams.sessions(streams.event_stream(spark, str(tmp_path / "in")))
+    rows = streams.run_to_table(made, "full_gaps", str(tmp_path / "check"))
+    base = int(START.replace(tzinfo=dt.timezone.utc).timestamp())
+    assert sorted(((r["start"] - base) // 60, r["n"]) for r in rows.filter(F.col("user_id") == 1).collect()) == [(0, 1), (30, 2), (89, 2)]
+
+
 def test_restart_from_a_checkpoint(spark, tmp_path):
     """A second run reads only what came since the first, keeps its state and writes each row once."""
     rows = [(k, "2024-01-01T00:00:00", k % 3, "error", 1.0, "{}") for k in range(6)]
