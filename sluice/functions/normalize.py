@@ -26,14 +26,14 @@ def country(code: Column) -> Column:
     return F.when(code.rlike("^[A-Za-z]{2}$"), F.upper(code)).otherwise("Other")
 
 
-def dimension(value: Column, allowed: list | None = None, low: object = None, high: object = None) -> Column:
-    """The value as text if it is allowed, OTHER if it isn't, UNKNOWN if there is none."""
+def dimension(value: Column, allowed: list | None = None, low: object = None, high: object = None, missing: str = "UNKNOWN") -> Column:
+    """The value as text if it is allowed, OTHER if it isn't, `missing` if there is none."""
     fits = F.lit(True)
     if allowed is not None:
         fits = value.isin(allowed)
     if low is not None:
         fits = value.between(low, high)
-    return F.when(value.isNull(), "UNKNOWN").when(fits, value.cast("string")).otherwise("OTHER")
+    return F.when(value.isNull(), missing).when(fits, value.cast("string")).otherwise("OTHER")
 
 
 def sample_id(identity: Column) -> Column:
