@@ -1,4 +1,4 @@
-"""Deep merge of nested documents, as rows of paths: documents are taken apart in tasks, folded by path, and put together again.
+"""Deep merge of nested documents, as rows of paths: documents are dealt by key, added up by path in tasks, and put together again.
 
 What a path holds is decided by the first document that has it: later values of another kind are left out, with all that lies below
 them. Numbers add up; of texts and truth values the last counts; objects and lists merge member by member; null stays.
@@ -14,100 +14,156 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from sluice.operators.dedup import first_seen
+from sluice.session import scratch
 
 #: A kind of value by one letter: object, list, number, text, truth value, null.
 _KINDS = {dict: "o", list: "l", int: "n", float: "n", str: "t", bool: "b", type(None): "z"}
 PATHS = "level int, path string, above string, kinds string, whole decimal(38,0), broken double, text string"
-
-
-def _apart(value: object, path: tuple = (), kinds: str = "") -> Iterator[tuple]:
-    """(level, path, path above, kinds from the top down, whole number, other number, text) of a value and all below it."""
-    own = kinds + _KINDS[type(value)]
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    whole = value if number and isinstance(value, int) and abs(value) < 10**30 else None
-    text = value if isinstance(value, str) else json.dumps(value) if isinstance(value, bool) else None
-    yield len(path), json.dumps(path), json.dumps(path[:-1]) if path else None, own, whole, float(value) if number and whole is None else None, text
-    if isinstance(value, (dict, list)):
-        for step, inner in value.items() if isinstance(value, dict) else enumerate(value):
-            yield from _apart(inner, (*path, step), own)
-
-
-def paths(df: DataFrame, document: str) -> DataFrame:
-    """The other columns of df and PATHS: a row for each value in a document's text. Text that isn't JSON gives none."""
-    keep = [c for c in df.columns if c != document]
-    kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.decimal128(38, 0), pa.float64(), pa.string()]
-    names = StructType.fromDDL(PATHS).names
+_TYPES = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.decimal128(38, 0), pa.float64(), pa.string()]
+_WHOLE = 10**30
+
+
+def _add(seen: dict, document: object, row: int) -> None:
+    """Add a document to a tree of what was seen: (step, kind) to [first row, whole numbers, other numbers, text, its row, values below]."""
+    left = [(seen, None, document)]
+    while left:
+        beside, step, value = left.pop()
+        kind = _KINDS[type(value)]
+        held = beside.get((step, kind))
+        if held is None:
+            held = beside[step, kind] = [row, None, None, None, row, {} if kind in "ol" else None]
+        if kind == "o":
+            below = held[5]
+            for name, inner in value.items():
+                left.append((below, name, inner))
+        elif kind == "l":
+            below = held[5]
+            for place, inner in enumerate(value):
+                left.append((below, place, inner))
+        elif kind == "n":
+            if isinstance(value, int) and abs(value) < _WHOLE:
+                held[1] = value + (held[1] or 0)
+            else:
+                held[2] = float(value) + (held[2] or 0.0)
+        elif kind != "z":
+            held[3], held[4] = value if kind == "t" else json.dumps(value), row
+
+
+def _rows(seen: dict, deepest: int) -> Iterator[tuple]:
+    """(first row, row of the text, *PATHS) of all values of a tree; of what lies below `deepest` only the level is told."""
+    left = [(seen, 0, None, "")]
+    while left:
+        values, level, above, kinds = left.pop()
+        for (step, kind), (first, whole, broken, text, last, below) in values.items():
+            path = "[]" if level == 0 else "" if level > deepest else f"{above[:-1]}{', ' if level > 1 else ''}{json.dumps(step)}]"
+            own = kinds + kind if level <= deepest else ""
+            yield first, last, level, path, above, own, whole, broken, text
+            if below:
+                left.append((below, level + 1, path, own))
+
+
+def paths(df: DataFrame, keys: list[str], document: str, order: list[str], deepest: int = 64) -> DataFrame:
+    """(keys, first, last, PATHS): the values in each key's documents, added up by path and kinds as far as they meet in a task.
+
+    `first` is the place in the given order of the first document with such a value, `last` that of the last one, whose text counts. Text
+    that isn't JSON gives no rows. Documents are dealt by key; a key with very many of them may be dealt to several tasks.
+    """
+    dealt = df.select(*keys, F.struct(*order).alias("at"), document).hint("rebalance", *keys).sortWithinPartitions(*keys, "at")
+    fields = StructType([dealt.schema[k] for k in keys])
+    schema = StructType(fields.fields).add("first", dealt.schema["at"].dataType).add("last", dealt.schema["at"].dataType)
+    schema = StructType(schema.fields + StructType.fromDDL(PATHS).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, of = [], []
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) or [()] * batch.num_rows
+            rows, seen = [], {}
             for k, text in enumerate(batch.column(document).to_pylist()):
+                if k and own[k] != own[k - 1]:
+                    rows += _rows(seen, deepest)
+                    seen = {}
                 try:
-                    made = list(_apart(json.loads(text))) if text else []
+                    made = json.loads(text or "")
                 except (ValueError, RecursionError):
-                    made = []
-                rows += made
-                of += [k] * len(made)
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            own = batch.select(keep).take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], [*keep, *names])
+                    continue
+                _add(seen, made, k)
+            rows += _rows(seen, deepest)
+            first, last, *columns = list(zip(*rows, strict=True)) or [()] * (2 + len(_TYPES))
+            first, last, at = pa.array(first, pa.int64()), pa.array(last, pa.int64()), batch.column("at")
+            sums = [pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(first) for k in keys), at.take(first), at.take(last), *sums], schema.names)
 
-    return df.select(*keep, document).mapInArrow(run, StructType([df.schema[c] for c in keep] + StructType.fromDDL(PATHS).fields))
+    return dealt.mapInArrow(run, schema)
 
 
 def merged(df: DataFrame, keys: list[str], document: str, order: list[str], deepest: int = 64) -> DataFrame:
     """(keys, document): each key's documents merged in the given order. Keys without any JSON are left out.
 
-    Values are added up by key, path and kinds before anything meets, so a key with very many documents costs its distinct paths.
-    Documents nested deeper than `deepest` raise an error.
+    Documents are read once: values are added up by key, path and kinds before they are written to the application's folder, so that a key
+    with very many documents costs its distinct paths. Documents nested deeper than `deepest` raise an error.
     """
-    at = F.struct(*order)
-    rows = paths(df.select(*keys, *order, document), document)
-    sums = rows.groupBy(*keys, "level", "path", "above", "kinds").agg(
-        F.min(at).alias("first"), F.sum("whole").alias("whole"), F.sum("broken").alias("broken"), F.max_by("text", F.when(F.col("text").isNotNull(), at)).alias("text")
-    )
-    levels = sums.agg(F.max("level")).first()[0]
-    if levels is None:
-        return df.select(*keys, F.lit("").alias(document)).limit(0)
-    if levels > deepest:
+    made = paths(df, keys, document, order, deepest)
+    at = scratch(df.sparkSession, "paths")
+    made.write.parquet(at)
+    parts = df.sparkSession.read.schema(made.schema).parquet(at)
+    levels = parts.agg(F.max("level")).first()[0]
+    if levels is not None and levels > deepest:
         raise ValueError(f"documents are nested {levels} deep")
-    chosen, out = None, None
-    for level in range(levels + 1):
-        own = sums.filter(F.col("level") == level)
-        if chosen is not None:
-            above = chosen.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("path").alias("__path"), F.col("kinds").alias("__kinds"))
-            held = F.expr("substring(kinds, 1, length(kinds) - 1)")
-            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-            own = own.join(above, [*same, F.col("above") == F.col("__path"), held == F.col("__kinds")], "left_semi")
-        chosen = first_seen(own, [*keys, "path"], ["first"])
-        out = chosen if out is None else out.unionByName(chosen)
+    sums = parts.repartition(*keys or [F.lit(0)]).groupBy(*keys, "level", "path", "above", "kinds").agg(
+        F.min("first").alias("first"), F.sum("whole").alias("whole"), F.sum("broken").alias("broken"), F.max_by("text", F.when(F.col("text").isNotNull(), F.col("last"))).alias("text")
+    )
     value = F.coalesce(F.when(F.col("broken").isNull(), F.col("whole").cast("string")), (F.coalesce(F.col("whole").cast("double"), F.lit(0.0)) + F.col("broken")).cast("string"), F.col("text"))
-    parts = out.select(*keys, F.struct("level", "path", F.right("kinds", F.lit(1)).alias("kind"), value.alias("value")).alias("part"))
-    whole = parts.groupBy(*keys).agg(F.sort_array(F.collect_list("part")).alias("parts"))  # the paths of one document
-    return _together(whole, keys, document)
-
-
-def _built(parts: list[dict]) -> str:
-    """The JSON text of parts (level, path, kind, value), the upper levels first."""
-    made: dict[str, object] = {}
-    for part in parts:
-        kind, text = part["kind"], part["value"]
-        value = {"o": {}, "l": [], "z": None}[kind] if kind in "olz" else text if kind == "t" else json.loads(text) if kind == "b" or text.lstrip("-").isdigit() else float(text)
-        steps = json.loads(part["path"])
-        made[part["path"]] = value
-        if steps:
-            above = made[json.dumps(steps[:-1])]
-            if isinstance(above, list):
-                above.extend([None] * (steps[-1] + 1 - len(above)))
-            above[steps[-1]] = value
-    return json.dumps(made["[]"], sort_keys=True, ensure_ascii=False)
-
-
-def _together(whole: DataFrame, keys: list[str], document: str) -> DataFrame:
+    ordered = sums.sortWithinPartitions(*keys, "level", "path", "first", "kinds").select(*keys, "path", "above", "kinds", value.alias("value"))
+    return _together(ordered, keys, document)
+
+
+def _value(kind: str, text: str | None) -> object:
+    if kind in "olz":
+        return {"o": {}, "l": [], "z": None}[kind]
+    return text if kind == "t" else json.loads(text) if kind == "b" or text.lstrip("-").isdigit() else float(text)
+
+
+def _put(made: dict, path: str, above: str | None, kinds: str, text: str | None) -> None:
+    """Add a value to a document's paths (path: kinds, value), which come from the top down and, of each path, the first document's first."""
+    if path in made or (above is not None and made.get(above, ("",))[0] != kinds[:-1]):
+        return  # another kind came first, here or above
+    value = _value(kinds[-1], text)
+    made[path] = kinds, value
+    if above is None:
+        return
+    step, into = json.loads(path)[-1], made[above][1]
+    if isinstance(into, list):
+        into.extend([None] * (step + 1 - len(into)))
+    into[step] = value
+
+
+def _same(a: tuple, b: tuple) -> bool:
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+
+
+def _together(ordered: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """The JSON text of each key's document, from rows that lie together by key and are ordered from the top down."""
+    schema = StructType([ordered.schema[k] for k in keys]).add(document, StringType())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, made, types = None, {}, []
+        written = lambda: json.dumps(made["[]"][1], sort_keys=True, ensure_ascii=False)
         for batch in batches:
-            texts = pa.array([_built(parts) for parts in batch.column("parts").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, texts], [*keys, document])
-
-    return whole.mapInArrow(run, StructType([whole.schema[k] for k in keys]).add(document, StringType()))
+            done = []
+            types = [batch.column(k).type for k in keys]
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) or [()] * batch.num_rows
+            for k, row in zip(own, zip(*(batch.column(c).to_pylist() for c in ("path", "above", "kinds", "value")), strict=True), strict=True):
+                if key is None or not _same(k, key):
+                    if made:
+                        done.append((*key, written()))
+                    key, made = k, {}
+                _put(made, *row)
+            yield _batch(done, types, schema.names)
+        if made:
+            yield _batch([(*key, written())], types, schema.names)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.string()], strict=True)], names)

@@ -7,6 +7,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.operators import merge
 
@@ -60,3 +61,36 @@ def test_nothing_to_merge_and_too_deep(spark):
     deep = spark.createDataFrame([(1, 1, '{"a":' * 70 + "1" + "}" * 70)], "g int, k int, d string")
     with pytest.raises(ValueError, match="nested 70 deep"):
         merge.merged(deep, ["g"], "d", ["k"])
+
+
+def test_documents_are_read_once(spark):
+    """However deep documents are, each is made and read once."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(k):
+        read.add(1)
+        return json.dumps({"a": {"b": {"c": [k, {"d": str(k)}]}}, "n": 1})
+
+    df = spark.range(0, 300, 1, 3).select((F.col("id") % 7).alias("g"), "id", made("id").alias("d"))
+    found = {r["g"]: json.loads(r["d"]) for r in merge.merged(df, ["g"], "d", ["id"]).collect()}
+    assert found[6] == {"a": {"b": {"c": [sum(range(6, 300, 7)), {"d": "293"}]}}, "n": 42}
+    assert read.value == 300
+
+
+def test_a_key_may_lie_in_many_batches(spark):
+    """What a batch has added up meets again: the first kind, the last text and the sums are those of all batches."""
+    rng = random.Random(7)
+    rows = [(rng.choice([float("nan"), 0.5, None]), k, {n: _value(rng, 2) for n in rng.sample("abcd", 3)}) for k in range(300)]
+    df = spark.createDataFrame([(g, k, json.dumps(v)) for g, k, v in rng.sample(rows, len(rows))], "g double, k long, d string")
+    wanted = {}
+    for g, _, v in rows:
+        wanted[str(g)] = _fold(wanted[str(g)], v) if str(g) in wanted else v
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        found = [(str(r["g"]), json.loads(r["d"])) for r in merge.merged(df, ["g"], "d", ["k"]).collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert len(found) == 3 and dict(found) == wanted
