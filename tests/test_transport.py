@@ -6,9 +6,11 @@ import math
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.plans import transport
 from sluice.sources import frames, partitions
 from sluice.sources.partitions import Dimension
 
@@ -104,6 +106,38 @@ def test_written_frames_are_split_by_their_offsets(spark, tmp_path):
     assert frames.read_frames(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("part", [slice(0, 0), slice(0, 1), slice(0, 200), slice(3, 150)])
+def test_columns_hold_what_rows_do(part):
+    """Messages encoded and decoded by columns are those of encode and decode, null, empty, broken and sliced ones too."""
+    rng = random.Random(4)
+    messages = [_message(rng, k) for k in range(200)]
+    for m in messages:
+        m["fields"] = rng.choice([m["fields"], m["fields"], None])
+        for f in m["fields"] or []:
+            f |= {k: v for k, v in {"name": None, "representation": "", "strings": [], "integers": []}.items() if rng.random() < 0.1}
+    batch = pa.RecordBatch.from_pylist(messages, frames._arrow_schema())[part]
+    data = [frames.encode(m) for m in messages[part]]
+    assert frames.encode_columns(batch).to_pylist() == data
+    assert frames.encode_columns(batch, framed=True).to_pylist() == [frames.frame(x) for x in data]
+    sent = [None, b"\xff", *data, *(x[: rng.randrange(len(x))] for x in data), b""]
+    columns, errors = frames.decode_columns(sent)
+    found = pa.RecordBatch.from_arrays(columns, list(frames.MEMBERS)).to_pylist()
+    for x, row, error in zip(sent, found, errors, strict=True):
+        try:
+            assert (row, error) == (frames.decode(x or b""), None)
+        except frames.Cut as cut:
+            assert (set(row.values()), error) == ({None}, str(cut))
+
+
+def test_framed_records_reads_each_byte_once(spark, sf):
+    """One scan for messages and errors, whose rows come as record batches; the write leaves the session's settings alone."""
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(x, None) for x in names]
+    plan = transport.framed_records(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RelationV2") == 1
+    assert [spark.conf.get(x, None) for x in names] == before
+
+
 def test_bytes_with_nulls_go_to_the_side(spark):
     rows = spark.createDataFrame([(1, None), (2, b""), (3, bytes(frames.encode({"uuid": b"u", "nanos": 5})))], "id long, bytes binary")
     assert [(r["nanos"], r["decode_error"]) for r in frames.decoded(rows).orderBy("id").collect()] == [(None, "header"), (None, "header"), (5, None)]
